@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import langid, line_quality, merge_tokens, near_dup, rules, token_files
+from pathloom.llm import langid, line_quality, merge_tokens, mixing, near_dup, rules, token_files, topk, url_rules, warc
 from pathloom.llm.common import crc_mod3
 
 #: Id that ends each document in token files.
@@ -86,6 +86,66 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(c.m, s.doc_id) AS comp
 """
 
 
+def op4_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding"))).select(F.col("vec_id").alias("id"), topk.quantised(F.col("embedding")).alias("vector"))
+    return topk.top_k(rows, rows.where("id % 20 = 0"), 20)
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+),
+e AS (SELECT vec_id, generate_subscripts(v, 1) AS d, unnest(v) AS x FROM v),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score FROM e q JOIN e c ON q.d = c.d AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    index = warc.build_index(warc.write_archives(pages))
+    places = warc.lookup(index, pages.select(warc.url_key(F.col("url"), F.col("page_id")).alias("key")))
+    return warc.read_records(places, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
+m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM m
+"""
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents
+),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM d GROUP BY source
+),
+w AS (SELECT *, [5.0, 2.0, 1.0][(no % 3 + 1)::INT]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS at_most, 1.5::DOUBLE * sum(source_size) OVER () AS budget FROM s),
+o AS (
+  SELECT *, row_number() OVER z AS i, (budget - coalesce(sum(at_most) OVER (z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (z ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit
+  FROM w WINDOW z AS (ORDER BY at_most / weight, no)
+),
+u AS (SELECT arg_min(unit, i) AS unit FROM o WHERE unit <= at_most / weight),
+t AS (SELECT source, source_size, least(at_most, coalesce(u.unit * weight, at_most)) AS target FROM o LEFT JOIN u ON true),
+b AS (SELECT *, round(target)::BIGINT AS words, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS epochs FROM t),
+x AS (
+  SELECT d.doc_id, d.size, b.source_size, b.target, b.epochs, b.words - b.epochs * b.source_size AS rest,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
+)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - start)))::BIGINT AS taken FROM x
+"""
+
+
 def piece_model() -> bytes:
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
         return f.read()
@@ -95,6 +155,29 @@ def op7_merge_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_tokens.digest_documents(table(spark, sf_dir, "documents"), piece_model())
 
 
+#: (host, path, verdict) of the rules that op8 applies.
+URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+
+
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("host", "path", "verdict"), r, strict=True))) for r in URL_RULES))))
+    return url_rules.judge(table(spark, sf_dir, "pages"), listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP8_SQL = r"""
+WITH r(rhost, rpath, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+u AS (SELECT row_number() OVER () AS i, page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT i, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+),
+m AS (
+  SELECT i, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(v, length(rhost || rpath)) AS v
+  FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY i
+)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN m USING (i)
+"""
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         definition = f.read()
@@ -109,6 +192,25 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_rule_ledger, op2_line_quality, op3_near_duplicates, op7_merge_tokens, op9_token_files, op10_language)
+    f.__name__: f for f in (
+        op1_rule_ledger,
+        op2_line_quality,
+        op3_near_duplicates,
+        op4_maxscore,
+        op5_warc,
+        op6_mixing,
+        op7_merge_tokens,
+        op8_url_rules,
+        op9_token_files,
+        op10_language,
+    )
+
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_rule_ledger": OP1_SQL,
+    "op3_near_duplicates": OP3_SQL,
+    "op4_maxscore": OP4_SQL,
+    "op5_warc": OP5_SQL,
+    "op6_mixing": OP6_SQL,
+    "op8_url_rules": OP8_SQL,
 }
-ORACLE_SQL: dict[str, str] = {"op1_rule_ledger": OP1_SQL, "op3_near_duplicates": OP3_SQL}
