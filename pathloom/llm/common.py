@@ -67,7 +67,7 @@ def out_stream(uri: str):
 
     store, path = fs.FileSystem.from_uri(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
-    return store.open_output_stream(path)
+    return store.open_output_stream(path, compression=None)  # bytes as given, whatever the name
 
 
 def in_file(uri: str):
