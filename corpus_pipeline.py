@@ -32,16 +32,11 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    learned = docs.where((crc_mod3(F.col("doc_id")) != 1) & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    if learned.isEmpty():
-        return docs.where("false")  # nothing is known of any language
-    return langid.keep_identified(docs, langid.train(learned))
+    return langid.keep_identified(docs, langid.train(docs.where(crc_mod3(F.col("doc_id")) != 1)))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(crc_mod3(F.col("doc_id")) != 1)
-    if docs.isEmpty():
-        return docs
     return line_quality.keep_good(docs, line_quality.train(docs, labels))
 
 

@@ -90,8 +90,8 @@ def fit(texts: list[str], labels: list[str], seed: int = 0, epochs: int = 5, rat
     """Train on the given rows; a fifth of them is kept aside for calibration."""
     rng = np.random.default_rng(seed)
     names = sorted(set(labels))
-    if not names:
-        raise ValueError("no labelled texts to learn from")
+    if not names:  # nothing to learn from: no language is named, and only texts without letters are rejected
+        return LanguageModel([], np.zeros((BUCKETS, DIMENSIONS), np.float32), np.zeros((DIMENSIONS, 0)), np.zeros(0))
     y = np.array([names.index(x) for x in labels])
     table = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))
     weights, bias = np.zeros((DIMENSIONS, len(names))), np.zeros(len(names))
@@ -151,14 +151,18 @@ class Predictor:
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, calibrated probability and whether it is rejected, of each text."""
-        names, score, model = ["und"] * len(texts), np.zeros(len(texts)), self.model
+        model = self.model
+        names, score, rejected = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
         for k, text in enumerate(texts):
             ids = subwords(text)
-            if len(ids):
+            if not len(ids):
+                rejected[k] = True
+            elif model.labels:
                 z = (self.votes[ids].mean(axis=0) + model.bias) / model.temperature
                 best = int(z.argmax())
                 names[k], score[k] = model.labels[best], min(1.0, 1 / float(np.exp(z - z[best]).sum()))
-        return names, score, np.array([n == "und" for n in names], bool) | (score < model.threshold)
+                rejected[k] = score[k] < model.threshold
+        return names, score, rejected
 
 
 def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
