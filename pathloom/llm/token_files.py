@@ -21,11 +21,11 @@ the rest are exceptions. Any block can be read alone through the block starts.
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -165,47 +165,59 @@ class WordEncoder:
     """Ids of the tokenizers library, kept for words that were met before.
 
     A text is cut on ASCII white space, which this tokenizer drops and never
-    crosses. A word of letters below U+0250 with ASCII marks behind it is two
-    words to the tokenizer; they are kept apart. All else goes to the library
-    as it is, a text's new words in one call.
+    crosses. Letters below U+0250 and ASCII marks behind them are two words to
+    the tokenizer; each is kept apart and goes straight to the library's model.
+    All other words pass through the whole library.
     """
 
     def __init__(self, definition: str, cache_entries: int = 300_000) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task on each core
         import tokenizers
 
         self.library = tokenizers.Tokenizer.from_str(definition)
-        self.cache_entries = cache_entries
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    @staticmethod
-    def cut(raw: bytes) -> tuple[str, ...]:
+        self.tokenize = self.library.model.tokenize
+        to_bytes = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        #: What the model calls the bytes of letters beyond ASCII.
+        self.names = {k: to_bytes.pre_tokenize_str(chr(k))[0][0] for k in range(0xA0, 0x250)}
+        self.words = _Kept(self.word, cache_entries)
+        self.parts = _Kept(self.part, cache_entries)
+
+    def asked(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def part(self, text: str) -> bytes:
+        """Ids of what is one word to the tokenizer, in lower case."""
+        named = text if text.isascii() else text.translate(self.names)
+        return array("I", [x.id for x in self.tokenize(named)]).tobytes()
+
+    def word(self, raw: bytes) -> bytes:
         text = raw.decode()
         stem = text.rstrip(ENDS)
+        if not stem:
+            return self.parts[text]
         low = stem.lower()
-        if stem and stem.isalpha() and max(stem) < "ɐ" and len(low) == len(stem):
-            return (low, text[len(stem) :]) if len(stem) < len(text) else (low,)
-        return (text,)
-
-    def learn(self, words: set[bytes]) -> None:
-        cuts = {raw: self.cut(raw) for raw in words}
-        new = [*{x for parts in cuts.values() for x in parts}.difference(self.parts)]
-        found = [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(new, add_special_tokens=False)]
-        if len(self.parts) >= self.cache_entries:  # what is known of this text's words stays
-            self.parts = {x: self.parts[x] for parts in cuts.values() for x in parts if x in self.parts}
-        self.parts.update(zip(new, found, strict=True))
-        self.words.update((raw, b"".join([self.parts[x] for x in parts])) for raw, parts in cuts.items())
+        if not stem.isalpha() or not (stem.isascii() or max(stem) < "ɐ" and len(low) == len(stem)):
+            return self.asked(text)
+        return self.parts[low] + self.parts[text[len(stem) :]] if len(stem) < len(text) else self.parts[low]
 
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, "<u4")
-        words = text.encode().split()
-        if len(self.words) >= self.cache_entries:
-            self.words.clear()
-        if new := set(words).difference(self.words):
-            self.learn(new)
-        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u4")
+        return np.frombuffer(b"".join(map(self.words.__getitem__, text.encode().split())), np.uint32) if text else np.empty(0, np.uint32)
+
+
+class _Kept(dict):
+    """Results by key, made when first asked for. Beyond ``entries``, those not asked for lately go."""
+
+    def __init__(self, make: Callable, entries: int) -> None:
+        self.make, self.entries, self.older = make, entries, {}
+
+    def __missing__(self, key):
+        out = self.older.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(self) >= self.entries:
+            self.older = dict(self)
+            self.clear()
+        self[key] = out
+        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
