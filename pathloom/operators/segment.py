@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,27 +44,37 @@ def segment(
     Segments are numbered from 0 in each key, dropped ones left out. Fixes without
     a time are not used.
 
-    The fold is sequential within a stretch without gaps, so a group is a key's
-    stretch between gaps: long logs of a key are spread over tasks.
+    The fold is sequential within a stretch without gaps, so fixes are dealt out by
+    stretch and sorted, and each task folds its stretches as they stream by: long
+    logs of a key are spread over tasks, and a task holds a few numbers.
     """
     stretches = gap_segments(fixes.where("ts IS NOT NULL"), gap_seconds, key, order).withColumnRenamed("seg", "stretch")
     kind = fixes.schema[key].dataType.simpleString()
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(list(order), kind="stable")
-        x, y = group["x"].to_numpy(), group["y"].to_numpy()
-        part, n, kept = 0, 0, np.full(len(group), -1)
-        for i in range(len(group)):
-            if n >= max_points:
-                part, n = part + 1, 0
-            if n == 0 or (x[i] != x[i - 1] and y[i] != y[i - 1]):
-                kept[i] = part
-                n += 1
-        out = group[[key, "stretch", "ts", "x", "y"]].assign(part=kept, n=0)[kept >= 0]
-        out["n"] = out.groupby("part").cumcount()
-        return out[[key, "stretch", "part", "n", "ts", "x", "y"]]
-
-    folded = stretches.groupBy(key, "stretch").applyInPandas(fold, f"{key} {kind}, stretch long, part long, n long, ts timestamp, x double, y double")
+    rows = stretches.select(key, "stretch", *(c for c in order if c != "ts"), "ts", "x", "y").repartition(key, "stretch").sortWithinPartitions(key, "stretch", *order)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, part, n, last = None, 0, 0, (0.0, 0.0)
+        for batch in batches:
+            keys, runs, xs, ys = (batch.column(c).to_pylist() for c in (key, "stretch", "x", "y"))
+            keep, parts, places = [], [], []
+            for i, here in enumerate(zip(keys, runs, strict=True)):
+                now = (xs[i], ys[i])
+                if here != where:
+                    where, part, n = here, 0, 0
+                elif n >= max_points:
+                    part, n = part + 1, 0
+                if n == 0 or (now[0] != last[0] and now[1] != last[1]):
+                    keep.append(i)
+                    parts.append(part)
+                    places.append(n)
+                    n += 1
+                last = now
+            kept = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [kept.column(key), kept.column("stretch"), pa.array(parts, pa.int64()), pa.array(places, pa.int64()), *(kept.column(c) for c in ("ts", "x", "y"))], [key, "stretch", "part", "n", "ts", "x", "y"]
+            )
+
+    folded = rows.mapInArrow(fold, f"{key} {kind}, stretch long, part long, n long, ts {fixes.schema['ts'].dataType.simpleString()}, x double, y double")
     at = F.struct("n", "x", "y")
     ends = folded.groupBy(key, "stretch", "part").agg(F.count("*").alias("size"), F.min(at).alias("a"), F.max(at).alias("b"))
     place = F.struct(key, "stretch", "part")

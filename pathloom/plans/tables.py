@@ -24,7 +24,7 @@ def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-EVENT_POINTS = "SELECT user_id AS tid, event_id AS pid, epoch_ms(ts) AS ts, value AS x, json_extract_string(props, '$.k')::DOUBLE AS y, [event_type] AS terms FROM events"
+EVENT_POINTS = "SELECT user_id AS tid, event_id AS pid, epoch_us(ts) // 1000 AS ts, value AS x, json_extract_string(props, '$.k')::DOUBLE AS y, [event_type] AS terms FROM events"
 
 
 def order_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def order_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORDER_POINTS = (
-    "SELECT o_custkey AS tid, o_orderkey AS pid, epoch_ms(o_orderdate) AS ts, o_totalprice / 1000 AS x, date_diff('day', DATE '1995-01-01', o_orderdate::DATE)::DOUBLE AS y,"
+    "SELECT o_custkey AS tid, o_orderkey AS pid, epoch_us(o_orderdate) // 1000 AS ts, o_totalprice / 1000 AS x, date_diff('day', DATE '1995-01-01', o_orderdate::DATE)::DOUBLE AS y,"
     " [o_orderpriority, o_orderstatus] AS terms FROM orders"
 )
 
