@@ -65,9 +65,9 @@ def cell(v: Column, size: float) -> Column:
 
 def cell_distance(cx1: Column, cy1: Column, cx2: Column, cy2: Column) -> Column:
     """The least distance between two cells, in cells."""
-    zero = F.lit(0)
-    dx, dy = F.greatest(zero, F.abs(cx1 - cx2) - 1), F.greatest(zero, F.abs(cy1 - cy2) - 1)
-    return F.sqrt((dx * dx + dy * dy).cast("double"))
+    apart = lambda u, v: F.greatest(F.lit(0.0), F.abs(u.cast("double") - v.cast("double")) - 1)
+    dx, dy = apart(cx1, cx2), apart(cy1, cy2)
+    return F.sqrt(dx * dx + dy * dy)
 
 
 def sigmoid(d: Column, gamma: float) -> Column:
