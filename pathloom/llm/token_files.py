@@ -29,6 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -66,12 +67,15 @@ def unpack_block(data: bytes) -> np.ndarray:
     over = np.frombuffer(data, "<u2", n_over, at).astype(np.int64)
     high = np.frombuffer(data, "<u4", n_over, at + 2 * n_over)
     at += 6 * n_over
-    if width:
-        size = (count * width + 7) // 8
-        bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=count * width, bitorder="little").reshape(count, width)
-        wide = np.zeros((count, 32), np.uint8)
-        wide[:, :width] = bits
-        rest = np.packbits(wide, axis=1, bitorder="little").view("<u4").reshape(-1).astype(np.uint32)
+    if width:  # each value lies in the few bytes from that of its first bit on
+        raw = np.zeros((count * width + 7) // 8 + 5, np.uint64)
+        raw[:-5] = np.frombuffer(data, np.uint8, len(raw) - 5, at)
+        bit = np.arange(count, dtype=np.uint64) * np.uint64(width)
+        first = (bit >> np.uint64(3)).astype(np.int64)
+        wide = raw[first]
+        for k in range(1, (width + 14) // 8):
+            wide |= raw[first + k] << np.uint64(8 * k)
+        rest = ((wide >> (bit & np.uint64(7))) & np.uint64((1 << width) - 1)).astype(np.uint32)
     else:
         rest = np.zeros(count, np.uint32)
     if n_over:
@@ -141,20 +145,22 @@ class TokenFile:
 
     def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
         """All documents in order; holds about one document and READ_BYTES."""
-        k, held, have = 0, [], 0
+        k, held = 0, np.empty(0, np.uint32)
         for doc in self.docs:
             n = int(doc["n"])
-            while have < n:
-                end = max(k + 1, int(np.searchsorted(self.starts, self.starts[k] + READ_BYTES, "right")) - 1)
-                base = int(self.starts[k])
-                data = memoryview(self.data.read_at(int(self.starts[end]) - base, base))
-                for b in range(k, end):
-                    held.append(unpack_block(data[int(self.starts[b]) - base : int(self.starts[b + 1]) - base]))
-                    have += len(held[-1])
-                k = end
-            ids = np.concatenate(held) if held else np.empty(0, np.uint32)
-            yield None if doc["null"] else int(doc["id"]), ids[:n]
-            held, have = [ids[n:]], have - n
+            if len(held) < n:
+                more, have = [held], len(held)
+                while have < n:
+                    end = max(k + 1, int(np.searchsorted(self.starts, self.starts[k] + READ_BYTES, "right")) - 1)
+                    base = int(self.starts[k])
+                    data = memoryview(self.data.read_at(int(self.starts[end]) - base, base))
+                    for b in range(k, end):
+                        more.append(unpack_block(data[int(self.starts[b]) - base : int(self.starts[b + 1]) - base]))
+                        have += len(more[-1])
+                    k = end
+                held = np.concatenate(more)
+            yield None if doc["null"] else int(doc["id"]), held[:n]
+            held = held[n:]
 
 
 #: ASCII characters that the word tokenizer never joins to a letter before them. The apostrophe is not among them.
@@ -193,14 +199,24 @@ class WordEncoder:
         text = raw.decode()
         stem = text.rstrip(ENDS)
         if not stem:
-            return self.parts[text]
+            return self.parts[text] if text else b""
         low = stem.lower()
         if not stem.isalpha() or not (stem.isascii() or max(stem) < "ɐ" and len(low) == len(stem)):
             return self.asked(text)
         return self.parts[low] + self.parts[text[len(stem) :]] if len(stem) < len(text) else self.parts[low]
 
-    def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.words.__getitem__, text.encode().split())), np.uint32) if text else np.empty(0, np.uint32)
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids (uint32) of each text; none if it is null. Each distinct word of the texts is looked up once."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded, bounds = split.values.dictionary_encode(), split.offsets.to_numpy()
+        found = [*map(self.words.__getitem__, coded.dictionary.cast(pa.large_binary()).to_pylist())]
+        codes, ids = coded.indices.to_numpy(), np.frombuffer(b"".join(found), np.uint32)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            n = sizes[codes[a:b]]
+            behind = np.cumsum(n)
+            yield ids[np.repeat(starts[codes[a:b]] - behind + n, n) + np.arange(n.sum())]
 
 
 class _Kept(dict):
@@ -260,10 +276,10 @@ def write_token_files(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end, writer, first = encoder_of(definition), np.array([end_id], "<u4"), None, None
         for batch in batches:
-            for doc_id, text in zip(batch.column("id"), batch.column("text"), strict=True):
+            for doc_id, ids in zip(batch.column("id").to_pylist(), encoder.encode(batch.column("text")), strict=True):
                 if writer is None:
-                    writer, first = TokenFileWriter(f"{folder}/{uuid.uuid4().hex}.plt"), doc_id.as_py()
-                writer.add(doc_id.as_py(), np.append(encoder.encode(text.as_py()), end))
+                    writer, first = TokenFileWriter(f"{folder}/{uuid.uuid4().hex}.plt"), doc_id
+                writer.add(doc_id, np.append(ids, end))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({"file": [writer.uri], "first_id": pa.array([first], pa.int64()), "n_docs": [len(writer.docs)], "n_ids": [writer.total]})
