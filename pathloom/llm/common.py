@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows that ``per_batch`` works on at a time.
+AT_ONCE = 1024
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see.
@@ -46,12 +49,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def per_batch(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: T.StructType
 ) -> DataFrame:
-    """``mapInArrow`` with state that each task makes once, before its first batch."""
+    """``mapInArrow`` with state that each task makes once, before its first batch.
+
+    At most ``AT_ONCE`` rows are worked on at a time, which bounds what a task holds.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            yield work(batch)
+            for at in range(0, batch.num_rows, AT_ONCE):
+                yield work(batch.slice(at, AT_ONCE))
 
     return df.mapInArrow(run, schema)
 
