@@ -40,19 +40,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_quality.keep_good(docs, line_quality.train(docs, labels))
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_dup.near_duplicates(docs)
     # Rows of one id are one document: the first of equal rows stays. A null id can't be compared and stays.
-    kept = found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept_id")).distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    own = unused(docs, "kept_id")
+    kept = found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(own)).distinct()
+    named = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col(own), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id IS NULL"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mixing.mix(docs).where("taken > 0 AND doc_id IS NOT NULL")
-    times = taken.groupBy(F.col("doc_id").alias("_taken_id")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
-    rows = docs.join(times, F.col("doc_id") == F.col("_taken_id"))
-    return rows.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    own, times, epoch = (unused(docs, x) for x in ("taken_id", "epochs", "epoch"))
+    rounds = taken.groupBy(F.col("doc_id").alias(own)).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias(times))
+    rows = docs.join(rounds, F.col("doc_id") == F.col(own))
+    return rows.withColumn(epoch, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(own, times, epoch)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
