@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pathloom.functions import geo, keywords, measures, tokens
-from pathloom.operators import embed, evaluate, knn, perturb, segment, simjoin, trajectory
+from pathloom.functions import geo, keywords, tokens
+from pathloom.operators import embed, evaluate, knn, measure_search, perturb, segment, simjoin, trajectory
 from pathloom.plans import params, tables
 from pathloom.plans.tables import EVENT_POINTS, LINE_POINTS, ORDER_POINTS, VECTORS, asked, event_points, line_points, order_points, vectors
 from pathloom.sources.readers import extent
@@ -300,9 +300,9 @@ def dp_sql(cell: str, first: str, border: str, order: str = "", value: str = "{v
     return DP.format(value=value.format(v=_FOLD.format(cell=cell, first=first, border=border)), order=order)
 
 
-def _measured(spark, sf_dir, measure, ascending=True):
+def _measured(spark, sf_dir, name, ascending=True, **how):
     t = trajectory.assemble(order_points(spark, sf_dir).select("tid", "pid", "x", "y"))
-    return measures.measure_topk(asked(t), t, lambda a, b: F.round(measure(a, b), 9), 10, ascending).withColumn("dist", r6("dist"))
+    return measure_search.measure_topk(asked(t), t, name, 10, ascending, **how).withColumn("dist", r6("dist"))
 
 
 _UL, _UP, _LEFT = "above[q[1]::BIGINT]", "above[q[1]::BIGINT + 1]", "done[-1]"
@@ -310,12 +310,12 @@ _UL, _UP, _LEFT = "above[q[1]::BIGINT]", "above[q[1]::BIGINT + 1]", "done[-1]"
 
 @query(dp_sql(f"{_D} + least({_UL}, {_UP}, {_LEFT})", "1e300", "list_prepend(0.0::DOUBLE, list_transform(cells, lambda q: 1e300))"))
 def dtw_topk(spark, sf_dir):
-    return _measured(spark, sf_dir, measures.dtw)
+    return _measured(spark, sf_dir, "dtw")
 
 
 @query(dp_sql(f"least({_UL} + CASE WHEN {_D} <= 60 THEN 0.0 ELSE 1.0 END, {_UP} + 1.0, {_LEFT} + 1.0)", "above[1] + 1.0", "list_transform(range(0, len(cells) + 1), lambda j: j::DOUBLE)"))
 def edr_topk(spark, sf_dir):
-    return _measured(spark, sf_dir, lambda a, b: measures.edr(a, b, 60.0))
+    return _measured(spark, sf_dir, "edr", threshold=60.0)
 
 
 @query(
@@ -326,7 +326,7 @@ def edr_topk(spark, sf_dir):
     )
 )
 def erp_topk(spark, sf_dir):
-    return _measured(spark, sf_dir, measures.erp)
+    return _measured(spark, sf_dir, "erp")
 
 
 LCSS_CELL = f"CASE WHEN {_D} <= 60 AND abs(p[1] - q[1]) <= 2 THEN {_UL} + 1.0 ELSE greatest({_UP}, {_LEFT}) END"
@@ -335,12 +335,12 @@ LCSS_BORDER = "list_transform(range(0, len(cells) + 1), lambda j: 0.0::DOUBLE)"
 
 @query(dp_sql(LCSS_CELL, "0.0::DOUBLE", LCSS_BORDER, value="len(rows) + len(cells) - 2 * {v}"))
 def lcss_topk(spark, sf_dir):
-    return _measured(spark, sf_dir, lambda a, b: measures.lcss(a, b, 60.0, 2))
+    return _measured(spark, sf_dir, "lcss", threshold=60.0, delta=2)
 
 
 @query(dp_sql(LCSS_CELL, "0.0::DOUBLE", LCSS_BORDER, order="DESC", value="len(rows) + len(cells) - 2 * {v}"))
 def lcss_farthest(spark, sf_dir):
-    return _measured(spark, sf_dir, lambda a, b: measures.lcss(a, b, 60.0, 2), ascending=False)
+    return _measured(spark, sf_dir, "lcss", ascending=False, threshold=60.0, delta=2)
 
 
 # Segmentation
