@@ -9,8 +9,9 @@ language           drops texts whose language is rejected (null, no letters, or
                    a calibrated probability under the threshold)
 quality            drops documents that the line model predicts as bad
 near_duplicates    keeps one document of each group (five words, similarity 0.8)
-mixing             takes documents by the budgets of their sources: none that got
-                   no words, and one row for each epoch in which it is taken
+mixing             takes rows by the budgets of their sources, those without an id
+                   too: none that got no words, and one for each epoch in which
+                   it is taken
 tokens             encodes and decodes every text; returns one row a document
 =================  =============================================================
 
@@ -58,11 +59,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mixing.mix(docs).where("taken > 0 AND doc_id IS NOT NULL")
-    own, times, epoch = (unused(docs, x) for x in ("taken_id", "epochs", "epoch"))
-    rounds = taken.groupBy(F.col("doc_id").alias(own)).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias(times))
-    rows = docs.join(rounds, F.col("doc_id") == F.col(own))
-    return rows.withColumn(epoch, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(own, times, epoch)
+    row, own, times, epoch = (unused(docs, x) for x in ("row_no", "taken_row", "epochs", "epoch"))
+    # Each row is taken by its own share of the budget: ids may be null or repeat, so rows are numbered.
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    taken = mixing.mix(numbered, row_col=row).where("taken > 0")
+    rounds = taken.select(F.col("row").alias(own), F.ceil(F.col("taken") / F.col("size")).cast("int").alias(times))
+    rows = numbered.join(rounds, F.col(row) == F.col(own))
+    return rows.withColumn(epoch, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(row, own, times, epoch)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

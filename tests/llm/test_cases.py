@@ -251,3 +251,13 @@ def test_stages(spark, docs, empty, tmp_path):
     assert sorted(r["doc_id"] or 0 for r in kept) == [0, 1, 2, 3, 4, 6, 7, 8, 9]
     mixed = corpus_pipeline.mixed(spark, docs, "").collect()
     assert not {2, 3, 6} & {r["doc_id"] for r in mixed}
+
+
+def test_mixing_stage_takes_rows_by_their_own_words(spark, docs):
+    """Rows without an id, and rows that share one, are taken as ``mix`` deals them words."""
+    more = [(None, f"no id {'word ' * k}", "en", "web") for k in range(3, 9)] + [(20, "a " * k, "en", "book") for k in (5, 50, 500)]
+    rows = docs.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame(more, SCHEMA))
+    wanted = sorted((str(r["doc_id"]), r["size"]) for r in mixing.mix(rows).collect() for _ in range(-(-r["taken"] // max(1, r["size"]))))
+    mixed = corpus_pipeline.mixed(spark, rows, "").collect()
+    assert sorted((str(r["doc_id"]), len(r["text"].split())) for r in mixed) == wanted
+    assert sum(r["doc_id"] is None for r in mixed) >= 6
