@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import geo
 from pathloom.plans.params import IndexParams
+from pathloom.plans.storage import kept
 
 BLOCK, QUERY_BLOCK = 4096, 1024
 
@@ -58,8 +59,9 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
 
 def _searched(queries: DataFrame, data: DataFrame, search: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple]) -> DataFrame:
     """qid, id, dist that ``search(vectors, ids, query vectors, query ids)`` finds in each pair of blocks."""
-    shards = _blocks(data, BLOCK)
-    n = data.select(F.spark_partition_id().alias("s")).agg(F.max("s")).first()[0]
+    # Shards are counted in the blocks as kept: another job over the data may have other partitions.
+    shards = kept(_blocks(data, BLOCK))
+    n = shards.agg(F.max("shard")).first()[0]
     packed = _blocks(queries.coalesce(32), QUERY_BLOCK).drop("shard").withColumnsRenamed({"ids": "q_ids", "matrix": "q_matrix", "width": "q_width"})
     sent = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n or 0))))
 

@@ -81,6 +81,27 @@ def test_knn_approx(spark):
     assert picked.count() == 3 * asked(v, "id").count()
 
 
+def test_knn_over_shuffled_rows(spark):
+    """Data from a shuffle whose partitions are coalesced in one job and not in another: no row is lost."""
+    small = {"advisoryPartitionSizeInBytes": "48k", "coalescePartitions.parallelismFirst": "false", "coalescePartitions.minPartitionSize": "1k"}
+    for name, value in small.items():
+        spark.conf.set(f"spark.sql.adaptive.{name}", value)
+    try:
+        points = np.random.default_rng(3).random((2000, 16))
+        rows = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(points)], "id long, vec array<double>, version long")
+        data = knn.upsert(rows, rows.limit(0))
+        found = knn.knn_exact(rows.where("id % 500 = 0"), data, 10).collect()
+        every = knn.knn_exact(rows.where("id = 0"), data, 2000).count()
+        near = knn.knn_approx(rows.where("id = 0"), data, 10).count()
+    finally:
+        for name in small:
+            spark.conf.unset(f"spark.sql.adaptive.{name}")
+    for q in range(0, 2000, 500):
+        want = np.argsort(np.sqrt(((points - points[q]) ** 2).sum(axis=1)), kind="stable")[:10]
+        assert [r["id"] for r in sorted((r for r in found if r["qid"] == q), key=lambda r: r["rank"])] == want.tolist()
+    assert every == 2000 and near == 10
+
+
 def test_versions(spark):
     v10 = spark.createDataFrame([(1, [0.0], 10)], "id long, vec array<double>, version long")
     new = lambda version: spark.createDataFrame([(1, [1.0], version)], v10.schema)
