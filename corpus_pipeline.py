@@ -8,7 +8,8 @@ at hand for language, of labelled rows for quality.
 language           drops texts whose language is rejected (null, no letters, or
                    a calibrated probability under the threshold)
 quality            drops documents that the line model predicts as bad
-near_duplicates    keeps one document of each group (five words, similarity 0.8)
+near_duplicates    keeps one text of each group (five words, similarity 0.8);
+                   different texts of one id are texts each
 mixing             takes rows by the budgets of their sources, those without an id
                    too: none that got no words, and one for each epoch in which
                    it is taken
@@ -50,12 +51,17 @@ def unused(docs: DataFrame, name: str) -> str:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_dup.near_duplicates(docs)
-    # Rows of one id are one document: the first of equal rows stays. A null id can't be compared and stays.
-    own = unused(docs, "kept_id")
-    kept = found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(own)).distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col(own), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    # Texts are compared, not ids: rows of one id and one text are one document, another text of that id is another.
+    # Numbers follow ids and then hashes of texts, so that reruns keep the same. A null id can't be compared and stays.
+    row, text, own, hashed, kept_row = (unused(docs, x) for x in ("row_no", "text_hash", "own_id", "own_hash", "kept_row"))
+    named = docs.where("doc_id IS NOT NULL").withColumn(text, F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")))
+    keys = named.select(F.col("doc_id").alias(own), F.col(text).alias(hashed)).distinct().orderBy(own, hashed)
+    keys = written(keys.withColumn(row, F.monotonically_increasing_id()), "keys")
+    # Both steps deal texts by the same columns, so they are shuffled once.
+    once = named.dropDuplicates(["doc_id", text])
+    rows = written(once.join(keys, (F.col("doc_id") == F.col(own)) & (F.col(text) == F.col(hashed))).drop(text, own, hashed), "rows")
+    kept = near_dup.near_duplicates(rows, id_col=row).where("kept").select(F.col("doc_id").alias(kept_row))
+    return rows.join(kept, F.col(row) == F.col(kept_row), "left_semi").drop(row).unionByName(docs.where("doc_id IS NULL"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -261,3 +261,12 @@ def test_mixing_stage_takes_rows_by_their_own_words(spark, docs):
     mixed = corpus_pipeline.mixed(spark, rows, "").collect()
     assert sorted((str(r["doc_id"]), len(r["text"].split())) for r in mixed) == wanted
     assert sum(r["doc_id"] is None for r in mixed) >= 6
+
+
+def test_near_duplicates_stage_keeps_other_texts_of_an_id(spark):
+    words = lambda name: " ".join(f"{name}{k}" for k in range(40))
+    rows = [(1, words("a")), (2, words("b")), (2, words("c")), (2, words("b")), (3, words("a")), (3, words("d")), (4, words("e")), (4, words("e") + " more"), (5, None), (5, ""), (5, None), (None, words("a"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted((str(r["doc_id"]), str(r["text"])[:2]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    # 3's first text is a copy of 1's, and 4's texts are near copies: of each one stays.
+    assert kept == [("1", "a0"), ("2", "b0"), ("2", "c0"), ("3", "d0"), ("4", "e0"), ("5", ""), ("5", "No"), ("None", "a0")]
