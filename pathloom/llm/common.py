@@ -51,7 +51,8 @@ def per_batch(
 ) -> DataFrame:
     """``mapInArrow`` with state that each task makes once, before its first batch.
 
-    At most ``AT_ONCE`` rows are worked on at a time, which bounds what a task holds.
+    At most ``AT_ONCE`` rows are worked on at a time, which bounds what a task holds;
+    what Arrow has set free goes back to the system after each batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,10 +60,34 @@ def per_batch(
         for batch in batches:
             for at in range(0, batch.num_rows, AT_ONCE):
                 yield work(batch.slice(at, AT_ONCE))
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
 
+class Kept(dict):
+    """Results by key, made when first asked for. Beyond ``entries``, those not asked for lately go.
+
+    Keys longer than ``longest`` (if given) are worked out each time, so that the
+    entries are bounded in size as well as in number.
+    """
+
+    def __init__(self, make: Callable, entries: int, longest: int | None = None) -> None:
+        self.make, self.entries, self.longest, self.older = make, entries, longest, {}
+
+    def __missing__(self, key):
+        if self.longest is not None and len(key) > self.longest:
+            return self.make(key)
+        out = self.older.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(self) >= self.entries:
+            self.older = dict(self)
+            self.clear()
+        self[key] = out
+        return out
+
+
 def crc_mod3(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 3; a null id counts as remainder 1 (held out)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3, F.lit(1))

@@ -3,7 +3,7 @@
 A text is first cut where no merge can cross: between two characters that stand
 side by side in no piece of the vocabulary. Each short segment is then encoded:
 
-* an Aho-Corasick automaton lists the pieces that match at each position;
+* an Aho-Corasick automaton lists the longest piece that matches at each position;
 * from the left, the longest match is taken that is compatible with the piece
   before it, that is, if merging the two from single characters gives back just
   these two pieces;
@@ -11,26 +11,32 @@ side by side in no piece of the vocabulary. Each short segment is then encoded:
   is never tried again.
 
 A sequence in which all neighbours are compatible is the sequence that merging
-by score would make, so the result equals the library's.
+by score would make, so the result equals the library's. The time grows with the
+length of a text, spaced or not: matches are listed a window at a time.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import math
 import re
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pathloom.llm.common import per_batch
+from pathloom.llm.common import Kept, per_batch
 
 SPACE = "▁"
-#: Entries that each of a task's caches may hold; a full cache starts anew.
-CACHE_ENTRIES = 300_000
+#: Entries of a cache before those not asked for lately go (it holds up to twice as many), and the longest key kept.
+CACHE_ENTRIES, CACHE_CHARS = 200_000, 48
+#: Characters in which matches are listed at a time.
+WINDOW = 512
+NEVER = -math.inf
 
 ENCODED = T.StructType(
     [
@@ -49,7 +55,7 @@ class MergeEncoder:
         sp, size = self.library, self.library.get_piece_size()
         self.byte_ids = [0] * 256
         self.pieces: dict[str, int] = {}
-        self.score: list[float] = [0.0] * size
+        self.score: dict[str, float] = {}
         self.text: list[str] = [""] * size
         for i in range(size):
             piece = sp.id_to_piece(i)
@@ -57,13 +63,15 @@ class MergeEncoder:
                 self.byte_ids[int(piece[3:5], 16)] = i
             elif not (sp.is_control(i) or sp.is_unknown(i)):
                 self.pieces[piece] = i
-                self.score[i] = sp.get_score(i)
+                self.score[piece] = sp.get_score(i)
                 self.text[i] = piece
         self.automaton = ahocorasick.Automaton()
         self.inner: set[str] = set()
+        self.characters = {x for x in self.pieces if len(x) == 1}
+        self.longest = max(map(len, self.pieces), default=1)
         for piece, i in self.pieces.items():
             self.inner.update(piece[k : k + 2] for k in range(len(piece) - 1))
-            if self.merged(piece) == [i]:  # no other piece can be in a result
+            if self.merged(piece) == [piece]:  # no other piece can be in a result
                 self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
         #: For each piece, the longest shorter piece that it begins with.
@@ -74,124 +82,148 @@ class MergeEncoder:
         # A line feed that is in no piece is a unit of its own.
         alone = "" if any("\n" in x for x in self.pieces) else "\n"
         self.find_units = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + ("|\n" if alone else "")).findall
-        self.cache_entries = cache_entries
-        self.fits: dict[int, bool] = {}
-        self.segments: dict[str, tuple[int, ...]] = {}
-        self.units = _Units(self)
+        #: How a piece is merged: the score of each merge, and the piece's first and last part after it.
+        self.steps: dict[int, tuple[list[float], list[str], list[str]]] = {}
+        self.fits = Kept(self.compatible, cache_entries)
+        self.segments = Kept(self.segment, cache_entries // 4, CACHE_CHARS)
+        self.units = Kept(self.unit, cache_entries, CACHE_CHARS)
 
-    def merged(self, text: str) -> list[int]:
+    def merged(self, text: str, steps: tuple[list[float], list[str], list[str]] | None = None) -> list[str]:
         """Merge from single characters: best score first, the leftmost of equals."""
-        parts, find, score = list(text), self.pieces.get, self.score
-        pairs = [find(a + b, -1) for a, b in zip(parts, parts[1:], strict=False)]
-        while True:
-            best, at = -math.inf, -1
-            for k, i in enumerate(pairs):
-                if i >= 0 and score[i] > best:
-                    best, at = score[i], k
-            if at < 0:
-                return [find(p, -1) for p in parts]
+        parts, score = list(text), self.score.get
+        pairs = [score(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs:
+            best = max(pairs)
+            if best == NEVER:
+                break
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
             del pairs[at]
             if at:
-                pairs[at - 1] = find(parts[at - 1] + parts[at], -1)
+                pairs[at - 1] = score(parts[at - 1] + parts[at], NEVER)
             if at < len(pairs):
-                pairs[at] = find(parts[at] + parts[at + 1], -1)
-
-    def compatible(self, left: int, right: int) -> bool:
-        """Whether merging the characters of both pieces gives back just the two."""
-        if len(self.fits) >= self.cache_entries:
-            self.fits.clear()
-        known = self.fits[left << 20 | right] = self.merged(self.text[left] + self.text[right]) == [left, right]
-        return known
+                pairs[at] = score(parts[at] + parts[at + 1], NEVER)
+            if steps is not None:
+                for kept, x in zip(steps, (best, parts[0], parts[-1]), strict=True):
+                    kept.append(x)
+        return parts
+
+    def steps_of(self, piece: int) -> tuple[list[float], list[str], list[str]]:
+        found = self.steps.get(piece)
+        if found is None:
+            text = self.text[piece]
+            found = self.steps[piece] = [], [text[0]], [text[-1]]
+            self.merged(text, found)
+            found[0].append(NEVER)
+        return found
+
+    def compatible(self, pair: int) -> bool:
+        """Whether merging the characters of both pieces (left << 20 | right) gives back just the two.
+
+        Each piece alone merges as it always does. The merges of the two are gone
+        through again in the order of their scores, and between them a merge over
+        the seam is looked for: of its last part on the left and first on the right.
+        """
+        ours, _, lasts = self.steps_of(pair >> 20)
+        theirs, firsts, _ = self.steps_of(pair & 0xFFFFF)
+        i = j = 0
+        score = self.score.get
+        while True:
+            a, b, seam = ours[i], theirs[j], score(lasts[i] + firsts[j], NEVER)
+            if seam > a and seam >= b and seam > NEVER:  # of equals the leftmost goes first
+                return False
+            if a >= b:
+                if a == NEVER:
+                    return True
+                i += 1
+            else:
+                j += 1
 
-    def backtrack(self, text: str) -> tuple[int, ...]:
+    def backtrack(self, text: str) -> list[int]:
         """Encode a segment all of whose characters are pieces."""
         n = len(text)
-        fits, shorter, longest = self.fits.get, self.shorter, self.automaton.iter_long
-        failed = 0  # bitfield of positions from which no continuation was found
-        tokens: list[tuple[int, int]] = []
+        fits, shorter, longest = self.fits, self.shorter, self.automaton.iter_long
+        failed = None  # bitfield of positions from which no continuation was found
+        ids: list[int] = []
+        sizes: list[int] = []
         last, pos = -1, 0
-        ahead = longest(text)  # goes on from the end of the match it gave last
-        match = first = next(ahead)[1]
+        # The list of matches goes on from the end of the last one; those that begin after ``sure`` might be cut off.
+        ahead, sure = longest(text[:WINDOW]), n if n <= WINDOW else WINDOW - self.longest
+        match = first = None
+        for _, match in ahead:  # mostly the longest matches fit one another as they are
+            i, size = first = match
+            if pos > sure or last >= 0 and not fits[last << 20 | i]:
+                break
+            ids.append(i)
+            sizes.append(size)
+            last = i
+            pos += size
+        if pos == n:
+            return ids
+        if pos > sure:
+            ahead = longest(text[pos : pos + WINDOW])
+            sure = n if n - pos <= WINDOW else pos + WINDOW - self.longest
+            match = first = next(ahead)[1]
         while True:
             while match is not None:
-                if not failed >> (pos + match[1]) & 1:
-                    if last < 0:
-                        break
-                    known = fits(last << 20 | match[0])
-                    if known is None:
-                        known = self.compatible(last, match[0])
-                    if known:
-                        break
-                match = shorter[match[0]]
+                i, size = match
+                end = pos + size
+                if (failed is None or not failed[end >> 3] >> (end & 7) & 1) and (last < 0 or fits[last << 20 | i]):
+                    break
+                match = shorter[i]
             if match is not None:
-                tokens.append(match)
-                last = match[0]
-                pos += match[1]
+                ids.append(i)
+                sizes.append(size)
+                last, pos = i, end
                 if pos == n:
-                    return tuple([i for i, _ in tokens])
-                if match is not first:
-                    ahead = longest(text, pos)
+                    return ids
+                if match is not first or pos > sure:
+                    ahead = longest(text[pos : pos + WINDOW])
+                    sure = n if n - pos <= WINDOW else pos + WINDOW - self.longest
                 match = first = next(ahead)[1]
             else:
-                failed |= 1 << pos
-                if not tokens:
+                if failed is None:
+                    failed = bytearray(n // 8 + 1)
+                failed[pos >> 3] |= 1 << (pos & 7)
+                if not ids:
                     raise ValueError(f"no encoding for {text!r}")
-                gone = tokens.pop()
-                pos -= gone[1]
-                match, first = shorter[gone[0]], None
-                last = tokens[-1][0] if tokens else -1
-
-    def segment(self, text: str) -> tuple[int, ...]:
-        known = self.segments.get(text)
-        if known is None:
-            if text in self.units:
-                return self.units[text][0]
-            if len(text) > 1 or text in self.pieces:
-                known = self.backtrack(text)
-            else:
-                known = tuple(self.byte_ids[b] for b in text.encode())
-            if len(self.segments) >= self.cache_entries:
-                self.segments.clear()
-            self.segments[text] = known
-        return known
-
-    def unit(self, text: str) -> tuple[int, ...]:
-        """Ids of one unit: a run of space marks and what follows it."""
-        inner, ids, start = self.inner, (), 0
+                match, first = shorter[ids.pop()], None
+                pos -= sizes.pop()
+                last = ids[-1] if ids else -1
+
+    def segment(self, text: str) -> str:
+        """Ids of a segment, joined by commas: texts, unlike lists, cost the garbage collector nothing."""
+        if len(text) > 1 or text in self.pieces:
+            return ",".join(map(str, self.backtrack(text)))
+        return ",".join([str(self.byte_ids[b]) for b in text.encode()])
+
+    def unit(self, text: str) -> str:
+        """Ids of one unit, a run of space marks and what follows it, joined by commas."""
+        if len(text) <= CACHE_CHARS and self.characters.issuperset(text):
+            return self.segment(text)
+        inner, found, start = self.inner, [], 0
         for k in range(1, len(text)):
             if text[k - 1 : k + 1] not in inner:
-                ids += self.segment(text[start:k])
+                found.append(self.segments[text[start:k]])
                 start = k
-        if start:
-            return ids + self.segment(text[start:])
-        return self.backtrack(text) if len(text) > 1 else self.segment(text)
+        found.append(self.segments[text[start:]])
+        return ",".join(found)
 
-    def encode_units(self, text: str | None) -> list[tuple[tuple[int, ...], str]]:
-        """The ids of each unit of the text, as numbers and as text."""
+    def listed(self, text: str | None) -> str:
+        """The ids of a text, joined by commas."""
         if not text:
-            return []
-        return [*map(self.units.__getitem__, self.find_units(SPACE + text.replace(" ", SPACE)))]
+            return ""
+        return ",".join([*map(self.units.__getitem__, self.find_units(SPACE + text.replace(" ", SPACE)))])
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for ids, _ in self.encode_units(text) for i in ids]
+        return ids_of(self.listed(text))
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids) if ids else ""
 
 
-class _Units(dict):
-    """Encoded units, made when first asked for."""
-
-    def __init__(self, encoder: MergeEncoder) -> None:
-        self.encoder = encoder
-
-    def __missing__(self, text: str) -> tuple[tuple[int, ...], str]:
-        ids = self.encoder.unit(text)
-        if len(self) >= self.encoder.cache_entries:
-            self.clear()
-        out = self[text] = ids, ",".join(map(str, ids))
-        return out
+def ids_of(listed: str) -> list[int]:
+    return np.fromstring(listed, np.int32, sep=",").tolist() if listed else []
 
 
 _ENCODERS: dict[bytes, MergeEncoder] = {}
@@ -203,6 +235,7 @@ def encoder_of(model: bytes) -> MergeEncoder:
     if key not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[key] = MergeEncoder(model)
+        gc.freeze()  # what is there by now stays: it need not be gone through again
     return _ENCODERS[key]
 
 
@@ -246,9 +279,8 @@ def digest_documents(df: DataFrame, model: bytes, id_col: str = "doc_id", text_c
         encoder = encoder_of(model)
 
         def one(text: str | None) -> tuple[int, str, str]:
-            units = encoder.encode_units(text)
-            ids = [i for x, _ in units for i in x]
-            listed = ",".join([s for _, s in units])
+            listed = encoder.listed(text)
+            ids = ids_of(listed)
             decoded = encoder.decode(ids)
             return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 

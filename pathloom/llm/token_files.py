@@ -25,7 +25,7 @@ import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathloom.llm.common import in_file, out_stream, scratch, written
+from pathloom.llm.common import Kept, in_file, out_stream, scratch, written
 
 MAGIC = b"PLT1"
 BLOCK = 4096
@@ -167,6 +167,10 @@ class TokenFile:
 ENDS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+#: Bytes of the longest word whose ids are kept.
+LONGEST = 64
+
+
 class WordEncoder:
     """Ids of the tokenizers library, kept for words that were met before.
 
@@ -176,7 +180,7 @@ class WordEncoder:
     All other words pass through the whole library.
     """
 
-    def __init__(self, definition: str, cache_entries: int = 300_000) -> None:
+    def __init__(self, definition: str, cache_entries: int = 200_000) -> None:
         import tokenizers
 
         self.library = tokenizers.Tokenizer.from_str(definition)
@@ -184,8 +188,8 @@ class WordEncoder:
         to_bytes = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         #: What the model calls the bytes of letters beyond ASCII.
         self.names = {k: to_bytes.pre_tokenize_str(chr(k))[0][0] for k in range(0xA0, 0x250)}
-        self.words = _Kept(self.word, cache_entries)
-        self.parts = _Kept(self.part, cache_entries)
+        self.words = Kept(self.word, cache_entries, LONGEST)
+        self.parts = Kept(self.part, cache_entries // 2, LONGEST)
 
     def asked(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -201,7 +205,8 @@ class WordEncoder:
         if not stem:
             return self.parts[text] if text else b""
         low = stem.lower()
-        if not stem.isalpha() or not (stem.isascii() or max(stem) < "ɐ" and len(low) == len(stem)):
+        # Some letters below U+0250 have small forms beyond it.
+        if not stem.isalpha() or not (stem.isascii() or max(stem) < "ɐ" > max(low) and len(low) == len(stem)):
             return self.asked(text)
         return self.parts[low] + self.parts[text[len(stem) :]] if len(stem) < len(text) else self.parts[low]
 
@@ -219,23 +224,6 @@ class WordEncoder:
             yield ids[np.repeat(starts[codes[a:b]] - behind + n, n) + np.arange(n.sum())]
 
 
-class _Kept(dict):
-    """Results by key, made when first asked for. Beyond ``entries``, those not asked for lately go."""
-
-    def __init__(self, make: Callable, entries: int) -> None:
-        self.make, self.entries, self.older = make, entries, {}
-
-    def __missing__(self, key):
-        out = self.older.get(key)
-        if out is None:
-            out = self.make(key)
-        if len(self) >= self.entries:
-            self.older = dict(self)
-            self.clear()
-        self[key] = out
-        return out
-
-
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -280,6 +268,7 @@ def write_token_files(
                 if writer is None:
                     writer, first = TokenFileWriter(f"{folder}/{uuid.uuid4().hex}.plt"), doc_id
                 writer.add(doc_id, np.append(ids, end))
+            pa.default_memory_pool().release_unused()
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({"file": [writer.uri], "first_id": pa.array([first], pa.int64()), "n_docs": [len(writer.docs)], "n_ids": [writer.total]})
