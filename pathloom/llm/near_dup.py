@@ -11,21 +11,23 @@ documents are linked if the Jaccard similarity of their sets is at least
 2. BANDS bands of ROWS bins make buckets. In each bucket all members get an edge
    to one centre, so edges number members, not pairs. The centre is the member
    that shares most buckets with others.
-3. An edge whose sketches differ in more than MOST_UNLIKE bins is dropped (at the
-   threshold that is more than six standard deviations out); the rest are
-   confirmed on the full sets, made again from the texts of those nodes alone.
+3. An edge whose sketches differ in more than MOST_UNLIKE bins waits for step 4;
+   the rest are confirmed on the full sets, made again from the texts of those
+   nodes alone.
 4. Links make components. A bucket that still has several components may hide a
-   link between two non-centres, so its members outside its largest component
-   are compared with all its members of other components, by a finer sketch and
-   then on full sets, and components are made anew. Pairs within a component are never
-   compared, and no bucket is capped.
-
-Recall: a pair at the threshold shares no bucket with probability
-(1 - 0.8 ** ROWS) ** BANDS, under 3e-6 with the values here.
+   link between two non-centres, or one that the sketches hid. Its nodes go
+   through an exact join: linked sets share a shingle among the first few of each
+   in a common order, rare ones first. Only pairs of different components meet
+   there, and they are confirmed on full sets. No bucket is capped, and a bucket's
+   members are never all compared with each other.
+
+So a link is lost only if its documents share no bucket: at the threshold with
+probability (1 - 0.8 ** ROWS) ** BANDS, under 3e-6 with the values here.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -42,10 +44,11 @@ ROWS, BANDS = 5, 32
 BINS = ROWS * BANDS
 #: Of BINS lanes of four bits; at similarity 0.8 the mean is 30 and the deviation 4.9.
 MOST_UNLIKE = 60
-CACHE_ENTRIES = 300_000
-
-#: The finer sketch that pairs outside stars are held against: mean 192, deviation 12.5 at the threshold.
-FINE_BINS, FINE_UNLIKE = 1024, 267
+CACHE_ENTRIES = 150_000
+#: Pairs of a node that are dealt to one key.
+SALT_PAIRS = 64
+#: Hash classes whose counts tell rare shingles; the table of counts has so many numbers whatever the data.
+CLASSES = 1 << 17
 
 _MIX = np.random.default_rng(20240229).integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
 
@@ -145,20 +148,21 @@ def signatures(rows: DataFrame, size: int) -> DataFrame:
 
 
 def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
-    """node, its full set and the lanes of its finer sketch, of (node, text) rows."""
+    """doc, print and the full set of (doc_id, text) rows with words."""
 
     def make():
         hashes = _Hashes()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingle_set(x.as_py(), size, hashes) for x in batch.column("text")]
-            fine = [lanes_of(sketch(x, FINE_BINS)) if len(x) else None for x in sets]
-            longs = pa.list_(pa.int64())
-            return pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.view(np.int64) for x in sets], longs), pa.array(fine, longs)], ["node", "shingles", "fine"])
+            found = [(i, x) for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True) if len(x := shingle_set(text.as_py(), size, hashes))]
+            prints = [xxhash.xxh3_128_digest(x.tobytes()) for _, x in found]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([i for i, _ in found], pa.int64()), pa.array(prints, pa.binary()), pa.array([x.view(np.int64) for _, x in found], pa.list_(pa.int64()))], ["doc", "print", "shingles"]
+            )
 
         return work
 
-    return per_batch(rows, make, "node long, shingles array<long>, fine array<long>")
+    return per_batch(rows, make, "doc long, print binary, shingles array<long>")
 
 
 def _unlike_lanes(a: Column, b: Column) -> Column:
@@ -173,18 +177,18 @@ def unlike(a: Column, b: Column) -> Column:
     return sum((_unlike_lanes(a[k], b[k]) for k in range(1, BINS // 16)), _unlike_lanes(a[0], b[0]))
 
 
-def unlike_fine(a: Column, b: Column) -> Column:
-    """The same for finer sketches, as a fold: so long an expression would not compile."""
-    return F.aggregate(F.zip_with(a, b, _unlike_lanes), F.lit(0), lambda n, x: n + x)
-
-
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those (a, b) pairs of nodes whose full sets are similar enough."""
-    both = (
-        pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
-        .select("a", "b", F.size("of_a").alias("n_a"), F.size("of_b").alias("n_b"), F.size(F.array_intersect("of_a", "of_b")).alias("common"))
-    )
+    """Those (a, b) pairs of nodes whose full sets are similar enough.
+
+    ``pairs`` has ``salts``, the number of keys over which the pairs of ``a`` are
+    dealt, so that a node with many pairs isn't one task's work. Of each pair the
+    set of ``b`` travels, and that of ``a`` once a salt.
+    """
+    salt = F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt")
+    theirs = pairs.select("a", "b", salt).join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+    wanted = pairs.groupBy("a").agg(F.max("salts").alias("salts"))
+    ours = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")).join(wanted, "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "of_a")
+    both = theirs.join(ours, ["a", "salt"]).select("a", "b", F.size("of_a").alias("n_a"), F.size("of_b").alias("n_b"), F.size(F.array_intersect("of_a", "of_b")).alias("common"))
     return both.where(DENOMINATOR * F.col("common") >= NUMERATOR * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
 
@@ -193,7 +197,8 @@ def components(links: DataFrame) -> DataFrame:
 
     In each round a node takes the smallest label around it and then the label
     of the node so named (pointer jumping). Rounds are written tables; their
-    number grows with the logarithm of a component's breadth.
+    number grows with the logarithm of a component's breadth. What a node with
+    many links sends is a few numbers a link, and Spark splits such a join's key.
     """
     both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     state = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "round")
@@ -212,61 +217,112 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, n_shingles, component_id and kept (the document has its component's smallest id) of every row.
 
     A null or empty text has an empty set, is linked with nothing and is kept.
-    Rows of the same id are one document: it is linked as any of its texts is.
-    A row with a null id can't be named: it links nothing, its component_id is
-    null and it is kept. Only the two columns are read, so other names don't
-    matter. An empty table gives an empty table.
+    Rows of the same id are one document, whether their texts are equal or not:
+    it is linked as any of its texts is. A row with a null id can't be named: it
+    links nothing, its component_id is null and it is kept. Only the two columns
+    are read, so other names don't matter. An empty table gives an empty table.
     """
     rows = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
     signed = written(signatures(rows, shingle), "signatures")
     usable = signed.where("print IS NOT NULL AND doc_id IS NOT NULL")
-    # Documents with equal sets are one node, named by the smallest id among them.
-    nodes = written(usable.groupBy("print").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("lanes").alias("lanes")), "nodes")
-    labels = _labels(nodes, rows, shingle)
-    # A document reaches what any of its texts reaches; ids that repeat are rare, and then tie components.
-    own = usable.join(nodes.select("print", "node"), "print").join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
-    own = written(own.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("also")), "own")
-    split = own.where("label != also").select(F.col("label").alias("a"), F.col("also").alias("b"))
-    if not split.isEmpty():
-        own = written(own.join(components(split).withColumnsRenamed({"node": "label", "label": "tied"}), "label", "left").select("doc_id", F.coalesce("tied", "label").alias("label")), "own")
+    # Documents with equal sets are one node; ``doc`` is the smallest id among them.
+    same = usable.groupBy("print").agg(F.min("doc_id").alias("doc"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "lanes")))
+    nodes = written(same.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    labels = _labels(nodes, usable, rows, shingle)
+    named = nodes.join(labels, "doc", "left").select("print", F.coalesce("label", "doc").alias("label"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
-    return signed.select("doc_id", "n_shingles").join(own.select("doc_id", "label"), "doc_id", "left").select(
+    return signed.select("doc_id", "n_shingles", "print").join(named, "print", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
     )
 
 
-def _labels(nodes: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """node and label of the nodes that are linked."""
+def _labels(nodes: DataFrame, usable: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """doc and label of the documents (smallest ids of nodes) that are linked."""
+    # Ids that repeat. Where their texts differ, the document ties the nodes that they are in.
+    repeated = written(usable.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("print").alias("low"), F.max("print").alias("high")).where("n > 1"), "repeated")
+    several = not repeated.isEmpty()
+    ties = usable.join(repeated.where("low != high").select("doc_id"), "doc_id").join(nodes.select("print", "doc"), "print").where("doc_id != doc").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
+
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     crowded = written(members.join(shared, "bucket"), "buckets")  # most buckets hold one node and end here
-    rank = written(crowded.groupBy("node").agg(F.sum("size").alias("rank")), "rank")
-    texts = rows.withColumnRenamed("doc_id", "node").join(rank.select("node"), "node", "left_semi")
-    sets = written(shingle_sets(texts, size), "sets")
-    traits = written(nodes.join(rank, "node", "left_semi").select("node", "lanes", "bands"), "traits")
-
-    # Star-shaped edges: from each member to the bucket's centre.
-    centres = crowded.join(rank, "node").groupBy("bucket").agg(F.max_by("node", F.struct("rank", -F.col("node"))).alias("centre"))
-    star = crowded.join(centres, "bucket").where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    of_a, of_b = (traits.select(F.col("node").alias(x), F.col("lanes").alias(f"lanes_{x}")) for x in "ab")
-    likely = star.join(of_b, "b").join(of_a, "a").where(unlike(F.col("lanes_a"), F.col("lanes_b")) <= MOST_UNLIKE).select("a", "b")
-    parts = components(confirmed(likely, sets)).withColumnRenamed("label", "part")
-
-    # Buckets that still hold several components: members outside the largest, against members of other components.
-    placed = written(crowded.select("bucket", "node").join(parts, "node", "left").select("bucket", "node", F.coalesce("part", "node").alias("part")), "placed")
-    sizes = placed.groupBy("bucket", "part").agg(F.count("*").alias("size"))
-    open_ = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "main")
-    earlier = F.slice("bands", 1, F.array_position("bands", F.col("bucket")).cast("int") - 1).alias("earlier")
-    left = placed.join(open_, "bucket").join(traits, "node").join(sets.select("node", "fine"), "node").select("bucket", "main", "part", "node", "lanes", "fine", earlier)
-    left = written(left, "open")
-    a, b = left.where("part != main").alias("a"), left.alias("b")
-    other = (F.col("a.part") != F.col("b.part")) & ((F.col("b.part") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
-    near = unlike(F.col("a.lanes"), F.col("b.lanes")) <= MOST_UNLIKE
-    first = ~F.arrays_overlap("a.earlier", "b.earlier")  # a pair comes up in the first bucket that it shares
-    nearer = unlike_fine(F.col("a.fine"), F.col("b.fine")) <= FINE_UNLIKE
-    rest = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & other & near & first & nearer).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-    more = written(confirmed(rest, sets), "more-links")
-    known = placed.select("node", "part").distinct()
-    between = more.join(known.select(F.col("node").alias("a"), F.col("part").alias("part_a")), "a").join(known.select(F.col("node").alias("b"), F.col("part").alias("part_b")), "b")
-    joined = components(between.select(F.col("part_a").alias("a"), F.col("part_b").alias("b")))
-    return written(known.join(joined.withColumnRenamed("node", "part"), "part", "left").select("node", F.coalesce("label", "part").alias("label")), "labels")
+    rank = crowded.groupBy("node").agg(F.sum("size").alias("rank"), F.max("size").alias("most"))
+    traits = written(nodes.join(rank, "node").select("node", "doc", "print", "n_shingles", "lanes", "rank", "most"), "traits")
+    texts = rows.join(traits.select("doc").distinct(), F.col("doc_id") == F.col("doc"), "left_semi")
+    sets = shingle_sets(texts, size).join(traits.select("node", "print", "doc"), ["print", "doc"]).select("node", "shingles")
+    sets = written(sets.dropDuplicates(["node"]) if several else sets, "sets")
+
+    # Star-shaped edges: from the bucket's centre to each other member.
+    named = traits.select("node", F.struct("rank", -F.col("node"), "most").alias("place"))
+    centres = crowded.join(named, "node").groupBy("bucket").agg(F.max("place").alias("c")).select("bucket", (-F.col("c.col2")).alias("centre"), F.col("c.most").alias("most"))
+    star = crowded.join(centres, "bucket").where("node != centre").groupBy(F.col("centre").alias("a"), F.col("node").alias("b")).agg(F.max("most").alias("most"))
+    salted = star.withColumn("salts", F.ceil(F.col("most") / SALT_PAIRS).cast("long")).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
+    of_a = traits.select(F.col("node").alias("a"), F.col("lanes").alias("lanes_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("most") / SALT_PAIRS).cast("long") - 1)).alias("salt"))
+    of_b = traits.select(F.col("node").alias("b"), F.col("lanes").alias("lanes_b"))
+    likely = written(salted.join(of_b, "b").join(of_a, ["a", "salt"]).where(unlike(F.col("lanes_a"), F.col("lanes_b")) <= MOST_UNLIKE).select("a", "b", "salts"), "likely")
+    docs_of = [traits.select(F.col("node").alias(x), F.col("doc").alias(f"doc_{x}")) for x in "ab"]
+    links = confirmed(likely, sets).join(docs_of[0], "a").join(docs_of[1], "b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+    parts = components(links.where("a != b").union(ties)).withColumnsRenamed({"node": "doc", "label": "part"})
+
+    # Nodes of buckets that still hold several components: exact pairs between components, by shared prefixes.
+    placed = written(traits.join(parts, "doc", "left").select("node", "n_shingles", F.coalesce("part", "doc").alias("part")), "placed")
+    inside = crowded.select("bucket", "node").join(placed, "node")
+    open_ = inside.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("bucket")
+    left = written(inside.join(open_, "bucket").select("node", "part", "n_shingles").distinct(), "open")
+    pairs = written(prefix_pairs(left.join(sets, "node")), "pairs")
+    more = written(confirmed(pairs, sets), "more-links")
+    part_of = [placed.select(F.col("node").alias(x), F.col("part").alias(f"part_{x}")) for x in "ab"]
+    between = more.join(part_of[0], "a").join(part_of[1], "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))
+    joined = components(between)
+    relabelled = parts.join(joined.withColumnRenamed("node", "part"), "part", "left").select("doc", F.coalesce("label", "part").alias("label"))
+    alone = joined.withColumnRenamed("node", "doc").join(parts.select("doc"), "doc", "left_anti")
+    return written(relabelled.unionByName(alone), "labels")
+
+
+def prefix_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b, salts) of nodes of different parts that may be linked; none that is linked is missing.
+
+    ``rows``: node, part, n_shingles, shingles. All sets are put in one order, rare
+    shingles first as far as counts of hash classes tell. Sets of n and of fewer
+    shingles that are linked share one of the first n - least + 1 of each, where
+    ``least`` is the smallest overlap that a link needs; and their sizes are alike.
+    """
+    counted = rows.mapInArrow(_class_counts, "class long, n long").groupBy("class").agg(F.sum("n").alias("n"))
+    often = np.zeros(CLASSES, np.int64)
+    for k, n in counted.collect():  # at most CLASSES rows
+        often[k] = n
+
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            shingles = batch.column("shingles")
+            ends, flat = shingles.offsets.to_numpy(), shingles.values.to_numpy()
+            first = []
+            for a, b in zip(ends, ends[1:], strict=False):
+                own = flat[a:b]
+                n = len(own)
+                keep = n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1
+                first.append(own[np.lexsort((own, often[own & (CLASSES - 1)]))[:keep]])
+            return pa.RecordBatch.from_arrays([batch.column("node"), batch.column("part"), batch.column("n_shingles"), pa.array(first, pa.list_(pa.int64()))], ["node", "part", "n", "first"])
+
+        return work
+
+    heads = written(per_batch(rows, make, "node long, part long, n long, first array<long>").select("node", "part", "n", F.explode("first").alias("shingle")), "prefixes")
+    mixed = heads.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("shingle")
+    heads = written(heads.join(mixed, "shingle"), "mixed")
+    a, b = (heads.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "part", "n"))) for x in "ab")
+    alike = DENOMINATOR * F.least("n_a", "n_b") >= NUMERATOR * F.greatest("n_a", "n_b")
+    pairs = written(a.join(b, "shingle").where((F.col("part_a") < F.col("part_b")) & alike).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "candidates")
+    # The node with more pairs is ``a``, whose pairs are dealt over salts.
+    degree = pairs.select(F.col("a").alias("x")).union(pairs.select("b")).groupBy("x").agg(F.count("*").alias("degree"))
+    both = pairs.join(degree.withColumnsRenamed({"x": "a", "degree": "d_a"}), "a").join(degree.withColumnsRenamed({"x": "b", "degree": "d_b"}), "b")
+    more = F.col("d_a") >= F.col("d_b")
+    return both.select(F.when(more, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(more, F.col("b")).otherwise(F.col("a")).alias("b"), F.ceil(F.greatest("d_a", "d_b") / SALT_PAIRS).cast("long").alias("salts"))
+
+
+def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = np.zeros(CLASSES, np.int64)
+    for batch in batches:
+        seen += np.bincount(batch.column("shingles").flatten().to_numpy() & (CLASSES - 1), minlength=CLASSES)
+    at = np.flatnonzero(seen)
+    if len(at):
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["class", "n"])

@@ -1,15 +1,25 @@
 """Exact top-k by inner product with MaxScore.
 
-A component of a query is a term, and its product with a candidate's component
-what the term adds. In a shard each term has a bound, the most that it adds to
-any candidate there. Terms are split by these bounds into essential ones and the
-rest: a candidate whose essential terms leave it further below the k-th best
-score than the rest could add is out. Essential terms are summed for all
-candidates of a block; the others are probed, a few terms at a time, only where a
-candidate is still competitive. Shards' results are merged by a ranked window.
-
-Vectors and queries travel as blocks, rows of packed matrices, so that each task
-holds one block of either and the work of a pair is one matrix product.
+A component of a query is a term; its product with a candidate's component is
+what the term adds. Candidates travel in shards. Each shard holds, for each term,
+a posting list: its candidates in the order of their value, cut into blocks with
+the block's least and largest value. For a query these give each term's upper
+bound in the shard.
+
+For each query the terms are split by these bounds against the k-th best score so
+far, the threshold: *non-essential* are as many terms as can be put together,
+smallest bound first, without their bounds reaching the threshold; a candidate
+that isn't met in the postings of an *essential* term can't enter the result.
+Essential postings are read block by block, the blocks that add most first, only
+as far as their bound with all other terms' bounds reaches the threshold.
+Candidates met are summed over the essential terms, then the others are probed in
+the order of their bounds, as long as the score with what is left to probe is
+still competitive. Scores that enter raise the threshold, by which the terms are
+split anew, and a query's threshold goes on to the next shard that its task
+reads. Shards' results are merged by a ranked window.
+
+Terms of either sign are brought to non-negative contributions: what a term adds
+is counted from the least that it adds to any candidate of the shard.
 """
 
 from __future__ import annotations
@@ -25,12 +35,10 @@ from pyspark.sql import functions as F
 from pathloom.llm.common import written
 
 VECTORS, QUERIES = 4096, 512
-#: Share of the bounds' sum that the essential terms hold.
-ESSENTIAL = 0.6
-#: Terms that are probed at a time.
-STEP = 8
-#: If so large a share of candidates is still competitive, the next terms are summed for all.
-MANY = 0.1
+#: Postings of a block.
+POSTINGS = 64
+#: Query groups that a shard's searches are dealt over.
+GROUPS = 64
 
 
 def quantised(vector: Column, scale: int = 64) -> Column:
@@ -71,51 +79,95 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
     return rows.withColumn("shard", F.spark_partition_id()).mapInPandas(pack, "shard int, ids binary, matrix binary, width int")
 
 
-def best_of_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of ``queries``, ids and scores of each query's k best (more only if cut later), its own id left out."""
-    n, q = len(vectors), len(queries)
-    most = np.abs(vectors).max(initial=0) * np.abs(queries).max(initial=0) * vectors.shape[1]
-    kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64  # all sums are exact
-    v, qs = vectors.astype(kind), queries.astype(kind)
-    bound = np.maximum(qs * v.max(axis=0), qs * v.min(axis=0))  # of each term of each query
-    spread = np.maximum(np.abs(bound), np.abs(np.minimum(qs * v.max(axis=0), qs * v.min(axis=0)))).sum(axis=0)
-    order = np.argsort(-spread)
-    split = int(np.searchsorted(np.cumsum(spread[order]), ESSENTIAL * spread.sum())) + 1
-    left = np.cumsum(bound[:, order][:, ::-1], axis=1)[:, ::-1]  # what terms from each place on can still add
-
-    # The k-th best of some candidates, scored in full, is a threshold.
-    some = min(n, 16 * k)
-    first = qs @ v[:some].T
-    first[own[:, None] == ids[None, :some]] = np.iinfo(np.int64).min if kind is np.int64 else -np.inf
-    floor = np.partition(first, some - k, axis=1)[:, some - k] if some > k else np.full(q, first.min(initial=0) if kind is np.int64 else -np.inf)
-    if some <= k and kind is np.int64:
-        floor[:] = np.iinfo(np.int64).min
-
-    score = qs[:, order[:split]] @ v[:, order[:split]].T
-    done = split
-    terms = len(order)
-    rest = left[:, done][:, None] if done < terms else 0
-    alive = score + rest >= floor[:, None]
-    while done < terms and alive.mean() > MANY:
-        end = min(terms, done + STEP)
-        score += qs[:, order[done:end]] @ v[:, order[done:end]].T
-        done = end
-        alive = score + (left[:, done][:, None] if done < terms else 0) >= floor[:, None]
-    row, col = np.nonzero(alive)
-    total = score[row, col]
-    while done < terms and len(row):
-        end = min(terms, done + STEP)
-        total = total + (qs[row][:, order[done:end]] * v[col][:, order[done:end]]).sum(axis=1)
-        done = end
-        keep = total + (left[row, done] if done < terms else 0) >= floor[row]
-        row, col, total = row[keep], col[keep], total[keep]
-    keep = ids[col] != own[row]
-    row, found, total = row[keep], ids[col[keep]], total[keep]
-    at = np.lexsort((found, -total, row))
-    row, found, total = row[at], found[at], total[at]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    keep = place < k
-    return row[keep], found[keep], total[keep].astype(np.int64)
+class Postings:
+    """One shard: for each term its candidates by ascending value, with the limits of each block."""
+
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray) -> None:
+        self.vectors, self.ids = vectors, ids
+        n, self.terms = vectors.shape
+        self.order = np.argsort(vectors, axis=0, kind="stable").T.astype(np.int32)  # term x place: candidate
+        self.values = np.ascontiguousarray(np.take_along_axis(vectors.T, self.order, axis=1))
+        self.starts = np.arange(0, n, POSTINGS)
+        self.low, self.high = self.values[:, self.starts], self.values[:, np.minimum(self.starts + POSTINGS, n) - 1]
+        self.least, self.most = self.values[:, 0], self.values[:, -1]
+
+    def search(self, q: np.ndarray, own: int, k: int, threshold: int | None) -> tuple[np.ndarray, np.ndarray, int | None]:
+        """Ids and scores of the k best candidates that reach the threshold (ties too), and the threshold then.
+
+        ``threshold``: no candidate below it is wanted; None before k scores are known.
+        """
+        n = len(self.ids)
+        ends = np.stack([q * self.least, q * self.most])
+        floor = int(ends.min(axis=0).sum())  # what every candidate has at least
+        bound = ends.max(axis=0) - ends.min(axis=0)  # the most that a term adds to that
+        rising = np.argsort(bound, kind="stable")  # non-essential terms are a prefix of this
+        ahead = np.concatenate([[0], np.cumsum(bound[rising])])
+        seen = np.zeros(n, bool)
+        seen[self.ids == own] = True
+        best_ids, best = np.empty(0, np.int64), np.empty(0, np.int64)
+        # Essential terms are read from the largest bound down; after each the split is made anew.
+        at = self.terms
+        while at > 0:
+            if threshold is not None and floor + int(ahead[at]) < threshold:
+                break  # the terms left are non-essential together
+            term = int(rising[at - 1])
+            rest = int(ahead[at - 1])  # what terms not yet read can add to a candidate first met here
+            lists = self._blocks(term, int(q[term]))
+            for block, adds in lists:
+                if threshold is not None and floor + adds + rest < threshold:
+                    break
+                met = self.order[term, block : block + POSTINGS]
+                met = met[~seen[met]]
+                seen[met] = True
+                if len(met):
+                    found, score = self._probe(met, q, rising[::-1], bound, floor, threshold)
+                    best_ids, best = np.append(best_ids, self.ids[found]), np.append(best, score)
+                    if len(best) > 4 * k or threshold is None and len(best) >= k:
+                        best_ids, best, threshold = _cut(best_ids, best, k, threshold)
+            best_ids, best, threshold = _cut(best_ids, best, k, threshold)
+            at -= 1
+        return best_ids, best, threshold
+
+    def _blocks(self, term: int, x: int) -> Iterator[tuple[int, int]]:
+        """Start and most added (over the term's least) of each of a term's blocks, those that add most first."""
+        if x == 0:
+            yield from ((int(b), 0) for b in self.starts)
+            return
+        adds = x * (self.high[term] - self.least[term]) if x > 0 else x * (self.low[term] - self.most[term])
+        for b in range(len(self.starts) - 1, -1, -1) if x > 0 else range(len(self.starts)):
+            yield int(self.starts[b]), int(adds[b])
+
+    def _probe(self, met: np.ndarray, q: np.ndarray, falling: np.ndarray, bound: np.ndarray, floor: int, threshold: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Candidates and scores of those that stay competitive to the last term, probed in the order of bounds."""
+        terms = len(falling)
+        score = np.zeros(len(met), np.int64)
+        done, step = 0, 8
+        left = int(bound.sum())
+        lows = np.minimum(q * self.least, q * self.most)
+        low_left = int(lows.sum())
+        while done < terms:
+            part = falling[done : done + step]
+            score = score + self.vectors[met[:, None], part[None, :]] @ q[part]
+            done += len(part)
+            left -= int(bound[part].sum())
+            low_left -= int(lows[part].sum())
+            if threshold is not None:
+                keep = score + low_left + left >= threshold
+                met, score = met[keep], score[keep]
+                if not len(met):
+                    break
+        return met, score
+
+
+def _cut(ids: np.ndarray, scores: np.ndarray, k: int, threshold: int | None) -> tuple[np.ndarray, np.ndarray, int | None]:
+    """The k best, ties to the smaller id, and the k-th score if there are k."""
+    if len(scores) > k:
+        at = np.lexsort((ids, -scores))[:k]
+        ids, scores = ids[at], scores[at]
+    if len(scores) >= k:
+        kth = int(scores.min())
+        threshold = kth if threshold is None else max(kth, threshold)
+    return ids, scores, threshold
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
@@ -124,25 +176,39 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     Both tables: id (long), vector (array of long). A candidate with the query's
     id is the query itself and is left out. Null ids or vectors take no part;
     equal rows are candidates each. Vectors may differ in length: a component
-    that one lacks is 0.
+    that one lacks is 0. Empty tables give no rows; other columns are not read.
     """
     filled = "id IS NOT NULL AND vector IS NOT NULL AND size(vector) > 0"
     shards = written(blocks(vectors.where(filled).select("id", "vector"), VECTORS), "vector-blocks")
-    packed = written(blocks(queries.where(filled).select("id", "vector").coalesce(64), QUERIES), "query-blocks")
+    packed = written(blocks(queries.where(filled).select("id", "vector"), QUERIES), "query-blocks")
     last = shards.agg(F.max("shard")).first()[0]
     last = -1 if last is None else last
     # Each query block goes to each shard: the query set is compared with all rows, block by block.
     sent = packed.select(F.explode(F.sequence(F.lit(0), F.lit(max(0, last)))).alias("shard"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("width").alias("q_width"))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: tuple[bytes, Postings] | None = None
+        known: dict[int, int] = {}  # of the queries of the last block: a threshold holds over the shards that follow
+        asked = b""
         for batch in batches:
             for x in batch.itertuples(index=False):
-                ids, own = np.frombuffer(x.ids, "<i8"), np.frombuffer(x.q_ids, "<i8")
-                v = np.frombuffer(x.matrix, "<i8").reshape(len(ids), x.width)
+                if held is None or held[0] != x.ids:
+                    ids = np.frombuffer(x.ids, "<i8")
+                    held = x.ids, Postings(np.frombuffer(x.matrix, "<i8").reshape(len(ids), x.width), ids)
+                if x.q_ids != asked:
+                    known, asked = {}, x.q_ids
+                own = np.frombuffer(x.q_ids, "<i8")
                 q = np.frombuffer(x.q_matrix, "<i8").reshape(len(own), x.q_width)
                 width = min(x.width, x.q_width)
-                row, found, score = best_of_block(v[:, :width], ids, q[:, :width], own, k)
-                yield pd.DataFrame({"query_id": own[row], "vec_id": found, "score": score})
+                out = []
+                for i, vector in enumerate(q):
+                    terms = np.zeros(x.width, np.int64)
+                    terms[:width] = vector[:width]
+                    found, score, threshold = held[1].search(terms, int(own[i]), k, known.get(i))
+                    if threshold is not None:
+                        known[i] = threshold
+                    out.append(pd.DataFrame({"query_id": np.full(len(found), own[i]), "vec_id": found, "score": score}))
+                yield pd.concat(out)
 
     pairs = shards.join(sent, "shard").drop("shard")
     found = pairs.mapInPandas(search, "query_id long, vec_id long, score long")

@@ -270,3 +270,52 @@ def test_near_duplicates_stage_keeps_other_texts_of_an_id(spark):
     kept = sorted((str(r["doc_id"]), str(r["text"])[:2]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
     # 3's first text is a copy of 1's, and 4's texts are near copies: of each one stays.
     assert kept == [("1", "a0"), ("2", "b0"), ("2", "c0"), ("3", "d0"), ("4", "e0"), ("5", ""), ("5", "No"), ("None", "a0")]
+
+
+def test_near_duplicates_with_repeated_ids(spark):
+    """Ids that repeat with other texts, in buckets that stay open, against brute force."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(150):  # one family around the threshold: many buckets, many components
+        own = list(base)
+        for at in rng.integers(0, 120, int(rng.integers(1, 9))):
+            own[at] = f"x{rng.integers(0, 9999)}"
+        rows.append((int(rng.integers(0, 120)), " ".join(own)))
+    rows += [(500, "a b c d e f"), (500, "g h i j k l"), (500, "m n o p q r"), (501, "a b c d e f"), (502, "g h i j k l"), (499, "m n o p q r"), (503, None), (503, "")]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").split()) else frozenset() for _, t in rows]
+    label = {i: i for i, _ in rows}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for p, (a, _) in enumerate(rows):
+        for q in range(p):
+            common = len(sets[p] & sets[q])
+            if sets[p] and 100 * common >= 80 * (len(sets[p]) + len(sets[q]) - common):
+                x, y = sorted((find(a), find(rows[q][0])))
+                label[y] = x
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert len(found) == len(rows)
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(i, find(i)) for i, _ in rows}
+    assert len({find(i) for i, _ in rows}) > 5
+
+
+@pytest.mark.parametrize("low, high, size", [(3, 10, 4000), (10, 160, 2500), (160, 600, 500)])
+def test_recall_of_buckets_by_size(spark, low, high, size):
+    """Pairs just at the threshold, by size of set: all are found."""
+    import numpy as np
+
+    rng = np.random.default_rng(low)
+    rows = []
+    for k in range(size):
+        n = int(rng.integers(low, high))
+        words = [f"v{k}.{j}" for j in range(n + 4)]
+        gone = n // 5  # the first n shingles against the first n - n // 5: 0.8 or a little above
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: n + 4 - gone]))]
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert found.where("kept").count() == size
