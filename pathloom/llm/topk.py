@@ -1,25 +1,22 @@
 """Exact top-k by inner product with MaxScore.
 
 A component of a query is a term; its product with a candidate's component is
-what the term adds. Candidates travel in shards. Each shard holds, for each term,
-a posting list: its candidates in the order of their value, cut into blocks with
-the block's least and largest value. For a query these give each term's upper
-bound in the shard.
+what the term adds. Candidates travel in shards. A shard holds for each term a
+posting list: its candidates in the order of their value, cut into blocks with
+the block's limits. For a query they give each term's bound in the shard, counted
+from the least that the term adds to any candidate there, so that bounds are
+never negative whatever the signs.
 
 For each query the terms are split by these bounds against the k-th best score so
-far, the threshold: *non-essential* are as many terms as can be put together,
-smallest bound first, without their bounds reaching the threshold; a candidate
-that isn't met in the postings of an *essential* term can't enter the result.
-Essential postings are read block by block, the blocks that add most first, only
-as far as their bound with all other terms' bounds reaches the threshold.
-Candidates met are summed over the essential terms, then the others are probed in
-the order of their bounds, as long as the score with what is left to probe is
-still competitive. Scores that enter raise the threshold, by which the terms are
-split anew, and a query's threshold goes on to the next shard that its task
+far, the threshold: the terms with the smallest bounds are *non-essential* as far
+as their bounds together don't reach it. Essential postings are traversed, terms
+with large bounds first. A candidate that reaches the threshold has in some
+essential term at least this term's share of what is needed, so each list is read
+only down to the block whose limit falls below that share. Candidates met are
+summed term by term in the order of bounds, as long as what is left to probe
+keeps them competitive. Scores that enter raise the threshold, after each list
+the terms are split anew, and thresholds go on to the next shard that the task
 reads. Shards' results are merged by a ranked window.
-
-Terms of either sign are brought to non-negative contributions: what a term adds
-is counted from the least that it adds to any candidate of the shard.
 """
 
 from __future__ import annotations
@@ -34,11 +31,13 @@ from pyspark.sql import functions as F
 
 from pathloom.llm.common import written
 
-VECTORS, QUERIES = 4096, 512
+VECTORS, QUERIES = 8192, 512
 #: Postings of a block.
 POSTINGS = 64
-#: Query groups that a shard's searches are dealt over.
-GROUPS = 64
+#: Terms that are probed at a time.
+STEP = 8
+#: Query blocks whose thresholds a task remembers.
+REMEMBERED = 256
 
 
 def quantised(vector: Column, scale: int = 64) -> Column:
@@ -52,8 +51,11 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & finite, F.lit(False))
 
 
+PACKED = "shard int, ids binary, matrix binary, width int, item int"
+
+
 def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """(id, vector of long) rows as (shard, ids, matrix, width) blocks; the shard is the partition."""
+    """(id, vector of long) rows as blocks: shard (the partition), ids, matrix, its width and the bytes of a number."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[int, np.ndarray]] = []
@@ -64,7 +66,9 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
             matrix = np.zeros((len(part), width), np.int64)
             for k, (_, v) in enumerate(part):  # a component that is missing is 0
                 matrix[k, : len(v)] = v
-            return pd.DataFrame({"shard": [shard], "ids": [np.array([i for i, _ in part], "<i8").tobytes()], "matrix": [matrix.astype("<i8").tobytes()], "width": [width]})
+            small = np.result_type(np.min_scalar_type(min(0, int(matrix.min()))), np.min_scalar_type(min(-1, -int(matrix.max()))))
+            ids = np.array([i for i, _ in part], "<i8").tobytes()
+            return pd.DataFrame({"shard": [shard], "ids": [ids], "matrix": [matrix.astype(small.newbyteorder("<")).tobytes()], "width": [width], "item": [small.itemsize]})
 
         for batch in batches:
             for i, v, s in zip(batch["id"], batch["vector"], batch["shard"], strict=True):
@@ -76,7 +80,11 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
         if held:
             yield flush(held)
 
-    return rows.withColumn("shard", F.spark_partition_id()).mapInPandas(pack, "shard int, ids binary, matrix binary, width int")
+    return rows.withColumn("shard", F.spark_partition_id()).mapInPandas(pack, PACKED)
+
+
+def unpacked(matrix: bytes, width: int, item: int) -> np.ndarray:
+    return np.frombuffer(matrix, f"<i{item}").reshape(-1, width).astype(np.int64)
 
 
 class Postings:
@@ -84,79 +92,74 @@ class Postings:
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray) -> None:
         self.vectors, self.ids = vectors, ids
-        n, self.terms = vectors.shape
+        n = len(ids)
+        self.largest = int(np.abs(vectors).max(initial=0))
+        self.rows: dict[type, np.ndarray] = {}
         self.order = np.argsort(vectors, axis=0, kind="stable").T.astype(np.int32)  # term x place: candidate
-        self.values = np.ascontiguousarray(np.take_along_axis(vectors.T, self.order, axis=1))
-        self.starts = np.arange(0, n, POSTINGS)
-        self.low, self.high = self.values[:, self.starts], self.values[:, np.minimum(self.starts + POSTINGS, n) - 1]
-        self.least, self.most = self.values[:, 0], self.values[:, -1]
+        values = np.take_along_axis(vectors.T, self.order, axis=1)
+        self.starts = np.append(np.arange(0, n, POSTINGS), n)
+        self.low, self.high = values[:, self.starts[:-1]], values[:, self.starts[1:] - 1]
 
     def search(self, q: np.ndarray, own: int, k: int, threshold: int | None) -> tuple[np.ndarray, np.ndarray, int | None]:
         """Ids and scores of the k best candidates that reach the threshold (ties too), and the threshold then.
 
         ``threshold``: no candidate below it is wanted; None before k scores are known.
         """
-        n = len(self.ids)
-        ends = np.stack([q * self.least, q * self.most])
-        floor = int(ends.min(axis=0).sum())  # what every candidate has at least
-        bound = ends.max(axis=0) - ends.min(axis=0)  # the most that a term adds to that
-        rising = np.argsort(bound, kind="stable")  # non-essential terms are a prefix of this
-        ahead = np.concatenate([[0], np.cumsum(bound[rising])])
-        seen = np.zeros(n, bool)
-        seen[self.ids == own] = True
-        best_ids, best = np.empty(0, np.int64), np.empty(0, np.int64)
-        # Essential terms are read from the largest bound down; after each the split is made anew.
-        at = self.terms
-        while at > 0:
-            if threshold is not None and floor + int(ahead[at]) < threshold:
-                break  # the terms left are non-essential together
-            term = int(rising[at - 1])
-            rest = int(ahead[at - 1])  # what terms not yet read can add to a candidate first met here
-            lists = self._blocks(term, int(q[term]))
-            for block, adds in lists:
-                if threshold is not None and floor + adds + rest < threshold:
+        adds = np.where((q > 0)[:, None], q[:, None] * self.high, q[:, None] * self.low)  # the most in each block
+        least = np.minimum(q * self.low[:, 0], q * self.high[:, -1])
+        bound = adds.max(axis=1) - least
+        falling = np.argsort(-bound, kind="stable")
+        left = np.append(np.cumsum(bound[falling][::-1])[::-1], 0)  # bounds of terms from each place on
+        floor = int(least.sum())
+        unseen = self.ids != own
+        ids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
+        spent = 0.0  # what a candidate that isn't met may have in the terms read so far
+        for at, term in enumerate(falling):
+            if threshold is not None and floor + spent + left[at] < threshold:
+                break  # the rest is non-essential
+            # Blocks lie in the order of what they add: the best are at the end, or at the start for a negative weight.
+            up = q[term] > 0
+            read, step = 0, 4 if threshold is None else len(self.starts)
+            blocks = len(self.starts) - 1
+            while read < blocks:
+                share = -1.0 if threshold is None else (threshold - floor - spent) * (bound[term] / max(1, left[at]))
+                wanted = int(np.count_nonzero(adds[term] - least[term] >= share))
+                if read >= wanted:
                     break
-                met = self.order[term, block : block + POSTINGS]
-                met = met[~seen[met]]
-                seen[met] = True
-                if len(met):
-                    found, score = self._probe(met, q, rising[::-1], bound, floor, threshold)
-                    best_ids, best = np.append(best_ids, self.ids[found]), np.append(best, score)
-                    if len(best) > 4 * k or threshold is None and len(best) >= k:
-                        best_ids, best, threshold = _cut(best_ids, best, k, threshold)
-            best_ids, best, threshold = _cut(best_ids, best, k, threshold)
-            at -= 1
-        return best_ids, best, threshold
-
-    def _blocks(self, term: int, x: int) -> Iterator[tuple[int, int]]:
-        """Start and most added (over the term's least) of each of a term's blocks, those that add most first."""
-        if x == 0:
-            yield from ((int(b), 0) for b in self.starts)
-            return
-        adds = x * (self.high[term] - self.least[term]) if x > 0 else x * (self.low[term] - self.most[term])
-        for b in range(len(self.starts) - 1, -1, -1) if x > 0 else range(len(self.starts)):
-            yield int(self.starts[b]), int(adds[b])
-
-    def _probe(self, met: np.ndarray, q: np.ndarray, falling: np.ndarray, bound: np.ndarray, floor: int, threshold: int | None) -> tuple[np.ndarray, np.ndarray]:
+                more = min(wanted, read + step)
+                a, b = (blocks - more, blocks - read) if up else (read, more)
+                met = self.order[term, self.starts[a] : self.starts[b]]
+                met = met[unseen[met]]
+                unseen[met] = False
+                found, score = self._probe(met, q, falling, left, int(floor), threshold)
+                ids, scores, threshold = _cut(np.append(ids, self.ids[found]), np.append(scores, score), k, threshold)
+                read, step = more, step * 4
+            else:
+                share = float(bound[term])  # all of the list is read: each candidate has been met
+                break
+            spent += max(0.0, share)
+        return ids, scores, threshold
+
+    def _probe(self, met: np.ndarray, q: np.ndarray, falling: np.ndarray, left: np.ndarray, floor: int, threshold: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Candidates and scores of those that stay competitive to the last term, probed in the order of bounds."""
-        terms = len(falling)
-        score = np.zeros(len(met), np.int64)
-        done, step = 0, 8
-        left = int(bound.sum())
-        lows = np.minimum(q * self.least, q * self.most)
-        low_left = int(lows.sum())
-        while done < terms:
-            part = falling[done : done + step]
-            score = score + self.vectors[met[:, None], part[None, :]] @ q[part]
-            done += len(part)
-            left -= int(bound[part].sum())
-            low_left -= int(lows[part].sum())
+        most = self.largest * int(np.abs(q).max(initial=0)) * len(q)
+        kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64  # all sums are exact
+        if kind not in self.rows:
+            self.rows[kind] = self.vectors.astype(kind)
+        rows, weights = self.rows[kind][met], q.astype(kind)
+        least = np.minimum(q * self.low[:, 0], q * self.high[:, -1])
+        score, behind = np.zeros(len(met), kind), floor
+        for at in range(0, len(falling), STEP):
+            part = falling[at : at + STEP]
+            score = score + rows[:, part] @ weights[part]
+            behind -= int(least[part].sum())
             if threshold is not None:
-                keep = score + low_left + left >= threshold
-                met, score = met[keep], score[keep]
+                keep = score >= threshold - behind - int(left[min(at + STEP, len(falling))])
+                if not keep.all():
+                    met, score, rows = met[keep], score[keep], rows[keep]
                 if not len(met):
                     break
-        return met, score
+        return met, score.astype(np.int64)
 
 
 def _cut(ids: np.ndarray, scores: np.ndarray, k: int, threshold: int | None) -> tuple[np.ndarray, np.ndarray, int | None]:
@@ -184,30 +187,26 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     last = shards.agg(F.max("shard")).first()[0]
     last = -1 if last is None else last
     # Each query block goes to each shard: the query set is compared with all rows, block by block.
-    sent = packed.select(F.explode(F.sequence(F.lit(0), F.lit(max(0, last)))).alias("shard"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("width").alias("q_width"))
+    sent = packed.select(F.explode(F.sequence(F.lit(0), F.lit(max(0, last)))).alias("shard"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("width").alias("q_width"), F.col("item").alias("q_item"))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: tuple[bytes, Postings] | None = None
-        known: dict[int, int] = {}  # of the queries of the last block: a threshold holds over the shards that follow
-        asked = b""
+        known: dict[bytes, list[int | None]] = {}  # thresholds of query blocks: they hold over the shards that follow
         for batch in batches:
             for x in batch.itertuples(index=False):
                 if held is None or held[0] != x.ids:
-                    ids = np.frombuffer(x.ids, "<i8")
-                    held = x.ids, Postings(np.frombuffer(x.matrix, "<i8").reshape(len(ids), x.width), ids)
-                if x.q_ids != asked:
-                    known, asked = {}, x.q_ids
-                own = np.frombuffer(x.q_ids, "<i8")
-                q = np.frombuffer(x.q_matrix, "<i8").reshape(len(own), x.q_width)
-                width = min(x.width, x.q_width)
+                    held = x.ids, Postings(unpacked(x.matrix, x.width, x.item), np.frombuffer(x.ids, "<i8"))
+                own, q = np.frombuffer(x.q_ids, "<i8"), unpacked(x.q_matrix, x.q_width, x.q_item)
+                terms = np.zeros((len(q), x.width), np.int64)
+                terms[:, : x.q_width] = q[:, : x.width]
+                thresholds = known.pop(x.q_ids, None) or [None] * len(q)
                 out = []
-                for i, vector in enumerate(q):
-                    terms = np.zeros(x.width, np.int64)
-                    terms[:width] = vector[:width]
-                    found, score, threshold = held[1].search(terms, int(own[i]), k, known.get(i))
-                    if threshold is not None:
-                        known[i] = threshold
+                for i, vector in enumerate(terms):
+                    found, score, thresholds[i] = held[1].search(vector, int(own[i]), k, thresholds[i])
                     out.append(pd.DataFrame({"query_id": np.full(len(found), own[i]), "vec_id": found, "score": score}))
+                known[x.q_ids] = thresholds
+                if len(known) > REMEMBERED:
+                    known.pop(next(iter(known)))
                 yield pd.concat(out)
 
     pairs = shards.join(sent, "shard").drop("shard")
