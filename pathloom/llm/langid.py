@@ -24,11 +24,11 @@ from pathloom.llm.common import labelled_sample, per_batch
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 NGRAMS = (1, 2, 3, 4)
-#: Bound of the training sample: rows for each label.
-PER_LABEL = 800
-#: Calibration aims to reject this share of rows like the labelled ones.
-REJECT_SHARE = 0.001
-#: Characters of the cuts that a training step may take instead of a whole text.
+#: Bound of the training sample: rows for each label. Of these a share is kept aside for calibration.
+PER_LABEL, ASIDE = 1500, 0.4
+#: Calibration aims to reject this share of rows like the labelled ones, and never a probability above the second number.
+REJECT_SHARE, MOST_REJECTED = 0.001, 0.5
+#: Characters of the cuts that every other training step takes instead of a whole text.
 CUT_CHARS = 600
 
 @dataclass
@@ -87,7 +87,11 @@ def subwords(text: str | None) -> np.ndarray:
 
 
 def fit(texts: list[str], labels: list[str], seed: int = 0, epochs: int = 5, rate: float = 0.5) -> LanguageModel:
-    """Train on the given rows; a fifth of them is kept aside for calibration."""
+    """Train on the given rows; a share of them is kept aside for calibration.
+
+    Steps take whole texts and short cuts by turns. The temperature and the
+    threshold below which a text is rejected come from the rows kept aside.
+    """
     rng = np.random.default_rng(seed)
     names = sorted(set(labels))
     if not names:  # nothing to learn from: no language is named, and only texts without letters are rejected
@@ -96,7 +100,8 @@ def fit(texts: list[str], labels: list[str], seed: int = 0, epochs: int = 5, rat
     table = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))
     weights, bias = np.zeros((DIMENSIONS, len(names))), np.zeros(len(names))
     order = rng.permutation(len(texts))
-    aside, used = order[: len(order) // 5], order[len(order) // 5 :]
+    cut = int(ASIDE * len(order))
+    aside, used = order[:cut], order[cut:]
     steps, step = epochs * max(1, len(used)), 0
     for _ in range(epochs):
         for i in rng.permutation(used):
@@ -104,7 +109,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 0, epochs: int = 5, rat
             step += 1
             text = texts[i]
             n = int(rng.integers(10, CUT_CHARS))
-            if len(text) > n:  # a cut, so that short texts are learned too
+            if step % 2 and len(text) > n:  # a cut, so that short texts are learned too
                 at = int(rng.integers(0, len(text) - n))
                 text = text[at : at + n]
             ids, times = np.unique(subwords(text), return_counts=True)
@@ -132,7 +137,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 0, epochs: int = 5, rat
 
         model.temperature = float(min(grid, key=loss))
         best = model.probabilities(x).max(axis=1)
-        model.threshold = float(min(0.5, np.quantile(best, REJECT_SHARE)))
+        model.threshold = float(min(MOST_REJECTED, np.quantile(best, REJECT_SHARE)))
     return model
 
 
@@ -168,7 +173,10 @@ class Predictor:
 def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, lang_pred, score and rejected of every row's whole text.
 
-    A text that is null or has no letter is ``und`` with score 0, and rejected.
+    A text that is null or has no letter is ``und`` with score 0, and rejected; of
+    labels that are equally likely the first by name is given. Rows are judged one
+    by one, so ids may be null or repeat, and an empty table gives an empty table.
+    Only the two columns are read. A model without labels names none.
     """
     rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     schema = T.StructType(
@@ -188,7 +196,11 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is not rejected."""
+    """The rows of ``docs``, all columns, whose language is not rejected.
+
+    Rows without a letter go; repeated rows go or stay together. Columns may have
+    any names, and an empty table gives an empty table.
+    """
 
     def make():
         predictor = Predictor(model)

@@ -216,7 +216,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_la
 
 
 def score(df: DataFrame, model: LineModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, score and predicted of every row's whole text; null and empty texts count as one empty line."""
+    """``id_col``, score and predicted of every row's whole text; null and empty texts count as one empty line.
+
+    Rows are scored one by one, so ids may be null or repeat, and equal texts score
+    alike; an empty table gives an empty table. Only the two columns are read.
+    """
     rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     schema = T.StructType([T.StructField(id_col, rows.schema["id"].dataType), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
@@ -231,7 +235,11 @@ def score(df: DataFrame, model: LineModel, id_col: str = "doc_id", text_col: str
 
 
 def keep_good(docs: DataFrame, model: LineModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that are predicted good."""
+    """The rows of ``docs``, all columns, that are predicted good.
+
+    Repeated rows go or stay together. Columns may have any names, and an empty
+    table gives an empty table.
+    """
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -55,15 +55,17 @@ def mix(
 ) -> DataFrame:
     """doc_id, source, size, source_size, target and taken (words, repeats counted) of every row.
 
-    A null text has size 0 and is not taken; null is a source of its own; a null
-    id counts as the empty one for the key. Equal keys stand in the order of id and
-    size, so reruns agree. Other columns are not read. An empty table gives an
-    empty table. ``row_col`` may name a row's own number: it is returned too, as
-    row, and a hash of the text then settles what is left of equal keys.
+    A null text has size 0 and is not taken; null is a source of its own. The key
+    is a hash of id and text, a null id or text counting as empty, so that rows
+    without an id, or of one id, are dealt over all ranges too. Rows with equal id
+    and text are interchangeable, so reruns agree. Other columns are not read. An
+    empty table gives an empty table. ``row_col`` may name a row's own number: it
+    is returned too, as row.
     """
-    own = [] if row_col is None else ["row", "tie"]
-    marks = [] if row_col is None else [df[row_col].alias("row"), F.xxhash64(df[text_col]).alias("tie")]
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(df[id_col].cast("string"), F.lit(""))).cast("binary"))
+    own = [] if row_col is None else ["row"]
+    marks = [] if row_col is None else [df[row_col].alias("row")]
+    text = F.md5(F.coalesce(df[text_col], F.lit("")).cast("binary"))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(df[id_col].cast("string"), F.lit("")), F.lit(":"), text).cast("binary"))
     sized = written(df.select(df[id_col].alias("doc_id"), df[source_col].alias("source"), word_count(df[text_col]).alias("size"), key.alias("key"), *marks), "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     aims = written(targets(sources, weights, share, cap), "targets")
@@ -77,10 +79,10 @@ def mix(
     )
     sums = placed.groupBy("source_no", "range").agg(F.sum("size").alias("words"))
     before = sums.select("source_no", "range", F.coalesce(F.sum("words").over(W.partitionBy("source_no").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    inside = W.partitionBy("source_no", "range").orderBy("key", "doc_id", "size", *own[1:]).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source_no", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size")
     start = F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     taken = epochs * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - start))
-    return placed.join(before, ["source_no", "range"]).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), *own[:1])
+    return placed.join(before, ["source_no", "range"]).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), *own)

@@ -118,7 +118,11 @@ def mask(policy: Policy, rules: Sequence[Rule] = RULES) -> int:
 
 
 def ledger(df: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, the measures and ``failures``: a bit for each rule that fails."""
+    """``id_col``, the measures and ``failures``: a bit for each rule that fails.
+
+    Ids may be null or repeat: rows stay apart. Only the two columns are read, so
+    other names don't matter, and an empty table gives an empty table.
+    """
     bits = F.lit(0).cast("long")
     for r in rules:
         bits = bits.bitwiseOR(F.when(r.fails(), F.lit(1 << r.bit).cast("long")).otherwise(F.lit(0).cast("long")))

@@ -1,17 +1,22 @@
 """URL filters as a sort-merge range join, in DataFrame operations alone.
 
-A rule (host, path) fits a URL whose host is the rule's or under it and whose
-path starts with the rule's. With the host's labels reversed, such a rule is an
-interval of keys: from ``org,example)/en/`` up to the last key with that prefix.
-A URL has one key for each ancestor of its host, so each rule that fits is an
-interval around one of its keys.
-
-Keys and the starts of intervals are sorted together, and a sweep carries the
-stack of rules that were open when the last one started. Prefix intervals nest
-or are disjoint: the rules open at a key are those of the stack that it starts
-with. The sweep runs for each rule host by itself; the keys of a host are dealt
-over as many sweeps as they fill, each with all of the host's rules, so that no
-host is one task's work.
+A URL's key is its host with the labels reversed, each ended by a comma, then a
+parenthesis and the path: ``org,example,www,)/en/12``. A host with everything
+under it is the interval of keys that begin with ``org,example,``, and a rule's
+path below its host the interval of those with ``org,example,)/en/``. Intervals of
+prefixes nest or are disjoint.
+
+A sweep sorts keys together with the starts and ends of intervals. Each start
+carries the stack of intervals that are open from there on, itself innermost, and
+each end the stack that is left; the last mark before a key has the stack of all
+intervals that the key lies in. The first sweep finds for each URL the hosts with
+rules that it is under, the second, over the same path below each of these, the
+rules that fit.
+
+Keys are dealt to as many sweeps as hold about SWEEP_KEYS keys (or as many as
+there are marks, if those are more), by a hash of the whole row, and each sweep
+gets all marks. So no border cuts a stack, no host is one task's work, and the
+marks that are sent number no more than the keys.
 """
 
 from __future__ import annotations
@@ -22,8 +27,8 @@ from pyspark.sql import functions as F
 
 from pathloom.llm.common import written
 
-#: Keys of a sweep, if its host has no more rules than that; else as many as it has rules.
-SWEEP_KEYS = 256
+#: Keys of a sweep, at least.
+SWEEP_KEYS = 4096
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -35,59 +40,73 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), UPPER, LOWER), F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
-def stacks(rules: DataFrame) -> DataFrame:
-    """host, path and stack of each rule: itself and the rules around it, innermost first.
+def host_prefix(host: Column) -> Column:
+    """What the keys of a host and of all hosts under it begin with."""
+    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(","))
 
-    ``rules``: host, path, rule, verdict, one row for each (host, path). A rule's
-    prefixes that are as long as some rule of its host are looked up; there are
-    no more than the path has characters.
+
+def stacks(intervals: DataFrame) -> DataFrame:
+    """prefix and stack of (prefix, entry): the entries of all intervals that hold this one, innermost first.
+
+    Of each prefix, those beginnings that are as long as some interval's prefix
+    are looked up; there are no more of them than it has characters.
     """
-    lengths = rules.select("host", F.length("path").alias("n")).distinct()
-    outer = rules.select("host", F.col("path").alias("start"), "rule", "verdict")
-    prefixes = rules.select("host", "path").join(lengths, "host").where(F.col("n") <= F.length("path")).withColumn("start", F.substring(F.col("path"), F.lit(1), F.col("n")))
-    found = prefixes.join(outer, ["host", "start"])
-    entry = F.struct((-F.col("n")).alias("n"), "start", "rule", "verdict")
-    return found.groupBy("host", "path").agg(F.array_sort(F.collect_list(entry)).alias("stack"))
+    lengths = intervals.select(F.length("prefix").alias("n")).distinct()
+    outer = intervals.withColumnsRenamed({"prefix": "start"})
+    starts = intervals.select("prefix").join(lengths, F.col("n") <= F.length("prefix")).withColumn("start", F.substring(F.col("prefix"), F.lit(1), F.col("n")))
+    held = starts.join(outer, "start").groupBy("prefix").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "entry"))).alias("held"))
+    return held.select("prefix", F.transform("held", lambda x: x["entry"]).alias("stack"))
+
+
+def swept(keys: DataFrame, intervals: DataFrame) -> DataFrame:
+    """The rows of ``keys`` that lie in an interval, with ``stack``: the entries of these intervals, innermost first.
+
+    ``keys``: key and other columns; ``intervals``: prefix (each once) and entry.
+    """
+    nested = written(stacks(intervals), "stacks")
+    keys = written(keys, "keys")
+    marks, n = 2 * nested.count(), keys.count()
+    sweeps = -(-n // max(SWEEP_KEYS, marks)) or 1
+    begin, own = F.col("prefix").cast("binary"), [c for c in keys.columns if c != "key"]
+    none = [F.lit(None).cast(keys.schema[c].dataType).alias(c) for c in own]
+    # 0xFF is in no UTF-8 text: as an end it stands behind all keys with the prefix, and inner ends before outer ones.
+    ends = nested.select(F.concat(begin, F.lit(b"\xff")).alias("at"), F.slice("stack", 2, F.size("stack")).alias("open"))
+    each = nested.select(begin.alias("at"), F.col("stack").alias("open")).union(ends)
+    dealt = each.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sweeps - 1).cast("long"))).alias("sweep"), "at", F.lit(0).alias("kind"), "open", *none)
+    rows = keys.select(F.pmod(F.xxhash64("key", *own), F.lit(sweeps)).alias("sweep"), F.col("key").cast("binary").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(dealt.schema["open"].dataType).alias("open"), *own)
+    order = W.partitionBy("sweep").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0)
+    carried = dealt.union(rows).withColumn("stack", F.last("open", ignorenulls=True).over(order))
+    return carried.where("kind = 1 AND size(stack) > 0").select(*own, "stack")
 
 
 def judge(df: DataFrame, rules: DataFrame, default: str = "allow", url_col: str = "url") -> DataFrame:
     """The rows of ``df`` with host, path, rule (null if none fits) and verdict.
 
-    ``rules``: host, path, verdict. The rule with most host labels wins, then the
-    one with the longest path; of equal rules a block wins over an allow. Columns
-    of ``df`` that have one of the four names give way. Rows with null, empty or
-    repeated URLs are judged like all others, and all rows stay.
+    ``rules``: host, path, verdict; those with a null or empty host or a null path
+    fit nothing. The rule with most host labels wins, then the one with the
+    longest path; of equal rules a block wins over an allow. Columns of ``df`` that
+    have one of the four names give way. Rows with null, empty or repeated URLs
+    are judged like all others, and all rows stay. Without rules, or for an empty
+    table, no rule fits any row.
     """
-    named = rules.where("host IS NOT NULL AND path IS NOT NULL").groupBy(F.translate("host", UPPER, LOWER).alias("host"), "path").agg(F.max("verdict").alias("verdict"))
-    named = named.withColumn("rule", F.concat("host", "path"))
+    named = rules.where("host != '' AND path IS NOT NULL").groupBy(F.translate("host", UPPER, LOWER).alias("host"), "path").agg(F.max("verdict").alias("verdict"))
+    labels = F.size(F.split("host", r"\."))
+    below = named.select(host_prefix(F.col("host")).alias("host_key"), "path", F.struct(labels.alias("labels"), F.length("path").alias("n"), F.concat("host", "path").alias("rule"), "verdict").alias("entry"))
+    below = written(below, "rules")
+
     host, path = url_parts(df[url_col])
     rows = df.drop("rule", "verdict") if url_col in ("host", "path") else df.drop("host", "path", "rule", "verdict")
     rows = rows.withColumns({"host": host, "path": path})
-    depth = named.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 0
-
-    # Each distinct URL is judged once. Its keys: one for each ancestor host that has rules.
-    labels = F.split("host", r"\.")
-    n = F.size(labels)
-    ancestors = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(max(1, depth)))), lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
-    hosts = named.groupBy("host").agg(F.count("*").alias("n_rules")).withColumnRenamed("host", "rule_host")
-    keys = written(rows.select("host", "path").distinct().withColumn("rule_host", F.explode(ancestors)).join(hosts, "rule_host"), "url-keys")
-
-    sweeps = written(
-        keys.groupBy("rule_host", "n_rules").agg(F.count("*").alias("n")).select("rule_host", F.ceil(F.col("n") / F.greatest(F.lit(SWEEP_KEYS), F.col("n_rules"))).cast("long").alias("sweeps")),
-        "sweeps",
-    )
-    surt = F.concat(F.array_join(F.reverse(F.split("rule_host", r"\.")), ","), F.lit(")"), F.col("path"))
-    starts = (
-        stacks(named)
-        .withColumnRenamed("host", "rule_host")
-        .join(sweeps, "rule_host")
-        .select("rule_host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sweeps") - 1)).alias("sweep"), surt.alias("key"), "path", F.lit(None).cast("string").alias("host"), "stack")
-    )
-    dealt = keys.join(sweeps, "rule_host").select("rule_host", F.pmod(F.xxhash64("host", "path"), F.col("sweeps")).alias("sweep"), surt.alias("key"), "path", "host", F.lit(None).cast(starts.schema["stack"].dataType).alias("stack"))
-    order = W.partitionBy("rule_host", "sweep").orderBy("key", F.col("host").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
-    swept = starts.union(dealt).withColumn("open", F.last("stack", ignorenulls=True).over(order)).where("host IS NOT NULL AND open IS NOT NULL")
-    innermost = swept.withColumn("top", F.get(F.filter("open", lambda x: F.startswith(F.col("path"), x["start"])), 0)).where("top IS NOT NULL")
-    rank = F.struct(F.size(F.split("rule_host", r"\.")), F.length("top.start"))
-    best = innermost.groupBy("host", "path").agg(F.max_by("top", rank).alias("best"))
-    found = best.select("host", "path", "best.rule", "best.verdict")
-    return rows.join(found, ["host", "path"], "left").select(*rows.columns, "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    named_rows = rows.where("host != ''")
+
+    # Each distinct URL is judged once.
+    urls = named_rows.select("host", "path").distinct().select(F.concat(host_prefix(F.col("host")), F.lit(")"), F.col("path")).alias("key"), "host", "path")
+    under = swept(urls, below.select(F.col("host_key").alias("prefix"), F.col("host_key").alias("entry")).distinct())
+    paths = under.select("host", "path", F.explode("stack").alias("host_key")).select(F.concat("host_key", F.lit(")"), F.col("path")).alias("key"), "host", "path")
+    fitting = swept(paths, below.select(F.concat("host_key", F.lit(")"), F.col("path")).alias("prefix"), "entry"))
+    top = fitting.select("host", "path", F.col("stack")[0].alias("top"))  # the longest path of each host that the URL is under
+    found = top.groupBy("host", "path").agg(F.max_by("top", F.struct("top.labels", "top.n")).alias("best")).select("host", "path", "best.rule", "best.verdict")
+
+    judged = named_rows.join(found, ["host", "path"], "left").select(*rows.columns, "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    # URLs without a host share one key, so they stay out of the join.
+    return judged.unionByName(rows.where("host = ''").select(*rows.columns, F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))

@@ -40,6 +40,8 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Neighbouring records are read at once up to so many bytes.
 READ_BYTES = 1 << 20
+#: Keys, and bytes of records, that a task is dealt.
+TASK_KEYS, TASK_BYTES = 50_000, 8 << 20
 
 
 def url_key(url: Column, page_id: Column) -> Column:
@@ -105,10 +107,12 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     folder = folder or scratch(pages.sparkSession, "warc")
     payload = F.encode(F.coalesce(pages[html_col], F.lit("")), "UTF-8")
     rows = pages.select(pages[id_col].cast("long").alias("page"), pages[url_col].alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    # Only digests that repeat are joined with: the table is small where copies are few, and Spark broadcasts it by its size.
-    large = F.octet_length("payload") >= REVISIT_BYTES
-    shared = written(rows.where(large).groupBy("digest").agg(F.max("page").alias("original"), F.count("*").alias("n")).where("n > 1 AND original IS NOT NULL").select("digest", "original"), "shared")
-    typed = rows.join(shared, "digest", "left").withColumn("is_revisit", F.coalesce(large & F.col("original").isNotNull() & ~F.col("page").eqNullSafe(F.col("original")), F.lit(False)))
+    # Who refers to whom is settled on ids and digests alone; then each payload is looked up by its own id and digest,
+    # so that pages with one payload are never gathered.
+    large = written(rows.where(F.octet_length("payload") >= REVISIT_BYTES).select("page", "digest"), "digests")
+    shared = large.groupBy("digest").agg(F.max("page").alias("original"), F.count("*").alias("n")).where("n > 1 AND original IS NOT NULL").select("digest", "original")
+    revisits = written(large.join(shared, "digest").where(~F.col("page").eqNullSafe(F.col("original"))).distinct().withColumnsRenamed({"page": "r_page", "digest": "r_digest"}), "revisits")
+    typed = rows.join(revisits, (F.col("digest") == F.col("r_digest")) & F.col("page").eqNullSafe(F.col("r_page")), "left").withColumn("is_revisit", F.col("original").isNotNull())
     keyed = typed.select(url_key(F.col("url"), F.col("page")).alias("key"), "page", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "%0A").alias("url"), "payload", "digest", "original", "is_revisit")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,9 +138,15 @@ DIRECTORY_END = "<QQ4s"
 
 
 def build_index(captures: DataFrame, folder: str | None = None) -> DataFrame:
-    """Sort captures into index files; returns the manifest (file, first_key, n), a written table, one row a file."""
+    """Sort captures into index files; returns the manifest (file, first_key, n), a written table, one row a file.
+
+    ``captures``: key, file, offset, length; other columns are not read. Keys may
+    be empty or repeat, and repeats stand in the order of file and offset. Null
+    keys take no part. Without captures there is no index file.
+    """
     folder = folder or scratch(captures.sparkSession, "index")
-    ranged = captures.repartitionByRange("key", "file", "offset").sortWithinPartitions("key", "file", "offset")
+    captures = captures.where("key IS NOT NULL").select("key", "file", "offset", "length")
+    ranged = captures.repartitionByRange(-(-captures.count() // TASK_KEYS) or 1, "key", "file", "offset").sortWithinPartitions("key", "file", "offset")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uri, out, at, n, first, directory, held = f"{folder}/{uuid.uuid4().hex}.cdx", None, 0, 0, None, [], []
@@ -204,12 +214,16 @@ class IndexFile:
 def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
     """file, offset, length of all captures of the distinct ``key`` values.
 
+    Keys that repeat are looked up once; null keys and those that the index lacks
+    give no rows, and neither does an empty index. Other columns are not read.
+
     The manifest has one row for each index file, that is, for each partition of
     the job that sorted the index; these rows alone go to all tasks.
     """
     files = sorted((r["first_key"].encode(), r["file"]) for r in manifest.select("first_key", "file").collect())
     first = [k for k, _ in files]
-    ranged = keys.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key")
+    asked = written(keys.select("key").where("key IS NOT NULL").distinct(), "keys")
+    ranged = asked.repartitionByRange(-(-asked.count() // TASK_KEYS) or 1, "key").sortWithinPartitions("key")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, opened = -1, None
@@ -235,7 +249,12 @@ RECORD = "page_id long, url string, record_type string, payload_bytes long, payl
 
 
 def read_records(places: DataFrame, with_payload: bool = True) -> DataFrame:
-    """The records at (file, offset, length), read by ranges in the order of their place."""
+    """The records at (file, offset, length), read by ranges in the order of their place.
+
+    Places that repeat give their record each time; an empty table gives none. The
+    payload of a revisit is empty, its digest and its bytes are those of the page.
+    Places are dealt to tasks by the bytes of their records.
+    """
     names = [x.split()[0] for x in RECORD.split(", ")][: 7 if with_payload else 6]
     schema = RECORD if with_payload else RECORD.rpartition(", ")[0]
 
@@ -271,5 +290,7 @@ def read_records(places: DataFrame, with_payload: bool = True) -> DataFrame:
             if rows:
                 yield flush(rows)
 
-    ordered = places.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    places = written(places.select("file", "offset", "length"), "places")
+    total = places.agg(F.sum("length")).first()[0] or 0
+    ordered = places.repartitionByRange(-(-total // TASK_BYTES) or 1, "file", "offset").sortWithinPartitions("file", "offset")
     return ordered.mapInArrow(read, schema)
