@@ -3,15 +3,13 @@
 Points are structs with x and y, in order. Each measure folds over the rows of
 its table and, within a row, over the cells, as nested array aggregations: no
 Python runs. A row is rebuilt cell by cell, so a pair costs about m n (n + 1) / 2
-steps; for long trajectories ``fast`` gives the same measure over Arrow batches.
+steps; for long trajectories ``operators.measure_search`` gives the same over blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -91,55 +89,6 @@ def lcss(t1: Column, t2: Column, threshold: float, delta: int, distance: PointDi
     return (both - 2 * length).cast("double")
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
-
-
-def table_value(name: str, a: np.ndarray, b: np.ndarray, **how) -> float:
-    """One planar measure of two (n, 2) arrays, by anti-diagonals of the table."""
-    m, n = len(a), len(b)
-    if name == "dtw" and not (m and n):
-        return float("nan")
-    d = _distances(a, b)
-    t = np.zeros((m + 1, n + 1))
-    if name == "dtw":
-        t[0, 1:] = t[1:, 0] = np.inf
-    elif name == "edr":
-        t[0], t[:, 0] = np.arange(n + 1), np.arange(m + 1)
-        d = (d > how["threshold"]).astype(float)
-    elif name == "erp":
-        g = np.array(how.get("gap", (0.0, 0.0)))
-        ga, gb = np.sqrt(((a - g) ** 2).sum(axis=1)), np.sqrt(((b - g) ** 2).sum(axis=1))
-        t[0, 1:], t[1:, 0] = np.cumsum(gb), np.cumsum(ga)
-    else:
-        d = (d <= how["threshold"]) & (np.abs(np.arange(m)[:, None] - np.arange(n)[None, :]) <= how["delta"])
-    for s in range(m + n - 1):
-        i = np.arange(max(0, s - n + 1), min(m, s + 1))
-        j = s - i
-        ul, up, left = t[i, j], t[i, j + 1], t[i + 1, j]
-        if name == "dtw":
-            v = d[i, j] + np.minimum(np.minimum(ul, up), left)
-        elif name == "edr":
-            v = np.minimum(np.minimum(ul + d[i, j], up + 1), left + 1)
-        elif name == "erp":
-            v = np.minimum(np.minimum(ul + d[i, j], up + ga[i]), left + gb[j])
-        else:
-            v = np.where(d[i, j], ul + 1, np.maximum(up, left))
-        t[i + 1, j + 1] = v
-    last = t[m, n]
-    return float(m + n - 2 * last) if name == "lcss" else float(last)
-
-
-def fast(name: str, **how):
-    """The planar measure as a pandas UDF of four array columns: x1, y1, x2, y2."""
-
-    @F.pandas_udf("double")
-    def measure(x1: pd.Series, y1: pd.Series, x2: pd.Series, y2: pd.Series) -> pd.Series:
-        return pd.Series([table_value(name, np.column_stack([a, b]), np.column_stack([c, d]), **how) for a, b, c, d in zip(x1, y1, x2, y2, strict=True)])
-
-    return measure
-
-
 def measure_topk(queries: DataFrame, data: DataFrame, measure: Callable[[Column, Column], Column], k: int, ascending: bool = True, points: str = "pts") -> DataFrame:
     """qid, rank, tid, dist: the k nearest (or farthest) trajectories of each query, ties to the smaller tid.
 

@@ -8,17 +8,24 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Word2Vec
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions import geo
+from pathloom.operators.knn import knn_exact
+from pathloom.operators.perturb import numbered
+from pathloom.plans.storage import kept
 
 
-def token_vectors(sentences: DataFrame, size: int = 100, window: int = 5, min_count: int = 1, rounds: int = 10, seed: int = 1) -> DataFrame:
-    """word, vec: skip-gram vectors of the words of ``sentences`` (words: array of string)."""
-    model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=rounds, seed=seed, inputCol="words", outputCol="_").fit(sentences.select("words"))
-    from pyspark.ml.functions import vector_to_array
+def token_vectors(sentences: DataFrame, size: int = 100, window: int = 5, min_count: int = 1, rounds: int = 10, seed: int = 1, parts: int = 1) -> DataFrame:
+    """word, vec: skip-gram vectors of the words of ``sentences`` (words: array of string).
 
+    ``parts`` tasks train side by side and their vectors are averaged after each
+    round, so more parts want more rounds.
+    """
+    model = Word2Vec(numPartitions=parts, vectorSize=size, windowSize=window, minCount=min_count, maxIter=rounds, seed=seed, inputCol="words", outputCol="_").fit(sentences.select("words"))
     return model.getVectors().select("word", vector_to_array("vector").alias("vec"))
 
 
@@ -67,11 +74,19 @@ def point_features(points: DataFrame, space: DataFrame, time: DataFrame, words:
     return rows.select("tid", "pid", F.concat(F.coalesce("s_vec", zero), F.coalesce("t_vec", zero), F.coalesce("w_vec", zero)).alias("feature"))
 
 
-def pooled(features: DataFrame, size: int = 300) -> DataFrame:
+def averaged(vectors: DataFrame, key: str, vec: str = "vec") -> DataFrame:
+    """key, vec: the mean of each key's vectors, by partial sums of fixed size on the map side."""
+    return vectors.groupBy(key).agg(vector_to_array(Summarizer.mean(array_to_vector(F.col(vec).cast("array<double>")))).alias("vec"))
+
+
+def mean_unit_vectors(vectors: DataFrame, key: str, vec: str = "vec") -> DataFrame:
+    """key, vec: the mean of each key's vectors at length 1, itself brought to length 1."""
+    return averaged(vectors.select(key, unit(F.col(vec)).alias("vec")), key).withColumn("vec", unit(F.col("vec")))
+
+
+def pooled(features: DataFrame) -> DataFrame:
     """tid, vec: the mean of a trajectory's point features (what stands in where no trained weights are)."""
-    at = F.posexplode("feature").alias("i", "v")
-    sums = features.select("tid", at).groupBy("tid", "i").agg(F.avg("v").alias("v"))
-    return sums.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("p")).select("tid", F.col("p.v").alias("vec"))
+    return averaged(features, "tid", "feature")
 
 
 @dataclass(frozen=True)
@@ -99,14 +114,17 @@ def attention(score: np.ndarray, t: int) -> np.ndarray:
 
 
 def encode(points: np.ndarray, w: EncoderWeights) -> np.ndarray:
-    """The last state of the encoder for one trajectory's (n, d) features."""
+    """The last state of the encoder for one trajectory's (n, d) features.
+
+    At step t all points are weighed by the state, and point t goes in by its weight.
+    """
     h = np.zeros(len(w.wh))
     c = np.zeros(len(w.wh))
     keys = points @ w.w2
     sigmoid = lambda x: 1 / (1 + np.exp(-x))
     for t in range(len(points)):
         weight = attention(np.tanh(np.concatenate([h, c]) @ w.w1 + keys) @ w.v, t)
-        x = weight @ points
+        x = weight[t] * points[t]
         i, f, g, o = np.split(x @ w.wx + h @ w.wh + w.b, 4)
         c = sigmoid(f) * c + sigmoid(i) * np.tanh(g)
         h = sigmoid(o) * np.tanh(c)
@@ -124,13 +142,25 @@ def encode_trajectories(features: DataFrame, weights: EncoderWeights) -> DataFra
     return nested.mapInPandas(run, "tid long, vec array<double>")
 
 
+def nearest_keywords(sets: DataFrame, words: DataFrame, k: int, size: int) -> DataFrame:
+    """terms, rank, word, similarity: the k keywords by cosine nearest to the mean unit vector of each keyword set.
+
+    ``sets``: terms, distinct; ``words``: word, vec. Words and sets are numbered in
+    their order for the search in blocks; equally near words come in that order.
+    """
+    listed = kept(numbered(words, "word").withColumnRenamed("place", "id"))
+    asked = kept(numbered(sets.select("terms"), "terms").withColumnRenamed("place", "qid"))
+    each = asked.select("qid", F.explode("terms").alias("term")).select("qid", F.replace("term", F.lit(" "), F.lit("-")).alias("word"))
+    means = mean_unit_vectors(each.join(words, "word"), "qid").withColumnRenamed("qid", "id")
+    near = knn_exact(means, listed, k, "cosine")
+    return near.join(listed.select("id", "word"), "id").join(asked, "qid").select("terms", "rank", "word", (1 - F.col("dist")).alias("similarity"))
+
+
 def neighbour_share(vectors: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """One row: the share of true neighbours (token, neighbour) among the 2 k nearest vectors of each token.
 
-    For vocabularies, that is, small tables: all pairs of tokens are compared.
+    Words are token numbers; the vocabulary is compared with itself in blocks.
     """
-    from pathloom.operators.knn import knn_exact
-
     rows = vectors.select(F.col("word").cast("long").alias("id"), "vec")
     near = knn_exact(rows, rows, 2 * k, "l2", with_self=False).select(F.col("qid").alias("token"), F.col("id").alias("neighbour"), F.lit(1).alias("hit"))
     return truth.select("token", "neighbour").join(near, ["token", "neighbour"], "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("share"))

@@ -11,13 +11,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pathloom.functions import geo
+from pathloom.functions.draws import RANGE, draw_int
+from pathloom.operators.blocks import met
 from pathloom.plans.params import IndexParams
-from pathloom.plans.storage import kept
+from pathloom.plans.storage import kept, scratch
 
 BLOCK, QUERY_BLOCK = 4096, 1024
 
@@ -57,13 +58,14 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
     return usable.mapInPandas(pack, "shard int, ids binary, matrix binary, width int")
 
 
+def _packed_queries(queries: DataFrame) -> DataFrame:
+    return _blocks(queries, QUERY_BLOCK).drop("shard").withColumnsRenamed({"ids": "q_ids", "matrix": "q_matrix", "width": "q_width"})
+
+
 def _searched(queries: DataFrame, data: DataFrame, search: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple]) -> DataFrame:
     """qid, id, dist that ``search(vectors, ids, query vectors, query ids)`` finds in each pair of blocks."""
     # Shards are counted in the blocks as kept: another job over the data may have other partitions.
-    shards = kept(_blocks(data, BLOCK))
-    n = shards.agg(F.max("shard")).first()[0]
-    packed = _blocks(queries.coalesce(32), QUERY_BLOCK).drop("shard").withColumnsRenamed({"ids": "q_ids", "matrix": "q_matrix", "width": "q_width"})
-    sent = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n or 0))))
+    shards, asked = kept(_blocks(data, BLOCK)), kept(_packed_queries(queries))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -73,7 +75,7 @@ def _searched(queries: DataFrame, data: DataFrame, search: Callable[[np.ndarray,
                 row, found, dist = search(v, ids, q, own)
                 yield pd.DataFrame({"qid": own[row], "id": found, "dist": dist})
 
-    return shards.join(sent, "shard").drop("shard").mapInPandas(run, "qid long, id long, dist double")
+    return met(shards, asked).mapInPandas(run, "qid long, id long, dist double")
 
 
 def nearest(found: DataFrame, k: int) -> DataFrame:
@@ -102,32 +104,58 @@ def knn_exact(queries: DataFrame, data: DataFrame, k: int, metric: str = "l2", w
     return nearest(_searched(queries, data, search), k)
 
 
+def _pivot_search(queries: DataFrame, data: DataFrame, k: int, n_pivots: int) -> DataFrame:
+    """qid, id, dist, and for each query and block a row with dist -1 whose id is the number of distances worked out."""
+    pivots = np.array([r["vec"] for r in data.orderBy(draw_int("id"), "id").limit(n_pivots).select("vec").collect()], float)
+
+    def search(v, ids, q, own):
+        if not len(pivots):
+            return np.empty(0, int), np.empty(0, np.int64), np.empty(0)
+        to_v, to_q = distances(v, pivots, "l2"), distances(q, pivots, "l2")
+        rows, found, dist = [], [], []
+        for i, x in enumerate(q):
+            # No row is nearer than the largest difference of distances to a pivot.
+            least = np.abs(to_v - to_q[i]).max(axis=1)
+            first = np.argpartition(least, min(4 * k, len(v)) - 1)[: 4 * k]
+            near = distances(x[None], v[first], "l2")[0]
+            kth = np.partition(near, min(k, len(near)) - 1)[min(k, len(near)) - 1]
+            rest = least <= kth + 1e-9
+            rest[first] = False
+            rest = np.flatnonzero(rest)
+            which, near = np.append(first, rest), np.append(near, distances(x[None], v[rest], "l2")[0])
+            best = np.flatnonzero(near <= np.partition(near, min(k, len(near)) - 1)[min(k, len(near)) - 1])
+            rows.append(np.full(len(best) + 1, i))
+            found.append(np.append(ids[which[best]], len(which)))
+            dist.append(np.append(near[best], -1.0))
+        return np.concatenate(rows), np.concatenate(found), np.concatenate(dist)
+
+    return _searched(queries, data, search)
+
+
 def knn_pivot_pruned(queries: DataFrame, data: DataFrame, k: int, n_pivots: int = 8) -> DataFrame:
-    """The k nearest rows by L2, exactly, with the triangle inequality.
+    """The k nearest rows by L2, exactly, with the triangle inequality in each block.
 
-    Distances to a few pivots are columns. A query's k-th distance is at most its
-    distance to a pivot plus the k-th distance from there; a row can be within this
-    radius only if, for each pivot, its distance differs by no more than that.
+    Distances to a few pivots bound every other distance from below; only rows whose
+    bound is within the k-th best distance so far are compared.
     """
-    pivots = data.orderBy(F.xxhash64("id"), "id").limit(n_pivots).select("vec").collect()
-    points = [F.array(*(F.lit(float(x)) for x in r["vec"])) for r in pivots]
-    to_pivots = F.array(*(geo.l2(F.col("vec"), p) for p in points))
-    rows = data.select("id", "vec", to_pivots.alias("p"))
-    each = rows.select(F.posexplode("p").alias("pivot", "d"))
-    kth = each.withColumn("n", F.row_number().over(W.partitionBy("pivot").orderBy("d"))).where(F.col("n") <= k).groupBy("pivot").agg(F.max("d").alias("d"), F.count("*").alias("n"))
-    far = {r["pivot"]: r["d"] if r["n"] >= k else float("inf") for r in kth.collect()}  # one row a pivot
-    asked = queries.select(F.col("id").alias("qid"), F.col("vec").alias("q_vec"), to_pivots.alias("q_p"))
-    asked = asked.withColumn("radius", F.array_min(F.zip_with("q_p", F.array(*(F.lit(float(far.get(i, float("inf")))) for i in range(len(points)))), lambda a, b: a + b)) + F.lit(1e-9))
-    within = F.forall(F.zip_with("q_p", "p", lambda a, b: geo.difference(a, b)), lambda x: x <= F.col("radius"))
-    pairs = asked.join(rows, within).select("qid", "id", geo.l2(F.col("q_vec"), F.col("vec")).alias("dist"))
-    return nearest(pairs, k)
+    return nearest(_pivot_search(queries, data, k, n_pivots).where("dist >= 0"), k)
+
+
+def pivot_costs(queries: DataFrame, data: DataFrame, k: int, n_pivots: int = 8) -> DataFrame:
+    """qid, compared: the distances that ``knn_pivot_pruned`` works out for each query, pivots left out."""
+    return _pivot_search(queries, data, k, n_pivots).where("dist < 0").groupBy("qid").agg(F.sum("id").alias("compared"))
 
 
 class Graph:
     """A small-world graph over one block: diverse neighbours, a top layer of entry points, beam search."""
 
-    def __init__(self, vectors: np.ndarray, params: IndexParams, metric: str, seed: int = 0, entries: np.ndarray | None = None) -> None:
-        self.v, self.metric, self.params = vectors, metric, params
+    def __init__(self, vectors: np.ndarray, links: np.ndarray, sizes: np.ndarray, entries: np.ndarray) -> None:
+        self.v, self.entries = vectors, entries
+        self.links = np.split(links, np.cumsum(sizes)[:-1]) if len(sizes) else []
+
+    @staticmethod
+    def built(vectors: np.ndarray, params: IndexParams, metric: str, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Links of all rows, one after another, their numbers, and entry points."""
         n, m = len(vectors), params.m
         width = min(n - 1, max(params.ef_construction, m))
         links: list[dict[int, float]] = [{} for _ in range(n)]
@@ -136,30 +164,17 @@ class Graph:
             for i, row in enumerate(d, at):
                 row[i] = np.inf
                 near = np.argpartition(row, width - 1)[:width] if width else np.empty(0, int)
-                for j in self.diverse(near[np.argsort(row[near], kind="stable")], row, m):
+                for j in diverse(vectors, near[np.argsort(row[near], kind="stable")], row, m, metric):
                     links[i][j] = links[j][i] = float(row[j])
-        self.links = [np.array(sorted(x, key=x.get)[: 2 * m], int) for x in links]
+        best = [sorted(x, key=x.get)[: 2 * m] for x in links]
         # Levels fall geometrically by m; the nodes above the ground are where searches begin.
         level = np.minimum(-np.log(1 - np.random.default_rng(seed).random(n)) / np.log(max(2, m)), params.max_level)
-        self.entries = entries if entries is not None and len(entries) else np.flatnonzero(level >= 1)
-        if not len(self.entries):
-            self.entries = np.arange(min(1, n))
-
-    def diverse(self, near: np.ndarray, row: np.ndarray, m: int) -> list[int]:
-        """Nearest first, those that are nearer to the point than to any chosen before."""
-        if len(near) <= m:
-            return [int(j) for j in near]
-        chosen: list[int] = []
-        for j in near:
-            if len(chosen) == m:
-                break
-            if not chosen or (distances(self.v[j : j + 1], self.v[chosen], self.metric)[0] >= row[j]).all():
-                chosen.append(int(j))
-        return chosen
+        entries = np.flatnonzero(level >= 1)
+        return np.array([j for x in best for j in x], int), np.array([*map(len, best)], int), entries if len(entries) else np.arange(min(1, n))
 
-    def search(self, q: np.ndarray, k: int) -> list[tuple[float, int]]:
-        ef = max(self.params.ef, k)
-        d = distances(q[None], self.v[self.entries], self.metric)[0]
+    def search(self, q: np.ndarray, k: int, ef: int, metric: str) -> list[tuple[float, int]]:
+        ef = max(ef, k)
+        d = distances(q[None], self.v[self.entries], metric)[0]
         start = np.argsort(d, kind="stable")[:ef]
         seen = {int(self.entries[j]) for j in start}
         open_ = [(float(d[j]), int(self.entries[j])) for j in start]
@@ -174,7 +189,7 @@ class Graph:
             if not new:
                 continue
             seen.update(new)
-            for a, j in zip(distances(q[None], self.v[new], self.metric)[0], new, strict=True):
+            for a, j in zip(distances(q[None], self.v[new], metric)[0], new, strict=True):
                 if len(best) < ef or a < -best[0][0]:
                     heapq.heappush(open_, (float(a), j))
                     heapq.heappush(best, (-float(a), j))
@@ -183,19 +198,61 @@ class Graph:
         return sorted((-a, j) for a, j in best)[:k]
 
 
-def knn_approx(queries: DataFrame, data: DataFrame, k: int, params: IndexParams = IndexParams(ef=60), metric: str = "l2", entry: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """About the k nearest rows: a graph in each block of the data, searched by all queries, then merged.
+def diverse(vectors: np.ndarray, near: np.ndarray, row: np.ndarray, m: int, metric: str) -> list[int]:
+    """Nearest first, those that are nearer to the point than to any chosen before."""
+    if len(near) <= m:
+        return [int(j) for j in near]
+    chosen: list[int] = []
+    for j in near:
+        if len(chosen) == m:
+            break
+        if not chosen or (distances(vectors[j : j + 1], vectors[chosen], metric)[0] >= row[j]).all():
+            chosen.append(int(j))
+    return chosen
 
-    ``entry`` may pick entry points from a block's ids (a boolean mask).
+
+def build_index(data: DataFrame, path: str, params: IndexParams = IndexParams(ef=60), metric: str = "l2", entry: Callable[[np.ndarray], np.ndarray] | None = None) -> None:
+    """Write a graph for each block of the vectors (id, vec), once, as a Parquet table.
+
+    ``metric`` is the one of construction; searches may use another. ``entry`` may
+    pick entry points from a block's ids (a boolean mask).
     """
 
-    def search(v, ids, q, own):
-        graph = Graph(v, params, metric, entries=np.flatnonzero(entry(ids)) if entry else None)
-        hits = [(i, j, d) for i, x in enumerate(q) for d, j in graph.search(x, k)]
-        row, col, dist = (np.array(c) for c in zip(*hits, strict=True))
-        return row, ids[col], dist
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for x in batch.itertuples(index=False):
+                links, sizes, entries = Graph.built(np.frombuffer(x.matrix).reshape(-1, x.width), params, metric)
+                own = np.flatnonzero(entry(np.frombuffer(x.ids, "<i8"))) if entry else entries
+                entries = own if len(own) else entries
+                made = {k: [v.astype("<i4").tobytes()] for k, v in (("links", links), ("sizes", sizes), ("entries", entries))}
+                yield pd.DataFrame({"shard": [x.shard], "ids": [x.ids], "matrix": [x.matrix], "width": [x.width], **made})
 
-    return nearest(_searched(queries, data, search), k)
+    _blocks(data, BLOCK).mapInPandas(run, "shard int, ids binary, matrix binary, width int, links binary, sizes binary, entries binary").write.mode("overwrite").parquet(path)
+
+
+def search_index(queries: DataFrame, index: DataFrame, k: int, ef: int = 60, metric: str = "l2") -> DataFrame:
+    """About the k nearest rows of each query from an index read from its table: all blocks are searched, then merged."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: tuple[bytes, Graph] | None = None
+        for batch in batches:
+            for x in batch.itertuples(index=False):
+                if held is None or held[0] != x.ids:
+                    links, sizes, entries = (np.frombuffer(c, "<i4") for c in (x.links, x.sizes, x.entries))
+                    held = x.ids, Graph(np.frombuffer(x.matrix).reshape(-1, x.width), links, sizes, entries)
+                ids, own = np.frombuffer(x.ids, "<i8"), np.frombuffer(x.q_ids, "<i8")
+                hits = [(own[i], ids[j], d) for i, v in enumerate(np.frombuffer(x.q_matrix).reshape(-1, x.q_width)) for d, j in held[1].search(v, k, ef, metric)]
+                yield pd.DataFrame(hits, columns=["qid", "id", "dist"])
+
+    found = met(index, kept(_packed_queries(queries))).mapInPandas(run, "qid long, id long, dist double")
+    return nearest(found, k)
+
+
+def knn_approx(queries: DataFrame, data: DataFrame, k: int, params: IndexParams = IndexParams(ef=60), metric: str = "l2", entry: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """About the k nearest rows: an index in the shared folder, built once and then searched."""
+    path = scratch(data.sparkSession, "index")
+    build_index(data, path, params, metric, entry)
+    return search_index(queries, data.sparkSession.read.parquet(path), k, params.ef, metric)
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
@@ -227,17 +284,6 @@ def removal_results(vectors: DataFrame, removals: DataFrame) -> DataFrame:
 
 def level_histogram(vectors: DataFrame, m: int, max_level: int, seed: int = 0) -> DataFrame:
     """Rows by the level that a hash of their id draws: floor(-ln(u) / ln(m)), at most max_level."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) + 1) / F.lit(float(1 << 30))
+    u = (draw_int("id", seed=seed) + 1) / F.lit(float(RANGE))
     level = F.least(F.floor(-F.log(u) / F.log(F.lit(float(m)))), F.lit(max_level))
     return vectors.select(level.cast("long").alias("level")).groupBy("level").count()
-
-
-def distance_extremes(vectors: DataFrame) -> DataFrame:
-    """One row: the least and largest distance of two rows, and how many pairs are equal. For small tables."""
-    a, b = vectors.alias("a"), vectors.alias("b")
-    d = a.join(b, F.col("a.id") < F.col("b.id")).select(geo.l2(F.col("a.vec"), F.col("b.vec")).alias("d"))
-    return d.agg(F.min("d").alias("least"), F.max("d").alias("most"), F.count_if(F.col("d") == 0).alias("equal"))
-
-
-def distance_column(metric: str, u: Column, v: Column) -> Column:
-    return {"l2": geo.l2, "cosine": geo.cosine_distance}[metric](u, v)

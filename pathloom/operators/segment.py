@@ -12,12 +12,32 @@ from pyspark.sql import functions as F
 from pathloom.functions import geo
 
 
+#: Seconds, or numbers of an order column, that a piece of a log spans.
+PIECE_SECONDS, PIECE_NUMBERS = 86_400, 1 << 17
+
+
 def gap_segments(fixes: DataFrame, gap_seconds: float, key: str = "file", order: tuple[str, ...] = ("ts", "line")) -> DataFrame:
-    """Adds seg, from 0 in each key: a fix ``gap_seconds`` or more after the one before begins a new segment."""
-    w = W.partitionBy(key).orderBy(*order)
+    """Adds seg, from 0 in each key: a fix ``gap_seconds`` or more after the one before begins a new segment.
+
+    A key's fixes are cut into pieces by their first order column, so that a long
+    log isn't one task's work. Gaps are found within pieces; the borders, a row a
+    piece, are then stitched.
+    """
+    by_time = fixes.schema[order[0]].dataType.typeName().startswith("timestamp")
+    piece = F.floor(F.unix_micros(order[0]) / (PIECE_SECONDS * 1_000_000)) if by_time else F.floor(F.col(order[0]) / PIECE_NUMBERS)
     seconds = F.unix_micros("ts") / 1e6
-    new = F.coalesce((seconds - F.lag(seconds).over(w) >= gap_seconds).cast("int"), F.lit(0))
-    return fixes.withColumn("_new", new).withColumn("seg", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+    w = W.partitionBy(key, "_piece").orderBy(*order)
+    cut = fixes.withColumn("_piece", piece)
+    inside = cut.withColumn("_new", F.coalesce((seconds - F.lag(seconds).over(w) >= gap_seconds).cast("long"), F.lit(0).cast("long")))
+    place = F.struct(*order, seconds.alias("_s"))
+    ends = inside.groupBy(F.col(key).alias("_key"), F.col("_piece").alias("_of")).agg(F.sum("_new").alias("_n"), F.min(place).alias("_a"), F.max(place).alias("_z"))
+    pieces = W.partitionBy("_key").orderBy("_of")
+    gap = F.coalesce((F.col("_a._s") - F.lag("_z._s").over(pieces) >= gap_seconds).cast("long"), F.lit(0).cast("long"))
+    ahead = F.sum(F.col("_gap") + F.col("_before")).over(pieces.rowsBetween(W.unboundedPreceding, 0))
+    base = ends.withColumns({"_gap": gap, "_before": F.lag("_n", 1, 0).over(pieces)}).select("_key", "_of", ahead.alias("_base"))
+    numbered = inside.withColumn("_in", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    both = numbered.join(base, F.col(key).eqNullSafe(F.col("_key")) & F.col("_piece").eqNullSafe(F.col("_of")))
+    return both.select(*fixes.columns, (F.col("_base") + F.col("_in")).alias("seg"))
 
 
 def segment_stats(segments: DataFrame, key: str = "file", order: tuple[str, ...] = ("ts", "line")) -> DataFrame:
@@ -45,8 +65,8 @@ def segment(
     a time are not used.
 
     The fold is sequential within a stretch without gaps, so fixes are dealt out by
-    stretch and sorted, and each task folds its stretches as they stream by: long
-    logs of a key are spread over tasks, and a task holds a few numbers.
+    stretch and sorted, and each task folds its stretches as they stream by: a key's
+    stretches are spread over tasks, and a task holds a few numbers.
     """
     stretches = gap_segments(fixes.where("ts IS NOT NULL"), gap_seconds, key, order).withColumnRenamed("seg", "stretch")
     kind = fixes.schema[key].dataType.simpleString()

@@ -115,14 +115,16 @@ def verify(pairs: DataFrame, queries: DataFrame, data: DataFrame, alpha: float,
 
 
 def ranked(sims: DataFrame, k: int) -> DataFrame:
-    """qid, rank, tid, sim of each query's k best, ties to the smaller tid."""
-    w = W.partitionBy("qid").orderBy(F.desc("sim"), "tid")
+    """qid, rank, tid, sim of each query's k best; those equal to nine places are ties, which go to the smaller tid."""
+    w = W.partitionBy("qid").orderBy(F.desc(F.round("sim", 9)), "tid")
     return sims.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "tid", "sim")
 
 
 def semantic_topk(queries: DataFrame, data: DataFrame, k: int = 50, alpha: float = 0.5, gamma: float = 1e-5) -> DataFrame:
-    """The k most similar trajectories that share a keyword with each query; the query itself is one of them."""
-    return ranked(verify(candidates(queries, data), queries, data, alpha, gamma), k)
+    """The k most similar trajectories that share a keyword with each query, all candidates verified in blocks."""
+    from pathloom.operators.simsearch import topk
+
+    return topk(queries, data, k, alpha, gamma, prune=False)
 
 
 def coarse_bound(alpha: float, gamma: float, distance: Column) -> Column:
@@ -164,20 +166,11 @@ def trajectory_bounds(pairs: DataFrame, queries: DataFrame, data: DataFrame, alp
     return both.select("qid", "tid", (F.lit(2.0 * alpha) * place + F.lit(1.0 - alpha) * text).alias("bound"))
 
 
-def semantic_topk_pruned(queries: DataFrame, data: DataFrame, k: int = 50, alpha: float = 0.5, gamma: float = 1e-5, grid: float = 26000.0, first: int = 2) -> DataFrame:
-    """As ``semantic_topk``, verifying only pairs that bounds can't rule out.
+def semantic_topk_pruned(queries: DataFrame, data: DataFrame, k: int = 50, alpha: float = 0.5, gamma: float = 1e-5, grid: float = 26000.0) -> DataFrame:
+    """As ``semantic_topk``, verifying only pairs that bounds of batches and members can't rule out."""
+    from pathloom.operators.simsearch import topk
 
-    The ``first`` * k pairs of each query with the highest bounds are verified; the
-    k-th best similarity among them is the query's threshold, and of the rest only
-    pairs whose bound reaches it are verified.
-    """
-    bounds = kept(trajectory_bounds(candidates(queries, data), queries, data, alpha, gamma, grid))
-    place = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("bound"), "tid"))
-    marked = kept(bounds.withColumn("place", place))
-    early = kept(verify(marked.where(F.col("place") <= first * k), queries, data, alpha, gamma))
-    kth = ranked(early, k).groupBy("qid").agg(F.min("sim").alias("least"), F.count("*").alias("n")).where(F.col("n") >= k).select("qid", "least")
-    late = marked.where(F.col("place") > first * k).join(kth, "qid", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 1e-9))
-    return ranked(early.unionByName(verify(late, queries, data, alpha, gamma)), k)
+    return topk(queries, data, k, alpha, gamma, grid)
 
 
 def grid_batches(points: DataFrame, diag_theta: float) -> DataFrame:
@@ -198,17 +191,18 @@ def batch_summaries(members: DataFrame, points: DataFrame, keys: tuple[str, ...]
     return held.join(words, list(keys))
 
 
-def greedy_batches(points: DataFrame, diag_theta: float, stretch: int = 4096) -> DataFrame:
-    """Batches as a fold makes them: kw, stretch, batch, tid.
+def greedy_batches(points: DataFrame, diag_theta: float, stretch: float = 16.0) -> DataFrame:
+    """Batches as a fold makes them: kw, bx, by, batch, tid.
 
     In order of tid, a trajectory joins the batch whose enlarged box has the
-    smallest diagonal, or opens one if that is over ``diag_theta``. A keyword's list
-    is folded in stretches of at most about ``stretch`` trajectories, so that no list
-    is one task's work.
+    smallest diagonal, or opens one if that is over ``diag_theta``. The fold runs
+    within stretches, squares of ``stretch`` times diag_theta by the centre of the
+    box, whatever the length of a keyword's list: only trajectories that are near
+    one another can share a batch.
     """
-    listed = postings(points).join(boxes(points).drop("n_points"), "tid")
-    sizes = listed.groupBy("kw").agg(F.ceil(F.count("*") / stretch).alias("parts"))
-    dealt = listed.join(sizes, "kw").withColumn("stretch", F.pmod(F.xxhash64("tid"), F.col("parts")))
+    side = stretch * diag_theta
+    centre = {n: geo.cell((F.col(f"min_{c}") + F.col(f"max_{c}")) / 2, side) for n, c in (("bx", "x"), ("by", "y"))}
+    listed = postings(points).join(boxes(points).drop("n_points").withColumns(centre), "tid")
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("tid")
@@ -223,6 +217,6 @@ def greedy_batches(points: DataFrame, diag_theta: float, stretch: int = 4096) ->
             else:
                 at, held = len(held), np.vstack([held, x])
             place.append(at)
-        return group[["kw", "stretch", "tid"]].assign(batch=place)[["kw", "stretch", "batch", "tid"]]
+        return group[["kw", "bx", "by", "tid"]].assign(batch=place)[["kw", "bx", "by", "batch", "tid"]]
 
-    return dealt.groupBy("kw", "stretch").applyInPandas(fold, "kw string, stretch long, batch long, tid long")
+    return listed.groupBy("kw", "bx", "by").applyInPandas(fold, "kw string, bx int, by int, batch long, tid long")

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.functions import geo
+from pathloom.functions.draws import RANGE, draw_int
 
 
 def assemble(points: DataFrame) -> DataFrame:
@@ -21,9 +22,8 @@ def assemble(points: DataFrame) -> DataFrame:
 
 def counts(points: DataFrame) -> DataFrame:
     """One row: trajectories, points and distinct keywords."""
-    return points.agg(
-        F.countDistinct("tid").alias("trajectories"), F.count("*").alias("points"), F.size(F.array_distinct(F.flatten(F.collect_set("terms")))).cast("long").alias("keywords")
-    )
+    keywords = points.select(F.explode("terms").alias("kw")).distinct().agg(F.count("*").alias("keywords"))
+    return points.agg(F.countDistinct("tid").alias("trajectories"), F.count("*").alias("points")).join(F.broadcast(keywords), F.lit(True))  # one row each
 
 
 def boxes(points: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def terms_with_repeats(points: DataFrame) -> DataFrame:
 
 def sample_queries(points: DataFrame, n: int, seed: int = 48) -> DataFrame:
     """The points of n trajectories, drawn by hash without replacement (all, if there are fewer)."""
-    ids = points.select("tid").distinct().orderBy(F.xxhash64(F.lit(seed), "tid"), "tid").limit(n)
+    ids = points.select("tid").distinct().orderBy(draw_int("tid", seed=seed), "tid").limit(n)
     return points.join(F.broadcast(ids), "tid", "left_semi") if n <= 100_000 else points.join(ids, "tid", "left_semi")
 
 
@@ -64,7 +64,7 @@ def sample(points: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
     Copy c of trajectory t has the id t * int(fraction) + c, so ids stay distinct.
     """
     if 0 < fraction < 1:
-        return points.where(F.pmod(F.xxhash64(F.lit(seed), "tid"), F.lit(1 << 30)) < int(fraction * (1 << 30)))
+        return points.where(draw_int("tid", seed=seed) < int(fraction * RANGE))
     if fraction > 1:
         n = int(fraction)
         copies = points.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -79,13 +79,13 @@ def first_ids(points: DataFrame, n: int) -> DataFrame:
 
 def sub_trajectory(points: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n points of each trajectory, drawn by hash, in their order; shorter ones stay whole."""
-    place = F.row_number().over(W.partitionBy("tid").orderBy(F.xxhash64(F.lit(seed), "tid", "pid"), "pid"))
+    place = F.row_number().over(W.partitionBy("tid").orderBy(draw_int("tid", "pid", seed=seed), "pid"))
     return points.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 
 def shuffled(rows: DataFrame, id_col: str, seed: int = 0) -> DataFrame:
     """Rows in an order by hash that every run repeats."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), id_col), id_col)
+    return rows.orderBy(draw_int(id_col, seed=seed), id_col)
 
 
 def dedupe_moves(fixes: DataFrame, partition: str | list[str] = "tid", order: str = "pid") -> DataFrame:

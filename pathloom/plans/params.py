@@ -9,23 +9,11 @@ from pyspark.sql import DataFrame
 from pathloom.sources.readers import extent
 
 
-@dataclass(frozen=True)
-class JoinParams:
-    alpha: float = 0.5
-    gamma: float = 1e-5
-    diag_theta: float = 130000.0
-    grid_size: float = 26000.0
-    k: int = 50
-    num_queries: int = 1
-    fraction: float = 0.0
-
-
 @dataclass(frozen=True)
 class IndexParams:
     m: int = 10
     ef: int = 10
     ef_construction: int = 200
-    remove_enabled: bool = False
     max_level: int = 1 << 30
 
 
@@ -55,18 +43,3 @@ class Context:
 def context(points: DataFrame, **how) -> Context:
     """Extents from one aggregation of the points."""
     return Context(**extent(points).first().asDict(), **how)
-
-
-def parse_args(args: list[str]) -> dict[str, str]:
-    """``--key value`` and ``--flag`` arguments as a dictionary; anything else is an error."""
-    out: dict[str, str] = {}
-    key = None
-    for x in args:
-        if x.startswith("--"):
-            key = x[2:]
-            out[key] = ""
-        elif key is None or out[key]:
-            raise ValueError(f"unexpected argument {x!r}")
-        else:
-            out[key] = x
-    return out

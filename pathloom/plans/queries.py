@@ -9,8 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.functions import geo, keywords, tokens
-from pathloom.operators import embed, evaluate, knn, measure_search, perturb, segment, simjoin, trajectory
-from pathloom.plans import params, tables
+from pathloom.functions.draws import RANGE, draw_int, draw_sql
+from pathloom.operators import embed, evaluate, knn, measure_search, perturb, segment, simjoin, simsearch, trajectory
+from pathloom.plans import params
+from pathloom.plans.storage import kept
 from pathloom.plans.tables import EVENT_POINTS, LINE_POINTS, ORDER_POINTS, VECTORS, asked, event_points, line_points, order_points, vectors
 from pathloom.sources.readers import extent
 
@@ -94,19 +96,28 @@ def replicate(spark, sf_dir):
     return trajectory.sample(order_points(spark, sf_dir), 3.0).groupBy("tid").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH p AS ({ORDER_POINTS}) SELECT tid, count(*) AS n FROM p WHERE {draw_sql('tid', seed=42)} < {RANGE // 4} GROUP BY tid")
 def sample_fraction(spark, sf_dir):
     return trajectory.sample(order_points(spark, sf_dir), 0.25).groupBy("tid").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    f"WITH p AS ({EVENT_POINTS}), c AS (SELECT tid FROM (SELECT DISTINCT tid FROM p) ORDER BY {draw_sql('tid', seed=48)}, tid LIMIT 20)"
+    " SELECT tid, count(*) AS n FROM p WHERE tid IN (SELECT tid FROM c) GROUP BY tid"
+)
 def sample_queries(spark, sf_dir):
     return trajectory.sample_queries(event_points(spark, sf_dir), 20).groupBy("tid").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH p AS ({EVENT_POINTS}), r AS (SELECT tid, pid, row_number() OVER (PARTITION BY tid ORDER BY {draw_sql('tid', 'pid')}, pid) AS place FROM p) SELECT tid, pid FROM r WHERE place <= 20")
 def sub_trajectory(spark, sf_dir):
-    return trajectory.sub_trajectory(event_points(spark, sf_dir), 20).groupBy("tid").agg(F.count("*").alias("n"), F.min("pid").alias("first_pid"))
+    return trajectory.sub_trajectory(event_points(spark, sf_dir), 20).select("tid", "pid")
+
+
+@query(f"WITH p AS ({ORDER_POINTS}) SELECT tid, row_number() OVER (ORDER BY {draw_sql('tid', seed=7)}, tid)::INTEGER AS place FROM (SELECT DISTINCT tid FROM p WHERE tid < 100)")
+def shuffled_ids(spark, sf_dir):
+    ids = trajectory.first_ids(order_points(spark, sf_dir), 100).select("tid").distinct()
+    return perturb.numbered(ids.withColumn("drawn", F.struct(draw_int("tid", seed=7).alias("d"), "tid")), "drawn").select("tid", (F.col("place") + 1).cast("int").alias("place"))
 
 
 # Scalar functions
@@ -180,13 +191,14 @@ def jaccard_pairs(spark, sf_dir):
 # Similarity join
 
 SIMS = """
-WITH p AS MATERIALIZED ({points}), n AS (SELECT tid, count(*) AS n FROM p GROUP BY tid),
+WITH p AS MATERIALIZED ({points}), q AS MATERIALIZED ({queries}),
 kw AS (SELECT DISTINCT tid, unnest(terms) AS kw FROM p),
-cand AS MATERIALIZED (SELECT DISTINCT a.tid AS qid, b.tid FROM kw a JOIN kw b USING (kw) WHERE a.tid % 20 = 0),
+qkw AS (SELECT DISTINCT tid, unnest(terms) AS kw FROM q),
+cand AS MATERIALIZED (SELECT DISTINCT a.tid AS qid, b.tid FROM qkw a JOIN kw b USING (kw)),
 s AS MATERIALIZED (
   SELECT c.qid, c.tid, a.pid AS ap, b.pid AS bp, {alpha} * (2 - 2 / (1 + exp(-{gamma} * sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)))) + {beta} * len(list_intersect(a.terms, b.terms)) /
     (len(list_distinct(a.terms)) + len(list_distinct(b.terms)) - len(list_intersect(a.terms, b.terms))) AS s
-  FROM cand c JOIN p a ON a.tid = c.qid JOIN p b ON b.tid = c.tid
+  FROM cand c JOIN q a ON a.tid = c.qid JOIN p b ON b.tid = c.tid
 ),
 f AS (SELECT qid, tid, avg(m) AS v FROM (SELECT qid, tid, ap, max(s) AS m FROM s GROUP BY qid, tid, ap) GROUP BY qid, tid),
 g AS (SELECT qid, tid, avg(m) AS v FROM (SELECT qid, tid, bp, max(s) AS m FROM s GROUP BY qid, tid, bp) GROUP BY qid, tid),
@@ -195,8 +207,8 @@ r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 9) DES
 """
 
 
-def sims_sql(points: str, alpha: float = ALPHA, gamma: float = GAMMA) -> str:
-    return SIMS.format(points=points, alpha=alpha, beta=1 - alpha, gamma=gamma)
+def sims_sql(points: str, alpha: float = ALPHA, gamma: float = GAMMA, queries: str = "SELECT * FROM p WHERE tid % 20 = 0") -> str:
+    return SIMS.format(points=points, queries=queries, alpha=alpha, beta=1 - alpha, gamma=gamma)
 
 
 @query(f"WITH p AS ({LINE_POINTS}), kw AS (SELECT DISTINCT tid, unnest(terms) AS kw FROM p) SELECT a.tid AS qid, count(DISTINCT b.tid) AS n FROM kw a JOIN kw b USING (kw) WHERE a.tid % 20 = 0 GROUP BY 1")
@@ -221,6 +233,21 @@ def semantic_topk_pruned(spark, sf_dir):
     return _top(simjoin.semantic_topk_pruned(asked(p), p, K, 0.9, 0.5, GRID))
 
 
+@query(sims_sql(LINE_POINTS, 0.9, 0.001) + f"SELECT qid, rank, tid, round(sim, 6) AS sim FROM r WHERE rank <= {K}")
+def semantic_topk_lines(spark, sf_dir):
+    p = line_points(spark, sf_dir)
+    return _top(simjoin.semantic_topk_pruned(asked(p), p, K, 0.9, 0.001, 2000.0))
+
+
+@query()
+def verified_pairs(spark, sf_dir):
+    p = event_points(spark, sf_dir)
+    few = simsearch.verified_pairs(asked(p), p, K, 0.9, 0.5, GRID)
+    every = simsearch.verified_pairs(asked(p), p, K, 0.9, 0.5, GRID, prune=False)
+    # How many depends on the blocks; that pruning never adds any doesn't.
+    return few.join(every.withColumnRenamed("verified", "candidates"), "qid").select("qid", "candidates", (F.col("verified") <= F.col("candidates")).alias("no_more"))
+
+
 @query(sims_sql(ORDER_POINTS) + f"SELECT qid, rank, tid, round(sim, 6) AS sim FROM r WHERE rank <= {K}")
 def semantic_topk_orders(spark, sf_dir):
     p = order_points(spark, sf_dir)
@@ -282,7 +309,7 @@ def batch_bounds(spark, sf_dir):
 
 @query()
 def greedy_batches(spark, sf_dir):
-    return simjoin.greedy_batches(order_points(spark, sf_dir), 400.0).groupBy("kw", "stretch", "batch").agg(F.count("*").alias("members"))
+    return simjoin.greedy_batches(order_points(spark, sf_dir), 400.0)
 
 
 # Measures
@@ -369,10 +396,18 @@ def segments_filtered(spark, sf_dir):
     return segment.long_enough(s, 3, 2000.0).withColumn("metres", F.round("metres", 3))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE p AS ({EVENT_POINTS}), o AS MATERIALIZED (SELECT tid AS file, ts, x / 4 AS x, y / 2 AS y, row_number() OVER (PARTITION BY tid ORDER BY ts, pid) AS i FROM p),"
+    " f AS (SELECT file, i, ts, x, y, 0 AS t, 1 AS n, true AS kept FROM o WHERE i = 1 UNION ALL SELECT o.file, o.i, o.ts, o.x, o.y, f.t + (o.ts - f.ts >= 43200000 OR f.n >= 50)::INTEGER,"
+    " CASE WHEN o.ts - f.ts >= 43200000 OR f.n >= 50 THEN 1 ELSE f.n + (o.x <> f.x AND o.y <> f.y)::INTEGER END,"
+    " o.ts - f.ts >= 43200000 OR f.n >= 50 OR (o.x <> f.x AND o.y <> f.y) FROM f JOIN o ON o.file = f.file AND o.i = f.i + 1),"
+    " e AS (SELECT file, t, count(*) AS n_points, min(ts) AS start, arg_min(x, i) AS x1, arg_min(y, i) AS y1, arg_max(x, i) AS x2, arg_max(y, i) AS y2 FROM f WHERE kept GROUP BY file, t),"
+    " m AS (SELECT *, 2 * 6378137.0 * asin(sqrt(sin((radians(y1) - radians(y2)) / 2) ** 2 + cos(radians(y1)) * cos(radians(y2)) * sin((radians(x1) - radians(x2)) / 2) ** 2)) AS metres, (file, t) = (SELECT max((file, t)) FROM e) AS final FROM e)"
+    " SELECT file, row_number() OVER (PARTITION BY file ORDER BY t) - 1 AS seg, n_points, start FROM m WHERE final OR (n_points >= 3 AND metres >= 2000)"
+)
 def segments(spark, sf_dir):
     s = segment.segment(_fixes(spark, sf_dir), 12 * 3600.0, min_points=3, order=("ts", "line"))
-    return s.groupBy("file", "seg").agg(F.count("*").alias("n_points"), F.min("ts").alias("start"))
+    return s.groupBy("file", "seg").agg(F.count("*").alias("n_points"), F.unix_millis(F.min("ts")).alias("start"))
 
 
 @query(LEGS + " SELECT tid, count(*) AS n FROM l WHERE px IS NULL OR (x <> px AND y <> py) GROUP BY tid")
@@ -422,10 +457,29 @@ def knn_pivot_pruned(spark, sf_dir):
     return _near(knn.knn_pivot_pruned(asked(v, "id"), v, 10))
 
 
+@query(
+    f"WITH v AS ({VECTORS}), e AS (SELECT id % 40 AS id, generate_subscripts(vec, 1) AS i, unnest(vec)::DOUBLE AS x FROM v), m AS (SELECT id, i, avg(x) AS x FROM e GROUP BY id, i),"
+    " d AS (SELECT a.id AS qid, b.id, sqrt(sum((a.x - b.x) ** 2)) AS l2 FROM m a JOIN m b USING (i) GROUP BY 1, 2),"
+    " r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(l2, 9), id)::INTEGER AS rank, id, round(l2, 6) AS dist FROM d) SELECT * FROM r WHERE rank <= 5"
+)
+def knn_of_means(spark, sf_dir):
+    """Neighbours among vectors that come out of an aggregation."""
+    means = embed.averaged(vectors(spark, sf_dir).select((F.col("id") % 40).alias("id"), "vec"), "id")
+    return _near(knn.knn_exact(means, means, 5))
+
+
+@query()
+def pivot_costs(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    # How many distances are worked out depends on the blocks; that none is worked out twice doesn't.
+    return knn.pivot_costs(asked(v, "id"), v, 10).select("qid", (F.col("compared") <= v.count()).alias("no_more"))
+
+
 @query()
 def knn_approx_recall(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    return knn.recall(knn.knn_approx(asked(v, "id"), v, 10), knn.knn_exact(asked(v, "id"), v, 10))
+    found = knn.recall(knn.knn_approx(asked(v, "id"), v, 10), knn.knn_exact(asked(v, "id"), v, 10))
+    return found.select("n", (F.col("recall") >= 0.9).alias("recalled"))
 
 
 def _versions(spark, sf_dir):
@@ -455,7 +509,7 @@ def vec_removal_results(spark, sf_dir):
     return knn.removal_results(rows, updates.select((F.col("id") + 100).alias("id"), "version"))
 
 
-@query()
+@query(f"WITH v AS ({VECTORS}) SELECT least(floor(-ln(({draw_sql('id')} + 1) / {RANGE}.0) / ln(10)), 4)::BIGINT AS level, count(*) AS count FROM v GROUP BY 1")
 def level_histogram(spark, sf_dir):
     return knn.level_histogram(vectors(spark, sf_dir), 10, 4)
 
@@ -494,7 +548,16 @@ def time_neighbours(spark, sf_dir):
     return t.select(F.col("time_token").alias("token")).distinct().select("token", F.posexplode(near).alias("i", "neighbour")).select("token", (F.col("i") + 1).alias("rank"), "neighbour")
 
 
-@query()
+@query(
+    TOKENS
+    + ", g AS (SELECT *, (x1 - x0) / 20 AS gx, (y1 - y0) / 20 AS gy FROM e), t AS (SELECT DISTINCT (floor((y - y0) / gy) * ceil((x1 - x0) / gx) + floor((x - x0) / gx))::BIGINT AS token FROM p, g),"
+    " o AS (SELECT dx, dy, abs(dx) + abs(dy) AS d, greatest(abs(dx), abs(dy)) AS l FROM range(-12, 13) a(dx), range(-12, 13) b(dy) WHERE abs(dx) + abs(dy) BETWEEN 1 AND 12),"
+    # The cell in the first quarter that turns give the offset, then its mirror image, as the rings are listed.
+    " k AS (SELECT dx, dy, d, l, q, m FROM o, range(4) c(q), range(2) e(m) WHERE (dx, dy) = CASE m * 4 + q WHEN 0 THEN (l, d - l) WHEN 1 THEN (l - d, l) WHEN 2 THEN (-l, l - d) WHEN 3 THEN (d - l, -l)"
+    " WHEN 4 THEN (d - l, l) WHEN 5 THEN (l, l - d) WHEN 6 THEN (l - d, -l) ELSE (-l, d - l) END AND (m = 0 OR 2 * l NOT IN (d, 2 * d))),"
+    " n AS (SELECT token, (token // 20 + dy) * 20 + token % 20 + dx AS neighbour, row_number() OVER (PARTITION BY token ORDER BY d, l, q, m)::INTEGER AS rank FROM t, k WHERE token % 20 + dx BETWEEN 0 AND 19 AND token // 20 + dy BETWEEN 0 AND 20)"
+    " SELECT token, rank, neighbour FROM n WHERE rank <= 20"
+)
 def space_neighbours(spark, sf_dir):
     t, _ = _tokens(spark, sf_dir)
     return tokens.space_neighbours(t.select(F.col("space_token").alias("token")).distinct(), 20, 20, 21)
@@ -505,10 +568,8 @@ def space_neighbours(spark, sf_dir):
     " m AS (SELECT label, i, avg(x) AS x FROM e GROUP BY label, i), l AS (SELECT label, sqrt(sum(x * x)) AS n FROM m GROUP BY label) SELECT label, i::INTEGER AS i, round(x / n, 6) AS x FROM m JOIN l USING (label)"
 )
 def mean_unit_vectors(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    parts = v.select("label", F.posexplode(embed.unit(F.col("vec"))).alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
-    nested = parts.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p"))
-    return nested.select("label", F.posexplode(embed.unit(F.col("p.x"))).alias("i", "x")).select("label", (F.col("i") + 1).alias("i"), r6("x").alias("x"))
+    means = embed.mean_unit_vectors(vectors(spark, sf_dir), "label")
+    return means.select("label", F.posexplode("vec").alias("i", "x")).select("label", (F.col("i") + 1).alias("i"), r6("x").alias("x"))
 
 
 def _features(spark, sf_dir):
@@ -535,17 +596,36 @@ def pooled_embedding(spark, sf_dir):
     return v.select("tid", *(r6(F.col("vec")[i]).alias(n) for i, n in enumerate(("s1", "s2", "t1", "t2", "w1", "w2"))))
 
 
+def _learned(spark, sf_dir, size: int = 16) -> DataFrame:
+    """Point features from vectors that are trained on the tokens' neighbours and on keywords."""
+    t, c = _tokens(spark, sf_dir)
+    space = embed.neighbour_sentences(tokens.space_neighbours(t.select(F.col("space_token").alias("token")).distinct(), 20, 20, 21))
+    slots = t.select(F.col("time_token").alias("token")).distinct()
+    near = tokens.time_neighbours(F.col("token"), 8, F.lit((c.max_ts - c.min_ts) // c.ts_gap + 1))
+    time = embed.neighbour_sentences(slots.select("token", F.posexplode(near).alias("rank", "neighbour")))
+    learned = [embed.token_vectors(x, size, rounds=1) for x in (space, time, embed.keyword_sentences(t))]
+    return embed.point_features(t, *learned, size)
+
+
 @query()
 def encoder_states(spark, sf_dir):
-    v = embed.encode_trajectories(_features(spark, sf_dir), embed.EncoderWeights.seeded(6, 16, 8))
-    return v.select("tid", r6(F.col("vec")[0]).alias("first"), F.size("vec").alias("n"))
+    v = embed.encode_trajectories(_learned(spark, sf_dir), embed.EncoderWeights.seeded(48, 32, 16))
+    return v.select("tid", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
 
 @query()
 def keyword_vectors(spark, sf_dir):
     p = order_points(spark, sf_dir)
     v = embed.token_vectors(embed.keyword_sentences(p), size=16, rounds=2)
-    return v.select("word", F.size("vec").alias("n"))
+    return v.select("word", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+
+
+@query()
+def keyword_neighbours(spark, sf_dir):
+    """The keywords whose vectors are nearest to each point's mean keyword vector, of each distinct keyword set."""
+    p = order_points(spark, sf_dir)
+    words = embed.token_vectors(embed.keyword_sentences(p), size=16, rounds=2)
+    return embed.nearest_keywords(p.select("terms").distinct(), words, 3, 16).withColumn("similarity", r6("similarity"))
 
 
 # Perturbation and evaluation
@@ -562,13 +642,23 @@ def noise_drop_points(spark, sf_dir):
     return perturb.drop_points(order_points(spark, sf_dir), 0.3, order=order).select("tid", "pid")
 
 
-@query()
+@query(
+    f"WITH p AS ({EVENT_POINTS}), t AS (SELECT tid, list(pid ORDER BY pid) AS a FROM p GROUP BY tid),"
+    # Place i gets the element from place i + offset; lists count from 1, places from 0.
+    " r AS (SELECT tid, list_reduce(range(1, len(a) - 1), lambda l, i: list_concat(list_concat((list_concat(l[:j(tid, i, len(l))], l[j(tid, i, len(l)) + 2:]))[:i], [l[j(tid, i, len(l)) + 1]]), (list_concat(l[:j(tid, i, len(l))], l[j(tid, i, len(l)) + 2:]))[i + 1:]), a) AS l FROM t)"
+    " SELECT tid, array_to_string(l, ',') AS pids FROM r".replace("j(tid, i, len(l))", "(i + (tid * 7919 + i * 104729) % 1000003 % (2 * least(3, i, len(l) - 1 - i) + 1) - least(3, i, len(l) - 1 - i))")
+)
 def noise_shift(spark, sf_dir):
     t = perturb.shift_points(trajectory.assemble(event_points(spark, sf_dir).select("tid", "pid", "x", "y")), 3)
-    return t.select("tid", F.size("pts").alias("n"), F.col("pts")[0]["pid"].alias("first_pid"), F.element_at("pts", -1)["pid"].alias("last_pid"))
+    return t.select("tid", F.array_join(F.transform("pts", lambda p: p["pid"].cast("string")), ",").alias("pids"))
 
 
-@query()
+@query(
+    f"WITH p AS ({ORDER_POINTS}), w AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS w, count(*) OVER () AS n FROM (SELECT DISTINCT unnest(terms) AS term FROM p)),"
+    " e AS (SELECT tid, pid, generate_subscripts(terms, 1) - 1 AS i, unnest(terms) AS term FROM p),"
+    f" s AS (SELECT e.tid, e.pid, e.i, CASE WHEN {draw_sql('tid', 'pid', 'i')} < {int(0.2 * RANGE)} THEN w.term ELSE e.term END AS term FROM e JOIN w ON w.w = {draw_sql('tid', 'pid', 'i', seed=1)} % w.n)"
+    " SELECT tid, pid, string_agg(term, ',' ORDER BY i) AS terms FROM s GROUP BY tid, pid"
+)
 def noise_swap_terms(spark, sf_dir):
     p = order_points(spark, sf_dir)
     words = p.select(F.explode("terms").alias("term"))
@@ -611,9 +701,19 @@ def overlap_ratio(spark, sf_dir):
     return evaluate.overlap_ratio(truth, found.withColumn("noise", F.lit("third"))).withColumn("overlap", r6("overlap"))
 
 
-@query()
+NOISY = (
+    "SELECT p.* FROM p JOIN (SELECT tid, pid, count(*) OVER (PARTITION BY tid) AS n, row_number() OVER (PARTITION BY tid ORDER BY {draw}, pid) AS k FROM p WHERE tid % 20 = 0) USING (tid, pid) WHERE k <= round(n * 0.7)"
+).format(draw=draw_sql("tid", "pid"))
+
+
+@query(
+    f"WITH clean AS ({sims_sql(EVENT_POINTS)} SELECT qid, tid FROM r WHERE rank <= {K}), noisy AS ({sims_sql(EVENT_POINTS, queries=NOISY)} SELECT qid, tid FROM r WHERE rank <= {K}),"
+    " b AS (SELECT 'drop' AS noise, qid, tid FROM noisy UNION ALL SELECT 'none', qid, tid FROM clean), n AS (SELECT qid, count(*) AS n FROM clean GROUP BY qid),"
+    " s AS (SELECT x.noise, n.qid, n.n, (SELECT count(*) FROM b JOIN clean USING (qid, tid) WHERE b.noise = x.noise AND b.qid = n.qid) AS s FROM n, (VALUES ('drop'), ('none')) x(noise))"
+    " SELECT noise, round(avg(s / n), 6) AS overlap FROM s GROUP BY noise"
+)
 def noise_stability(spark, sf_dir):
-    p = order_points(spark, sf_dir)
+    p = event_points(spark, sf_dir)
     search = lambda q: simjoin.semantic_topk(q, p, K, ALPHA, GAMMA)
-    found = perturb.evaluate(asked(p), {"drop": lambda q: perturb.drop_points(q, 0.3), "none": perturb.unchanged}, search)
-    return evaluate.overlap_ratio(found.where("noise = 'none'").drop("noise"), found)
+    found = kept(perturb.evaluate(asked(p), {"drop": lambda q: perturb.drop_points(q, 0.3), "none": perturb.unchanged}, search))
+    return evaluate.overlap_ratio(found.where("noise = 'none'").drop("noise"), found).withColumn("overlap", r6("overlap"))

@@ -73,5 +73,11 @@ def extent(points: DataFrame) -> DataFrame:
 
 
 def paired(sampled: DataFrame, complete: DataFrame) -> DataFrame:
-    """Sampled and complete trajectories (tid, pts) side by side: tid, sampled, complete."""
-    return sampled.select("tid", F.col("pts").alias("sampled")).join(complete.select("tid", F.col("pts").alias("complete")), "tid")
+    """Sampled and complete trajectories (tid, pts) side by side: tid, sampled, complete.
+
+    Both must have the same ids; one that is in a single table is an error.
+    """
+    both = sampled.select("tid", F.col("pts").alias("sampled")).join(complete.select("tid", F.col("pts").alias("complete")), "tid", "full")
+    alone = F.col("sampled").isNull() | F.col("complete").isNull()
+    message = F.concat(F.lit("trajectory in one table only: "), F.col("tid").cast("string"))
+    return both.withColumn("tid", F.when(alone, F.raise_error(message).cast("long")).otherwise(F.col("tid")))

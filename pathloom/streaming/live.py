@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -20,27 +20,29 @@ def live_segments(fixes: DataFrame, gap_seconds: float, delay: str = "0 seconds"
 
     A fix ``gap_seconds`` or more after the one before ends a segment, and so does a
     watermark (``delay`` behind the latest time) that far past its last fix. State is
-    one open segment a key. Fixes later than the watermark are dropped.
+    one segment a key, open or (without points) only the number of the next one, so
+    that numbers never repeat. Fixes at or before the watermark are dropped.
     """
     gap = pd.Timedelta(seconds=gap_seconds)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = list(state.get) if state.exists else None
+        now = list(state.get) if state.exists else [0, None, None, 0, 0.0, 0.0, 0.0, 0.0]
         done = []
         if state.hasTimedOut:
-            done.append(now)
-            state.remove()
-            now = None
+            if now[3]:
+                done.append(now)
+                now = [now[0] + 1, now[1], now[2], 0, *now[4:]]
+            state.update(tuple(now))
         else:
             fresh = pd.concat(list(batches)).sort_values("ts")
             for ts, x, y in zip(fresh["ts"], fresh["x"], fresh["y"], strict=True):
-                if now is not None and ts - pd.Timestamp(now[2]) >= gap:
+                if now[3] and ts - pd.Timestamp(now[2]) >= gap:
                     done.append(now)
-                    now = [now[0] + 1, ts, ts, 1, x, y, x, y]
-                elif now is None:
-                    now = [0, ts, ts, 1, x, y, x, y]
-                else:
+                    now = [now[0] + 1, *now[1:3], 0, *now[4:]]
+                if now[3]:
                     now = [now[0], now[1], max(ts, pd.Timestamp(now[2])), now[3] + 1, now[4], now[5], x, y]
+                else:
+                    now = [now[0], ts, ts, 1, x, y, x, y]
             state.update(tuple(v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in now))
             state.setTimeoutTimestamp(max(int((pd.Timestamp(now[2]) + gap).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
         if done:
@@ -53,15 +55,20 @@ def live_segments(fixes: DataFrame, gap_seconds: float, delay: str = "0 seconds"
 
 
 def live_upserts(path: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: keeps the newest version of each vector in the table at ``path``.
+    """For ``foreachBatch``: adds a batch's vectors (id, vec, version) to the table at ``path``.
 
-    Each batch writes the next generation from the one before, so a batch that runs
-    again leaves the same table.
+    A batch writes its own rows alone, the newest of each id, under its number; a
+    batch that runs again writes them anew. ``live_vectors`` reads the table.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{path}/generation={batch_id - 1}") if batch_id else spark.createDataFrame([], batch.select("id", "vec", "version").schema)
-        upsert(before, batch).write.mode("overwrite").parquet(f"{path}/generation={batch_id}")
+        upsert(batch.limit(0), batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return step
+
+
+def live_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """id, vec, version: the newest version of each vector; of equal ones that of the later batch."""
+    rows = spark.read.parquet(path)
+    top = rows.groupBy("id").agg(F.max(F.struct("version", F.col("batch").cast("long").alias("batch"), "vec")).alias("top"))
+    return top.select("id", "top.vec", "top.version")

@@ -1,7 +1,6 @@
 """Known values of functions and measures, and agreement of their forms."""
 
 import math
-import random
 
 import numpy as np
 import pytest
@@ -45,6 +44,7 @@ def test_boxes(spark):
 def test_sigmoid(spark):
     assert value(spark, geo.sigmoid(F.lit(0.0), 0.1)) == 1.0
     assert value(spark, geo.sigmoid(F.lit(1e12), 0.1)) == pytest.approx(0.0)
+    assert value(spark, geo.identity(F.lit(3.5), 0.1)) == 3.5
 
 
 def test_jaccard(spark):
@@ -74,22 +74,6 @@ def test_measures_of_empty(spark):
     assert value(spark, measures.lcss(a, none, 1.0, 1)) == 4.0
 
 
-def test_measures_by_batches(spark):
-    rng = random.Random(3)
-    pairs = [([(rng.uniform(0, 5), rng.uniform(0, 5)) for _ in range(rng.randint(1, 9))], [(rng.uniform(0, 5), rng.uniform(0, 5)) for _ in range(rng.randint(1, 9))]) for _ in range(12)]
-    df = spark.createDataFrame(pairs, "a array<struct<x:double,y:double>>, b array<struct<x:double,y:double>>")
-    c = F.col
-    for name, how, form in (
-        ("dtw", {}, measures.dtw(c("a"), c("b"))),
-        ("edr", {"threshold": 1.5}, measures.edr(c("a"), c("b"), 1.5)),
-        ("erp", {}, measures.erp(c("a"), c("b"))),
-        ("lcss", {"threshold": 1.5, "delta": 2}, measures.lcss(c("a"), c("b"), 1.5, 2)),
-    ):
-        fast = measures.fast(name, **how)
-        for r in df.select(form.alias("x"), fast(c("a.x"), c("a.y"), c("b.x"), c("b.y")).alias("y")).collect():
-            assert r["x"] == pytest.approx(r["y"])
-
-
 def test_tokens(spark):
     assert value(spark, tokens.space_token(F.lit(6.0), F.lit(4.5), 0, 0, 16, 9, 4, 3)) == 5
     assert value(spark, F.array(*tokens.token_cell(F.lit(5), 4))) == [1, 1]
@@ -105,6 +89,9 @@ def test_space_neighbours(spark):
     assert [r["neighbour"] for r in near.collect()] == [25, 31, 23, 17, 32, 30, 16, 18, 26, 38, 22, 10, 33, 39, 37, 19, 15, 9, 11, 29]
     corner = tokens.space_neighbours(spark.createDataFrame([(0,)], "token long"), 20, 7, 7)
     assert corner.count() == 20
+    narrow = tokens.space_neighbours(spark.createDataFrame([(0,), (50,)], "token long"), 20, 1, 100).groupBy("token").count()
+    assert {r["token"]: r["count"] for r in narrow.collect()} == {0: 20, 50: 20}
+    assert tokens.space_neighbours(spark.createDataFrame([(2,)], "token long"), 20, 2, 2).count() == 3
 
 
 def test_vectors(spark):
@@ -121,3 +108,22 @@ def test_attention():
     assert attention(np.array([0.0, 0.0]), 1) == pytest.approx([1 / math.sqrt(2)] * 2)
     w = EncoderWeights.seeded(4, 6, 3)
     assert encode(np.ones((5, 4)), w).shape == (6,)
+
+
+def test_encoder_by_hand():
+    """Two points, one number each: point t goes in by its own weight, not by the sum of all."""
+    from pathloom.operators.embed import EncoderWeights, encode
+
+    one = lambda *v: np.array(v, float)
+    w = EncoderWeights(np.array([[0.5], [-0.25]]), one(1.0)[:, None], one(2.0), one(0.1, 0.2, 0.3, 0.4)[None], one(0.5, 0.6, 0.7, 0.8)[None], one(0.01, 0.02, 0.03, 0.04))
+    points = [1.0, -2.0]
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    h = c = 0.0
+    for t in range(2):
+        scores = [2.0 * math.tanh(0.5 * h - 0.25 * c + p) for p in points]
+        weight = math.exp(scores[t]) / sum(map(math.exp, scores)) ** (1 / (t + 1))
+        x = weight * points[t]
+        i, f, g, o = (a * x + b * h + d for a, b, d in zip((0.1, 0.2, 0.3, 0.4), (0.5, 0.6, 0.7, 0.8), (0.01, 0.02, 0.03, 0.04), strict=True))
+        c = sigmoid(f) * c + sigmoid(i) * math.tanh(g)
+        h = sigmoid(o) * math.tanh(c)
+    assert encode(np.array(points)[:, None], w) == pytest.approx([h])

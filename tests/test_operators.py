@@ -52,11 +52,31 @@ def test_greedy_batches_stay_small(spark):
     p = order_points(spark, SF)
     batches = simjoin.greedy_batches(p, 400.0)
     assert batches.count() == trajectory.postings(p).count()
-    boxed = simjoin.batch_summaries(batches, p, ("kw", "stretch", "batch"))
+    boxed = simjoin.batch_summaries(batches, p, ("kw", "bx", "by", "batch"))
     alone = boxed.where("members > 1 AND sqrt(pow(max_x - min_x, 2) + pow(max_y - min_y, 2)) > 400")
     assert alone.count() == 0
 
 
+def test_greedy_batches_against_fold(spark):
+    p = order_points(spark, SF).where("tid < 60")
+    held = {}
+    rows = trajectory.postings(p).join(trajectory.boxes(p), "tid").orderBy("kw", "tid").collect()
+    want = {}
+    side = 16 * 400.0
+    for r in rows:
+        group = held.setdefault((r["kw"], (r["min_x"] + r["max_x"]) / 2 // side, (r["min_y"] + r["max_y"]) / 2 // side), [])
+        grown = [(min(b[0], r["min_x"]), min(b[1], r["min_y"]), max(b[2], r["max_x"]), max(b[3], r["max_y"])) for b in group]
+        diagonals = [((g[2] - g[0]) ** 2 + (g[3] - g[1]) ** 2) ** 0.5 for g in grown]
+        at = min(range(len(group)), key=diagonals.__getitem__, default=-1)
+        if at >= 0 and diagonals[at] <= 400:
+            group[at] = grown[at]
+        else:
+            at = len(group)
+            group.append((r["min_x"], r["min_y"], r["max_x"], r["max_y"]))
+        want[r["kw"], r["tid"]] = at
+    assert {(r["kw"], r["tid"]): r["batch"] for r in simjoin.greedy_batches(p, 400.0).collect()} == want
+
+
 ITEMS = [(1, [0.0110, 0.2341]), (2, [0.2300, 0.3891]), (3, [0.4300, 0.9891]), (4, [0.9999, 0.9999])]
 
 
@@ -81,6 +101,53 @@ def test_knn_approx(spark):
     assert picked.count() == 3 * asked(v, "id").count()
 
 
+def test_index_is_written_once_and_read_again(spark, tmp_path):
+    v = vectors(spark, SF)
+    path = str(tmp_path / "index")
+    knn.build_index(v, path, params.IndexParams(ef=60), metric="cosine")
+    again = spark.read.parquet(path)
+    found = knn.search_index(asked(v, "id"), again, 10, 60, "l2")
+    assert knn.recall(found, knn.knn_exact(asked(v, "id"), v, 10)).first()["recall"] >= 0.9
+    assert found.collect() == knn.search_index(asked(v, "id"), spark.read.parquet(path), 10, 60, "l2").collect()
+    knn.build_index(v.where("false"), path)
+    assert knn.search_index(asked(v, "id"), spark.read.parquet(path), 10).count() == 0
+
+
+def test_pivots_prune(spark):
+    rng = np.random.default_rng(8)
+    points = rng.integers(0, 10, (3000, 3)) * 100 + rng.random((3000, 3))
+    v = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, vec array<double>")
+    asked_ = v.where("id % 200 = 0")
+    key = lambda df: sorted((r["qid"], r["rank"], r["id"]) for r in df.collect())
+    assert key(knn.knn_pivot_pruned(asked_, v, 5)) == key(knn.knn_exact(asked_, v, 5))
+    costs = {r["qid"]: r["compared"] for r in knn.pivot_costs(asked_, v, 5).collect()}
+    assert len(costs) == 15 and sum(costs.values()) < 0.5 * 15 * 3000
+    assert knn.knn_pivot_pruned(asked_, v.where("false"), 5).count() == 0
+
+
+def test_bounds_spare_comparisons(spark):
+    from pathloom.operators import simsearch
+
+    p = line_points(spark, SF)
+    few = simsearch.verified_pairs(asked(p), p, 5, 0.9, 0.5, 5000.0).agg(F.sum("verified")).first()[0]
+    every = simsearch.verified_pairs(asked(p), p, 5, 0.9, 0.5, 5000.0, prune=False).agg(F.sum("verified")).first()[0]
+    assert every == simjoin.candidates(asked(p), p).count()
+    assert few < every
+    assert simsearch.topk(asked(p), p.where("false"), 5).count() == 0
+    assert simsearch.topk(asked(p).where("false"), p, 5).count() == 0
+
+
+def test_search_with_odd_keywords(spark):
+    """Points without keywords, repeated keywords, ties, and trajectories that share none."""
+    rows = [(1, 1, 0, 0.0, 0.0, ["a", "a", "b"]), (1, 2, 0, 1.0, 1.0, []), (2, 1, 0, 0.0, 1.0, ["a"]), (3, 1, 0, 0.0, 1.0, ["a"]), (4, 1, 0, 0.0, 0.0, ["z"]), (5, 1, 0, 9.0, 9.0, []), (20, 1, 0, 5.0, 5.0, ["b"])]
+    p = spark.createDataFrame(rows, POINTS)
+    for prune in (True, False):
+        from pathloom.operators import simsearch
+
+        got = [(r["qid"], r["rank"], r["tid"]) for r in simsearch.topk(p.where("tid in (1, 5)"), p, 3, 0.5, 1.0, 10.0, prune).orderBy("qid", "rank").collect()]
+        assert got == [(1, 1, 1), (1, 2, 2), (1, 3, 3)]
+
+
 def test_knn_over_shuffled_rows(spark):
     """Data from a shuffle whose partitions are coalesced in one job and not in another: no row is lost."""
     small = {"advisoryPartitionSizeInBytes": "48k", "coalescePartitions.parallelismFirst": "false", "coalescePartitions.minPartitionSize": "1k"}
@@ -144,6 +211,17 @@ def test_gap_at_threshold_splits(spark):
     assert [r["seg"] for r in segment.gap_segments(df, 100.0).orderBy("line").collect()] == [0, 1, 1]
 
 
+@pytest.mark.parametrize("order", [("ts", "line"), ("line",)])
+def test_gaps_over_pieces_of_a_log(spark, order):
+    rng = np.random.default_rng(2)
+    times = np.cumsum(rng.choice([60, 3600, 90_000, 200_000], 400, p=[0.5, 0.3, 0.1, 0.1])).tolist()
+    rows = [(k, i * 9000, t) for k in (1, None) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "file long, line long, t long").withColumn("ts", F.timestamp_seconds("t"))
+    want = [0, *np.cumsum(np.diff(times) >= 3600).tolist()]
+    got = segment.gap_segments(df, 3600.0, order=order).orderBy("file", "line").collect()
+    assert [r["seg"] for r in got] == want + want
+
+
 def test_dedupe_drops_moves_along_one_axis(spark):
     df = spark.createDataFrame([(1, 1, 0.0, 0.0), (1, 2, 1.0, 0.0), (1, 3, 2.0, 2.0), (1, 4, 2.0, 2.0)], "tid long, pid long, x double, y double")
     assert [r["pid"] for r in trajectory.dedupe_moves(df).orderBy("pid").collect()] == [1, 3]
@@ -166,7 +244,10 @@ def test_noise(spark):
     moved = perturb.shift_points(t, 3).join(t.select("tid", F.col("pts").alias("was")), "tid")
     for r in moved.collect():
         assert sorted(r["pts"]) == sorted(r["was"])
-        assert (r["pts"][0], r["pts"][-1]) == (r["was"][0], r["was"][-1])
+    # Three points, width 3: at place 1 the offset is (7 * 7919 + 104729) % 1000003 % 3 - 1 = 0, with seed 1 it is 1.
+    three = spark.createDataFrame([(7, [(1, 0.0), (2, 0.0), (3, 0.0)])], "tid long, pts array<struct<pid:long,x:double>>")
+    assert [p["pid"] for p in perturb.shift_points(three, 3).first()["pts"]] == [1, 2, 3]
+    assert [p["pid"] for p in perturb.shift_points(three, 3, seed=1).first()["pts"]] == [1, 3, 2]
     words = spark.createDataFrame([("new",)], "term string")
     assert perturb.substitute_terms(p, words, 1.0).where("terms != array('new')").count() == 0
     assert perturb.substitute_terms(p, words, 0.0).join(p, ["tid", "pid"]).count() == p.count()
@@ -201,26 +282,53 @@ def test_readers_and_writers(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "out")).count() == 2
     e = readers.extent(p).first()
     assert (e["min_ts"], e["max_x"]) == (1000, 2.5)
-    assert params.parse_args(["--k", "5", "--no-timestamp"]) == {"k": "5", "no-timestamp": ""}
-    with pytest.raises(ValueError):
-        params.parse_args(["-k", "5"])
+
+
+def test_more_readers_and_writers(spark, tmp_path):
+    (tmp_path / "v.csv").write_text("1,2.5\n3,4\n")
+    assert [r["vec"] for r in readers.read_vectors(spark, str(tmp_path / "v.csv")).orderBy("id").collect()] == [[1.0, 2.5], [3.0, 4.0]]
+    (tmp_path / "k.txt").write_text(" one \n\ntwo words\n")
+    assert [r["term"] for r in readers.read_keywords(spark, str(tmp_path / "k.txt")).orderBy("term_id").collect()] == ["one", "two words"]
+    a, b = (spark.createDataFrame([(i, [i]) for i in ids], "tid long, pts array<long>") for ids in ((1, 2), (1, 3)))
+    assert readers.paired(a, a).where("sampled = complete").count() == 2
+    with pytest.raises(Exception, match="one table only"):
+        readers.paired(a, b).collect()
+    found = spark.createDataFrame([(1, 1, 42, 1.5)], "qid long, rank int, tid long, sim double")
+    assert writers.result_lines(found).first()["line"] == "     42 1.50000"
+    writers.write_metrics(spark.createDataFrame([(5, 0.5)], "k int, precision double"), str(tmp_path / "m"))
+    assert spark.read.json(str(tmp_path / "m")).first()["precision"] == 0.5
+    records = spark.createDataFrame([("a", 1, 2.0), ("a", 3, 4.0)], "name string, n int, x double")
+    assert tuple(evaluate.averaged_records(records, "name").first()) == ("a", 2.0, 3.0)
+    assert sorted(r["n"] for r in trajectory.shuffled(spark.range(5).withColumnRenamed("id", "n"), "n").collect()) == list(range(5))
 
 
 def test_live_segments(spark, tmp_path):
-    from pathloom.streaming.live import live_segments, live_upserts
+    from pathloom.streaming.live import live_segments
 
-    rows = [(1, 0, 0.0, 0.0), (1, 50, 0.1, 0.1), (1, 400, 0.2, 0.2), (2, 10, 1.0, 1.0), (9, 5000, 0.0, 0.0)]
-    df = spark.createDataFrame(rows, "key long, t long, x double, y double").select("key", F.timestamp_seconds("t").alias("ts"), "x", "y")
-    for i, part in enumerate((df.where("key < 9"), df.where("key = 9"))):
-        part.coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    now = 1_700_000_000
+    rows = [(1, 0, 0.0, 0.0), (1, 50, 0.1, 0.1), (1, 400, 0.2, 0.2), (2, 10, 1.0, 1.0), (9, 5000, 0.0, 0.0), (3, 6000, 0.0, 0.0), (1, 9000, 0.3, 0.3), (9, 20000, 0.0, 0.0), (9, 30000, 0.0, 0.0)]
+    df = spark.createDataFrame([(k, now + t, x, y) for k, t, x, y in rows], "key long, t long, x double, y double").select("key", F.timestamp_seconds("t").alias("ts"), "x", "y")
+    for i, (low, high) in enumerate(((0, 500), (500, 5500), (5500, 8000), (8000, 15000), (15000, 25000), (25000, 40000))):
+        df.where(f"ts >= timestamp_seconds({now + low}) AND ts < timestamp_seconds({now + high})").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
     stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = live_segments(stream, 300.0).writeStream.format("memory").queryName("segs").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(180)
-    got = {(r["key"], r["seg"]): r["n_points"] for r in spark.table("segs").collect()}
-    assert got[1, 0] == 2
-    step = live_upserts(str(tmp_path / "vec"))
+    got = [((r["key"], r["seg"]), r["n_points"]) for r in spark.table("segs").collect()]
+    # Key 1 ends its second segment by the watermark; what comes later has a number of its own.
+    assert dict(got) == {(1, 0): 2, (1, 1): 1, (1, 2): 1, (2, 0): 1, (3, 0): 1, (9, 0): 1, (9, 1): 1}
+    assert len(dict(got)) == len(got)
+
+
+def test_live_upserts(spark, tmp_path):
+    from pathloom.streaming.live import live_upserts, live_vectors
+
+    path = str(tmp_path / "vec")
+    step = live_upserts(path)
     make = lambda version, x: spark.createDataFrame([(1, [x], version)], "id long, vec array<double>, version long")
     step(make(1, 1.0), 0)
     step(make(2, 2.0), 1)
-    step(make(1, 3.0), 2)
-    assert spark.read.parquet(str(tmp_path / "vec/generation=2")).first()["vec"] == [2.0]
+    step(make(1, 3.0), 3)  # a batch without rows need not have been written
+    step(make(1, 3.0), 3)
+    assert [tuple(r) for r in live_vectors(spark, path).collect()] == [(1, [2.0], 2)]
+    step(make(2, 4.0), 4)
+    assert live_vectors(spark, path).first()["vec"] == [4.0]
