@@ -6,39 +6,19 @@ On UTF-8 bytes that is ``bytes.split()``, which is how the helpers do it.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pathloom.plans.storage import scratch
+
 #: Rows that ``per_batch`` works on at a time.
 AT_ONCE = 1024
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see.
-
-    It is the one that ``spark.checkpoint.dir`` names. Only where that is unset
-    (tests, a laptop) a temporary folder takes its place.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
-        if not named:
-            named = "file://" + tempfile.mkdtemp(prefix="pathloom-")
-            spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends, lost executors cost nothing."""
     path = scratch(df.sparkSession, name)

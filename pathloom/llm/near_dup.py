@@ -11,18 +11,21 @@ documents are linked if the Jaccard similarity of their sets is at least
 2. BANDS bands of ROWS bins make buckets. In each bucket all members get an edge
    to one centre, so edges number members, not pairs. The centre is the member
    that shares most buckets with others.
-3. An edge whose sketches differ in more than MOST_UNLIKE bins waits for step 4;
-   the rest are confirmed on the full sets, made again from the texts of those
-   nodes alone.
+3. An edge whose sketches differ in more than MOST_UNLIKE bins is dropped; the
+   rest are confirmed on the full sets, made again from the texts of those nodes
+   alone.
 4. Links make components. A bucket that still has several components may hide a
-   link between two non-centres, or one that the sketches hid. Its nodes go
-   through an exact join: linked sets share a shingle among the first few of each
-   in a common order, rare ones first. Only pairs of different components meet
-   there, and they are confirmed on full sets. No bucket is capped, and a bucket's
-   members are never all compared with each other.
-
-So a link is lost only if its documents share no bucket: at the threshold with
-probability (1 - 0.8 ** ROWS) ** BANDS, under 3e-6 with the values here.
+   link between two non-centres. Its members outside its largest component are
+   held against all its members of other components by both sketches, and what is
+   alike enough is confirmed on full sets. Pairs within a component are never
+   compared, and no bucket is capped.
+
+A pair at the threshold shares no bucket with probability
+(1 - 0.8 ** ROWS) ** BANDS, under 3e-6 with the values here; the sketches are held
+to limits five deviations out or more. With ``exact``, sketches rule out nothing in
+step 4: nodes of open buckets go through an exact join instead. Linked sets share
+a shingle among the first few of each in a common order, rare ones first, and all
+pairs of different components that do are confirmed. It makes more pairs.
 """
 
 from __future__ import annotations
@@ -45,6 +48,8 @@ BINS = ROWS * BANDS
 #: Of BINS lanes of four bits; at similarity 0.8 the mean is 30 and the deviation 4.9.
 MOST_UNLIKE = 60
 CACHE_ENTRIES = 150_000
+#: The finer sketch that pairs outside stars are held against: mean 192, deviation 12.5 at the threshold.
+FINE_BINS, FINE_UNLIKE = 1024, 267
 #: Pairs of a node that are dealt to one key.
 SALT_PAIRS = 64
 #: Hash classes whose counts tell rare shingles; the table of counts has so many numbers whatever the data.
@@ -148,21 +153,28 @@ def signatures(rows: DataFrame, size: int) -> DataFrame:
 
 
 def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
-    """doc, print and the full set of (doc_id, text) rows with words."""
+    """node, its full set and the lanes of its finer sketch, of (node, print, text) rows.
+
+    Rows whose text has another fingerprint are left out.
+    """
 
     def make():
         hashes = _Hashes()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [(i, x) for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True) if len(x := shingle_set(text.as_py(), size, hashes))]
-            prints = [xxhash.xxh3_128_digest(x.tobytes()) for _, x in found]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _ in found], pa.int64()), pa.array(prints, pa.binary()), pa.array([x.view(np.int64) for _, x in found], pa.list_(pa.int64()))], ["doc", "print", "shingles"]
-            )
+            nodes, sets = [], []
+            for node, mark, text in zip(*(batch.column(c).to_pylist() for c in ("node", "print", "text")), strict=True):
+                found = shingle_set(text, size, hashes)
+                if xxhash.xxh3_128_digest(found.tobytes()) == mark:
+                    nodes.append(node)
+                    sets.append(found.view(np.int64))
+            fine = [lanes_of(sketch(x.view(np.uint64), FINE_BINS)) for x in sets]
+            longs = pa.list_(pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, longs), pa.array(fine, longs)], ["node", "shingles", "fine"])
 
         return work
 
-    return per_batch(rows, make, "doc long, print binary, shingles array<long>")
+    return per_batch(rows, make, "node long, shingles array<long>, fine array<long>")
 
 
 def _unlike_lanes(a: Column, b: Column) -> Column:
@@ -177,6 +189,11 @@ def unlike(a: Column, b: Column) -> Column:
     return sum((_unlike_lanes(a[k], b[k]) for k in range(1, BINS // 16)), _unlike_lanes(a[0], b[0]))
 
 
+def unlike_fine(a: Column, b: Column) -> Column:
+    """The same for finer sketches, as a fold: so long an expression would not compile."""
+    return F.aggregate(F.zip_with(a, b, _unlike_lanes), F.lit(0), lambda n, x: n + x)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those (a, b) pairs of nodes whose full sets are similar enough.
 
@@ -213,7 +230,7 @@ def components(links: DataFrame) -> DataFrame:
         state = state.select("node", "label")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the document has its component's smallest id) of every row.
 
     A null or empty text has an empty set, is linked with nothing and is kept.
@@ -228,7 +245,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Documents with equal sets are one node; ``doc`` is the smallest id among them.
     same = usable.groupBy("print").agg(F.min("doc_id").alias("doc"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "lanes")))
     nodes = written(same.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    labels = _labels(nodes, usable, rows, shingle)
+    labels = _labels(nodes, usable, rows, shingle, exact)
     named = nodes.join(labels, "doc", "left").select("print", F.coalesce("label", "doc").alias("label"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
     return signed.select("doc_id", "n_shingles", "print").join(named, "print", "left").select(
@@ -236,7 +253,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def _labels(nodes: DataFrame, usable: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+def _labels(nodes: DataFrame, usable: DataFrame, rows: DataFrame, size: int, exact: bool) -> DataFrame:
     """doc and label of the documents (smallest ids of nodes) that are linked."""
     # Ids that repeat. Where their texts differ, the document ties the nodes that they are in.
     repeated = written(usable.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("print").alias("low"), F.max("print").alias("high")).where("n > 1"), "repeated")
@@ -247,9 +264,9 @@ def _labels(nodes: DataFrame, usable: DataFrame, rows: DataFrame, size: int) ->
     shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     crowded = written(members.join(shared, "bucket"), "buckets")  # most buckets hold one node and end here
     rank = crowded.groupBy("node").agg(F.sum("size").alias("rank"), F.max("size").alias("most"))
-    traits = written(nodes.join(rank, "node").select("node", "doc", "print", "n_shingles", "lanes", "rank", "most"), "traits")
-    texts = rows.join(traits.select("doc").distinct(), F.col("doc_id") == F.col("doc"), "left_semi")
-    sets = shingle_sets(texts, size).join(traits.select("node", "print", "doc"), ["print", "doc"]).select("node", "shingles")
+    traits = written(nodes.join(rank, "node").select("node", "doc", "print", "n_shingles", "bands", "lanes", "rank", "most"), "traits")
+    texts = rows.join(traits.select("doc", "node", "print"), F.col("doc_id") == F.col("doc")).select("node", "print", "text")
+    sets = shingle_sets(texts, size)
     sets = written(sets.dropDuplicates(["node"]) if several else sets, "sets")
 
     # Star-shaped edges: from the bucket's centre to each other member.
@@ -264,13 +281,11 @@ def _labels(nodes: DataFrame, usable: DataFrame, rows: DataFrame, size: int) ->
     links = confirmed(likely, sets).join(docs_of[0], "a").join(docs_of[1], "b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
     parts = components(links.where("a != b").union(ties)).withColumnsRenamed({"node": "doc", "label": "part"})
 
-    # Nodes of buckets that still hold several components: exact pairs between components, by shared prefixes.
+    # Buckets that still hold several components.
     placed = written(traits.join(parts, "doc", "left").select("node", "n_shingles", F.coalesce("part", "doc").alias("part")), "placed")
     inside = crowded.select("bucket", "node").join(placed, "node")
-    open_ = inside.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("bucket")
-    left = written(inside.join(open_, "bucket").select("node", "part", "n_shingles").distinct(), "open")
-    pairs = written(prefix_pairs(left.join(sets, "node")), "pairs")
-    more = written(confirmed(pairs, sets), "more-links")
+    pairs = prefix_pairs(inside, sets) if exact else alike_pairs(inside, traits, sets)
+    more = written(confirmed(written(pairs, "pairs"), sets), "more-links")
     part_of = [placed.select(F.col("node").alias(x), F.col("part").alias(f"part_{x}")) for x in "ab"]
     between = more.join(part_of[0], "a").join(part_of[1], "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))
     joined = components(between)
@@ -279,15 +294,46 @@ def _labels(nodes: DataFrame, usable: DataFrame, rows: DataFrame, size: int) ->
     return written(relabelled.unionByName(alone), "labels")
 
 
-def prefix_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b, salts) of nodes of different parts that may be linked; none that is linked is missing.
+def alike_pairs(inside: DataFrame, traits: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b, salts) of nodes of different parts in a bucket (bucket, node, part) that both sketches find alike.
 
-    ``rows``: node, part, n_shingles, shingles. All sets are put in one order, rare
+    Members outside a bucket's largest part meet all members of other parts; the
+    sketches are looked at where they meet, so only alike pairs come out.
+    """
+    sizes = inside.groupBy("bucket", "part").agg(F.count("*").alias("size"))
+    open_ = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "main")
+    earlier = F.slice("bands", 1, F.array_position("bands", F.col("bucket")).cast("int") - 1).alias("earlier")
+    left = inside.join(open_, "bucket").join(traits.select("node", "bands", "lanes"), "node").join(sets.select("node", "fine"), "node")
+    left = written(left.select("bucket", "main", "part", "node", "lanes", "fine", earlier), "open")
+    a, b = left.where("part != main").alias("a"), left.alias("b")
+    other = (F.col("a.part") != F.col("b.part")) & ((F.col("b.part") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
+    near = unlike(F.col("a.lanes"), F.col("b.lanes")) <= MOST_UNLIKE
+    first = ~F.arrays_overlap("a.earlier", "b.earlier")  # a pair comes up in the first bucket that it shares
+    nearer = unlike_fine(F.col("a.fine"), F.col("b.fine")) <= FINE_UNLIKE
+    rest = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & other & near & first & nearer)
+    return salted(rest.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
+
+
+def salted(pairs: DataFrame) -> DataFrame:
+    """(a, b, salts) of pairs: ``a`` is the node that has more of them, and they are dealt over salts."""
+    pairs = written(pairs, "candidates")
+    degree = pairs.select(F.col("a").alias("x")).union(pairs.select("b")).groupBy("x").agg(F.count("*").alias("degree"))
+    both = pairs.join(degree.withColumnsRenamed({"x": "a", "degree": "d_a"}), "a").join(degree.withColumnsRenamed({"x": "b", "degree": "d_b"}), "b")
+    more = F.col("d_a") >= F.col("d_b")
+    return both.select(F.when(more, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(more, F.col("b")).otherwise(F.col("a")).alias("b"), F.ceil(F.greatest("d_a", "d_b") / SALT_PAIRS).cast("long").alias("salts"))
+
+
+def prefix_pairs(inside: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b, salts) of nodes of different parts, in open buckets, that may be linked; none that is linked is missing.
+
+    ``inside``: bucket, node, part, n_shingles. All sets are put in one order, rare
     shingles first as far as counts of hash classes tell. Sets of n and of fewer
     shingles that are linked share one of the first n - least + 1 of each, where
     ``least`` is the smallest overlap that a link needs; and their sizes are alike.
     """
-    counted = rows.mapInArrow(_class_counts, "class long, n long").groupBy("class").agg(F.sum("n").alias("n"))
+    open_ = inside.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("bucket")
+    nodes = inside.join(open_, "bucket").select("node", "part", "n_shingles").distinct()
+    counted = sets.mapInArrow(_class_counts, "class long, n long").groupBy("class").agg(F.sum("n").alias("n"))
     often = np.zeros(CLASSES, np.int64)
     for k, n in counted.collect():  # at most CLASSES rows
         often[k] = n
@@ -302,21 +348,18 @@ def prefix_pairs(rows: DataFrame) -> DataFrame:
                 n = len(own)
                 keep = n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1
                 first.append(own[np.lexsort((own, often[own & (CLASSES - 1)]))[:keep]])
-            return pa.RecordBatch.from_arrays([batch.column("node"), batch.column("part"), batch.column("n_shingles"), pa.array(first, pa.list_(pa.int64()))], ["node", "part", "n", "first"])
+            return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(first, pa.list_(pa.int64()))], ["node", "first"])
 
         return work
 
-    heads = written(per_batch(rows, make, "node long, part long, n long, first array<long>").select("node", "part", "n", F.explode("first").alias("shingle")), "prefixes")
+    first = per_batch(sets, make, "node long, first array<long>")
+    heads = written(first.join(nodes, "node").select("node", "part", F.col("n_shingles").alias("n"), F.explode("first").alias("shingle")), "prefixes")
     mixed = heads.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("shingle")
     heads = written(heads.join(mixed, "shingle"), "mixed")
     a, b = (heads.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "part", "n"))) for x in "ab")
     alike = DENOMINATOR * F.least("n_a", "n_b") >= NUMERATOR * F.greatest("n_a", "n_b")
-    pairs = written(a.join(b, "shingle").where((F.col("part_a") < F.col("part_b")) & alike).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "candidates")
-    # The node with more pairs is ``a``, whose pairs are dealt over salts.
-    degree = pairs.select(F.col("a").alias("x")).union(pairs.select("b")).groupBy("x").agg(F.count("*").alias("degree"))
-    both = pairs.join(degree.withColumnsRenamed({"x": "a", "degree": "d_a"}), "a").join(degree.withColumnsRenamed({"x": "b", "degree": "d_b"}), "b")
-    more = F.col("d_a") >= F.col("d_b")
-    return both.select(F.when(more, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(more, F.col("b")).otherwise(F.col("a")).alias("b"), F.ceil(F.greatest("d_a", "d_b") / SALT_PAIRS).cast("long").alias("salts"))
+    met = a.join(b, "shingle").where((F.col("part_a") < F.col("part_b")) & alike)
+    return salted(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
 
 
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

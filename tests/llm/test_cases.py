@@ -299,9 +299,11 @@ def test_near_duplicates_with_repeated_ids(spark):
             if sets[p] and 100 * common >= 80 * (len(sets[p]) + len(sets[q]) - common):
                 x, y = sorted((find(a), find(rows[q][0])))
                 label[y] = x
-    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
-    assert len(found) == len(rows)
-    assert {(r["doc_id"], r["component_id"]) for r in found} == {(i, find(i)) for i, _ in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for exact in (False, True):
+        found = near_dup.near_duplicates(docs, exact=exact).collect()
+        assert len(found) == len(rows)
+        assert {(r["doc_id"], r["component_id"]) for r in found} == {(i, find(i)) for i, _ in rows}
     assert len({find(i) for i, _ in rows}) > 5
 
 

@@ -52,6 +52,7 @@ def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{MORE}/documents.parquet").where("lang IS NOT NULL").select("doc_id", "lang")
     both = QUERIES["op10_language"](spark, MORE).where("held_out").join(docs, "doc_id")
     assert both.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
+    assert both.agg(F.avg(F.col("rejected").cast("double"))).first()[0] < 0.05
 
 
 def test_quality_on_held_out_rows(spark):
@@ -112,7 +113,10 @@ def test_pipeline(spark):
     library = sentencepiece.SentencePieceProcessor(model_proto=piece_model())
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows
-    for r in rows[:50]:
-        assert r["n_tokens"] == len(library.encode(documents[r["doc_id"]]))
+    for r in rows:
+        ids = library.encode(documents[r["doc_id"]])
+        assert r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids).encode()).hexdigest()
     again = corpus_pipeline.run(spark, SF).collect()
     assert sorted(map(str, rows)) == sorted(map(str, again))
