@@ -153,7 +153,7 @@ def signatures(rows: DataFrame, size: int) -> DataFrame:
 
 
 def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
-    """node, its full set and the lanes of its finer sketch, of (node, print, text) rows.
+    """node, doc, its full set and the lanes of its finer sketch, of (node, doc, print, text) rows.
 
     Rows whose text has another fingerprint are left out.
     """
@@ -162,19 +162,20 @@ def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
         hashes = _Hashes()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            nodes, sets = [], []
-            for node, mark, text in zip(*(batch.column(c).to_pylist() for c in ("node", "print", "text")), strict=True):
+            nodes, docs, sets = [], [], []
+            for node, doc, mark, text in zip(*(batch.column(c).to_pylist() for c in ("node", "doc", "print", "text")), strict=True):
                 found = shingle_set(text, size, hashes)
                 if xxhash.xxh3_128_digest(found.tobytes()) == mark:
                     nodes.append(node)
+                    docs.append(doc)
                     sets.append(found.view(np.int64))
             fine = [lanes_of(sketch(x.view(np.uint64), FINE_BINS)) for x in sets]
             longs = pa.list_(pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, longs), pa.array(fine, longs)], ["node", "shingles", "fine"])
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(docs, pa.int64()), pa.array(sets, longs), pa.array(fine, longs)], ["node", "doc", "shingles", "fine"])
 
         return work
 
-    return per_batch(rows, make, "node long, shingles array<long>, fine array<long>")
+    return per_batch(rows, make, "node long, doc long, shingles array<long>, fine array<long>")
 
 
 def _unlike_lanes(a: Column, b: Column) -> Column:
@@ -195,18 +196,18 @@ def unlike_fine(a: Column, b: Column) -> Column:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those (a, b) pairs of nodes whose full sets are similar enough.
+    """a, b and their docs, of those (a, b) pairs of nodes whose full sets are similar enough.
 
     ``pairs`` has ``salts``, the number of keys over which the pairs of ``a`` are
     dealt, so that a node with many pairs isn't one task's work. Of each pair the
     set of ``b`` travels, and that of ``a`` once a salt.
     """
     salt = F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt")
-    theirs = pairs.select("a", "b", salt).join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+    theirs = pairs.select("a", "b", salt).join(sets.select(F.col("node").alias("b"), F.col("doc").alias("doc_b"), F.col("shingles").alias("of_b")), "b")
     wanted = pairs.groupBy("a").agg(F.max("salts").alias("salts"))
-    ours = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")).join(wanted, "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "of_a")
-    both = theirs.join(ours, ["a", "salt"]).select("a", "b", F.size("of_a").alias("n_a"), F.size("of_b").alias("n_b"), F.size(F.array_intersect("of_a", "of_b")).alias("common"))
-    return both.where(DENOMINATOR * F.col("common") >= NUMERATOR * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
+    ours = sets.select(F.col("node").alias("a"), F.col("doc").alias("doc_a"), F.col("shingles").alias("of_a")).join(wanted, "a").select("a", "doc_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "of_a")
+    both = theirs.join(ours, ["a", "salt"]).select("a", "b", "doc_a", "doc_b", F.size("of_a").alias("n_a"), F.size("of_b").alias("n_b"), F.size(F.array_intersect("of_a", "of_b")).alias("common"))
+    return both.where(DENOMINATOR * F.col("common") >= NUMERATOR * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b", "doc_a", "doc_b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -265,7 +266,7 @@ def _labels(nodes: DataFrame, usable: DataFrame, rows: DataFrame, size: int, exa
     crowded = written(members.join(shared, "bucket"), "buckets")  # most buckets hold one node and end here
     rank = crowded.groupBy("node").agg(F.sum("size").alias("rank"), F.max("size").alias("most"))
     traits = written(nodes.join(rank, "node").select("node", "doc", "print", "n_shingles", "bands", "lanes", "rank", "most"), "traits")
-    texts = rows.join(traits.select("doc", "node", "print"), F.col("doc_id") == F.col("doc")).select("node", "print", "text")
+    texts = rows.join(traits.select("doc", "node", "print"), F.col("doc_id") == F.col("doc")).select("node", "doc", "print", "text")
     sets = shingle_sets(texts, size)
     sets = written(sets.dropDuplicates(["node"]) if several else sets, "sets")
 
@@ -277,8 +278,7 @@ def _labels(nodes: DataFrame, usable: DataFrame, rows: DataFrame, size: int, exa
     of_a = traits.select(F.col("node").alias("a"), F.col("lanes").alias("lanes_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("most") / SALT_PAIRS).cast("long") - 1)).alias("salt"))
     of_b = traits.select(F.col("node").alias("b"), F.col("lanes").alias("lanes_b"))
     likely = written(salted.join(of_b, "b").join(of_a, ["a", "salt"]).where(unlike(F.col("lanes_a"), F.col("lanes_b")) <= MOST_UNLIKE).select("a", "b", "salts"), "likely")
-    docs_of = [traits.select(F.col("node").alias(x), F.col("doc").alias(f"doc_{x}")) for x in "ab"]
-    links = confirmed(likely, sets).join(docs_of[0], "a").join(docs_of[1], "b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+    links = confirmed(likely, sets).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
     parts = components(links.where("a != b").union(ties)).withColumnsRenamed({"node": "doc", "label": "part"})
 
     # Buckets that still hold several components.
@@ -301,17 +301,18 @@ def alike_pairs(inside: DataFrame, traits: DataFrame, sets: DataFrame) -> DataFr
     sketches are looked at where they meet, so only alike pairs come out.
     """
     sizes = inside.groupBy("bucket", "part").agg(F.count("*").alias("size"))
-    open_ = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "main")
+    open_ = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.count("*").alias("parts"), F.sum("size").alias("members")).where("parts > 1")
+    open_ = open_.select("bucket", "main", F.ceil(F.col("members") / SALT_PAIRS).cast("long").alias("salts"))
     earlier = F.slice("bands", 1, F.array_position("bands", F.col("bucket")).cast("int") - 1).alias("earlier")
     left = inside.join(open_, "bucket").join(traits.select("node", "bands", "lanes"), "node").join(sets.select("node", "fine"), "node")
-    left = written(left.select("bucket", "main", "part", "node", "lanes", "fine", earlier), "open")
+    left = written(left.select("bucket", "main", "salts", "part", "node", "lanes", "fine", earlier), "open")
     a, b = left.where("part != main").alias("a"), left.alias("b")
     other = (F.col("a.part") != F.col("b.part")) & ((F.col("b.part") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
     near = unlike(F.col("a.lanes"), F.col("b.lanes")) <= MOST_UNLIKE
     first = ~F.arrays_overlap("a.earlier", "b.earlier")  # a pair comes up in the first bucket that it shares
     nearer = unlike_fine(F.col("a.fine"), F.col("b.fine")) <= FINE_UNLIKE
     rest = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & other & near & first & nearer)
-    return salted(rest.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct())
+    return rest.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.max("a.salts").alias("salts"))
 
 
 def salted(pairs: DataFrame) -> DataFrame:
