@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.llm import langid, line_quality, merge_tokens, mixing, near_dup, rules, token_files, topk, url_rules, warc
+from pathloom.llm import alignment, divergence, exact_dedup, langid, line_quality, merge_tokens, mixing, near_dup, rules, token_files, topk, url_rules, warc
 from pathloom.llm.common import crc_mod3
 
 #: Id that ends each document in token files.
@@ -191,6 +191,56 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language are apart, and each source's terms, of all rows of ``documents``; nulls, ties and names as in ``divergence.audit``."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents
+),
+t AS MATERIALIZED (SELECT lang, source, r, term, count(*) AS c FROM (SELECT lang, source, r, unnest(w) AS term FROM d) GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, term, sum(c)::BIGINT AS c FROM t GROUP BY lang, term HAVING count(*) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(c)::BIGINT AS n FROM kept GROUP BY lang),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+c AS MATERIALIZED (SELECT lang, source, term, sum(t.c)::BIGINT AS c FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+n AS (SELECT g.lang, g.source, coalesce(sum(c.c), 0)::BIGINT AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 1)) // (n.n + v.v) AS p, 1 + (1000000000::HUGEINT * (k.c + 1)) // (v.n + v.v) AS q
+  FROM g JOIN kept k USING (lang) JOIN n ON n.lang = g.lang AND n.source = g.source JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+    ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+),
+term AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM p WHERE c > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT * FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers lie over one another in every whole text of ``documents``; nulls, empty texts and repeats as in ``alignment.align``."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    return alignment.align(table(spark, sf_dir, "documents"), definition, piece_model())[0]
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of all rows of ``documents`` with equal texts stays; nulls, ties and repeated ids as in ``exact_dedup.exact_dedup``."""
+    return exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet")
+
+
+OP13_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT *, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST, r DESC) = 1 AS kept FROM d)
+SELECT doc_id, keep_id, group_size, kept, sha256(t) AS text_sha256 FROM w
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_rule_ledger,
@@ -203,8 +253,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_rules,
         op9_token_files,
         op10_language,
+        op11_source_divergence,
+        op12_token_alignment,
+        op13_exact_dedup,
     )
-
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_rule_ledger": OP1_SQL,
@@ -213,4 +265,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_warc": OP5_SQL,
     "op6_mixing": OP6_SQL,
     "op8_url_rules": OP8_SQL,
+    "op11_source_divergence": OP11_SQL,
+    "op13_exact_dedup": OP13_SQL,
 }
