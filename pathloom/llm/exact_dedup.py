@@ -22,8 +22,12 @@ from pyspark.sql import functions as F
 
 from pathloom.llm.common import scratch, written
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; a part of it takes the disk that it fills, not what it may fill one day.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 #: A digest with more than one HOT-th of all rows is hot, so there are fewer than HOT.
 HOT = 1024
 #: Hits of one digest that are compared under one key, at least.
@@ -46,14 +50,16 @@ def located(files: DataFrame, id_col: str, text_col: str, digest_bytes: int) ->
 def absorb(rows: DataFrame, location: str) -> None:
     """Take what is new in a stream of ``located`` rows into the state at ``location``."""
     spark = rows.sparkSession
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in STATE}
+    for name, value in STATE.items():
+        spark.conf.set(name, value)
     try:
         groups = rows.groupBy("digest").agg(F.max("stay").alias("stay"), F.count("*").alias("n"))
         query = groups.writeStream.outputMode("update").format("noop").option("checkpointLocation", location).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def groups(spark: SparkSession, location: str) -> DataFrame:
