@@ -78,7 +78,8 @@ def matched(rows: DataFrame, known: DataFrame, total: int) -> DataFrame:
 def unequal(rows: DataFrame, known: DataFrame, total: int) -> DataFrame:
     """digest, stay and norm of the hits whose text is not the one that the state points to."""
     many = max(SALT_ROWS, total // HOT)
-    texts = matched(rows.select("digest", "stay", "norm"), known.where("n > 1"), total).withColumn("salts", F.ceil(F.col("n") / many).cast("long"))
+    repeats = matched(rows.select("digest", "stay", "norm"), known.where("n > 1"), total).withColumn("salts", F.ceil(F.col("n") / many).cast("long"))
+    texts = written(repeats, "repeats")  # read twice below
     is_kept = F.col("stay").eqNullSafe(F.col("kept_row"))
     content = texts.where(is_kept).select("digest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("norm").alias("content"))
     hits = texts.where(~is_kept).select("digest", F.pmod(F.xxhash64("stay"), "salts").alias("salt"), "stay", "norm")
