@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 EARTH_RADIUS = 6378137.0
 
 
+def finite(v: Column) -> Column:
+    """Whether a number is there, and neither NaN nor infinite."""
+    return F.coalesce(~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) != float("inf")), F.lit(False))
+
+
+def placed_points(points: Column) -> Column:
+    """Those points of an array that have a place; null points have none."""
+    return F.filter(points, lambda p: finite(p["x"]) & finite(p["y"]))
+
+
 def euclid(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2))
 

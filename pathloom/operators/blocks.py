@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.functions import geo
+from pathloom.plans.storage import kept
+
+#: What rounding may add to a bound.
+SLACK = 1e-9
 #: Shards for each shuffle partition, so that hashing them deals work evenly.
 SHARDS_A_PART = 4
 
@@ -14,13 +23,90 @@ def parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def met(shards: DataFrame, asked: DataFrame) -> DataFrame:
-    """Each block of ``asked`` beside each block of ``shards`` (a written table with shard from 0).
+def numbered_blocks(packed: DataFrame, name: str = "block") -> DataFrame:
+    """Packed rows with a number each, kept: another job over them may have other partitions."""
+    return kept(packed.withColumn(name, F.monotonically_increasing_id()))
+
+
+def every_pair(asked: DataFrame, blocks: DataFrame) -> DataFrame:
+    """q_block, block: a stated query set is compared with all rows, so all its blocks meet all blocks. Only numbers are paired here."""
+    return asked.select("q_block").join(blocks.select("block"), F.lit(True))
+
+
+def meet(blocks: DataFrame, asked: DataFrame, pairs: DataFrame, make: Callable[[], tuple[Callable, Callable]], schema: str) -> DataFrame:
+    """The record batches that each pair (q_block, block) of blocks makes.
+
+    ``make`` gives each task two functions: ``held = begin(block)`` and
+    ``step(held, query block)``; blocks come as dicts of their columns. Rows are
+    dealt by block and sorted, the block before the query blocks that it meets, so
+    each block goes to one task once, and query blocks stream past it. Blocks that
+    meet none aren't sent. Work is heavier than bytes here, so the number of tasks
+    is given and isn't merged by size.
+    """
+    mine, theirs = ([c for c in df.columns if c != key] for df, key in ((blocks, "block"), (asked, "q_block")))
+    none = lambda df, columns: [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in columns]
+    held = blocks.join(pairs.select("block").distinct(), "block", "left_semi").select("block", F.lit(0).alias("turn"), *mine, *none(asked, theirs))
+    sent = asked.join(pairs, "q_block").select("block", F.lit(1).alias("turn"), *none(blocks, mine), *theirs)
+    dealt = held.unionByName(sent).repartition(SHARDS_A_PART * parts(blocks), "block").sortWithinPartitions("block", "turn")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin, step = make()
+        now = None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x = batch.slice(k, 1).to_pylist()[0]
+                if x["turn"]:
+                    yield step(now, x)
+                else:
+                    now = begin(x)
+
+    return dealt.mapInArrow(run, schema)
+
+
+#: What a search in two rounds yields: hits (qid, tid, value); and for each query and block, with a null tid, how
+#: many hits were verified, the query's place ``at`` in its block, and its k-th best value so far.
+HITS = "qid long, tid long, value double, verified long, q_block long, at int, kth double"
+
+
+def hits_batch(qid: np.ndarray, tid: np.ndarray, value: np.ndarray, q_ids: np.ndarray, verified: np.ndarray, q_block: int, kth: np.ndarray) -> pa.RecordBatch:
+    """HITS of one query block and one block; a value that isn't finite is null, and so is a k-th best."""
+    n, m = len(qid), len(q_ids)
+    hit = np.arange(n + m) < n
+    pad = lambda x, y: np.concatenate([np.asarray(x), np.asarray(y)])
+    value, kth = pad(value, np.zeros(m)).astype(float), pad(np.zeros(n), kth).astype(float)
+    columns = [
+        pa.array(pad(qid, q_ids).astype(np.int64)),
+        pa.array(pad(tid, np.zeros(m)).astype(np.int64), mask=~hit),
+        pa.array(value, mask=~hit | ~np.isfinite(value)),
+        pa.array(pad(np.zeros(n), verified).astype(np.int64), mask=hit),
+        pa.array(np.full(n + m, q_block)),
+        pa.array(pad(np.zeros(n), np.arange(m)).astype(np.int32), mask=hit),
+        pa.array(kth, mask=hit | ~np.isfinite(kth)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in HITS.split(", ")])
 
-    The query set is a stated one, and it is compared with all rows. Work is heavier
-    than bytes here, so the number of tasks is given and isn't merged by size.
+
+def two_rounds(blocks: DataFrame, asked: DataFrame, make: Callable[[], tuple[Callable, Callable]], least: Column) -> DataFrame:
+    """HITS of the k smallest values of each query, in two rounds.
+
+    ``blocks`` have a box (min_x, ...), ``asked`` one with ``q_`` before the names. In
+    the first round each query block meets the block nearest to it, which gives each
+    query a bound of its k-th best value. The bounds go to all tasks with the query
+    blocks (``q_kth``, null in the first round), and a second round takes on the
+    pairs of blocks whose ``least`` value, of columns of both, isn't above them.
     """
-    last = shards.agg(F.max("shard")).first()[0]
-    sent = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(last or 0))))
-    n = parts(shards)
-    return shards.repartition(n, "shard").join(sent.repartition(n, "shard"), "shard").drop("shard")
+    pairs = asked.select("q_block", *least_columns(asked)).join(blocks.select("block", *least_columns(blocks)), F.lit(True))
+    middle = lambda side: [(F.col(f"{side}min_{c}") + F.col(f"{side}max_{c}")) / 2 for c in "xy"]
+    near = kept(pairs.groupBy("q_block").agg(F.min_by("block", F.struct(geo.euclid(*middle("q_"), *middle("")), "block")).alias("block")))
+    none = F.lit(None).cast("array<double>")
+    first = kept(meet(blocks, asked.withColumn("q_kth", none), near, make, HITS))
+    kth = first.where("at IS NOT NULL").groupBy("q_block").agg(F.array_sort(F.collect_list(F.struct("at", "kth"))).alias("k"))  # one for each query of a block
+    known = kept(kth.select("q_block", F.col("k.kth").alias("q_kth")))
+    far = F.array_max(F.transform("q_kth", lambda x: F.coalesce(x, F.lit(float("inf")))))
+    open_ = pairs.join(known.select("q_block", far.alias("far")), "q_block").where(least <= F.col("far") + SLACK).select("q_block", "block").join(near, ["q_block", "block"], "left_anti")
+    return first.unionByName(meet(blocks, asked.join(known, "q_block"), kept(open_), make, HITS))
+
+
+def least_columns(df: DataFrame) -> list[str]:
+    """Columns that bounds of pairs of blocks are made from: all but the packed ones and the number."""
+    return [c for c, kind in df.dtypes if kind == "double"]

@@ -1,26 +1,48 @@
-"""Nearest neighbours over versioned vectors, exact and approximate.
+"""Nearest neighbours over versioned vectors, exact and with pivots; upserts and removals.
 
 Vector tables: id (long), vec (array of float or double); versioned ones also
 have version (long). Queries are a stated set, compared with all rows in blocks.
+
+Rows without an id, and vectors that are null or hold a null, NaN or infinite
+component, take no part. All vectors that do must have the same length; another is
+an error. By cosine a vector of length 0 has no distance: null, which ranks last.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.functions.draws import RANGE, draw_int
-from pathloom.operators.blocks import met
-from pathloom.plans.params import IndexParams
-from pathloom.plans.storage import kept, scratch
+from pathloom.operators.blocks import every_pair, meet, numbered_blocks
+from pathloom.plans.storage import kept
 
 BLOCK, QUERY_BLOCK = 4096, 1024
+#: Queries whose distances to a block are worked out at a time.
+AT_ONCE = 32
+#: Distances that agree to so many places are ties.
+DIGITS = 12
+FOUND = "qid long, id long, dist double"
+#: Rows of a block of ``extremes``, and what rounding may add to a bound.
+EXTREME_BLOCK, SLACK = 1024, 1e-9
+
+
+def usable(vec: Column) -> Column:
+    """Whether a vector can be compared: not null, and all its components finite numbers."""
+    bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return vec.isNotNull() & ~F.coalesce(bad, F.lit(False))
+
+
+def comparable(vectors: DataFrame) -> DataFrame:
+    """id and vec (double) of the rows that take part."""
+    rows = vectors.where(F.col("id").isNotNull() & usable(F.col("vec")))
+    return rows.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
 
 
 def check_dimensions(vectors: DataFrame, d: int) -> DataFrame:
@@ -28,6 +50,14 @@ def check_dimensions(vectors: DataFrame, d: int) -> DataFrame:
     return vectors.withColumn("vec", F.when(F.size("vec") == d, F.col("vec")).otherwise(F.raise_error(F.concat(F.lit(f"vector of other length than {d}: id "), F.col("id").cast("string"))).cast("array<double>")))
 
 
+def alike(queries: DataFrame, data: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables as ``comparable`` rows of one length, that of some query."""
+    queries, data = comparable(queries), comparable(data)
+    some = queries.select(F.size("vec").alias("d")).first()
+    d = some["d"] if some else 0
+    return check_dimensions(queries, d), check_dimensions(data, d) if some else data.where("false")
+
+
 def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     if metric == "cosine":
         norm = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
@@ -37,92 +67,111 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
 
 
-def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """(id, vec) rows as blocks: shard (the partition), ids, matrix, width."""
+def packed(rows: DataFrame, size: int, key: str | None = None) -> DataFrame:
+    """(id, vec) rows as blocks of at most ``size``: ids, matrix, width; with ``key``, blocks of one key each, of rows sorted by it."""
+    by = key or "none"
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
         for batch in batches:
-            held += zip(batch["id"], batch["vec"], batch["shard"], strict=True)
-            while len(held) >= size:
-                yield one(held[:size])
-                held = held[size:]
+            for row in zip(batch[by], batch["id"], batch["vec"], strict=True):
+                if held and (len(held) == size or held[-1][0] != row[0]):
+                    yield one(held)
+                    held = []
+                held.append(row)
         if held:
             yield one(held)
 
     def one(part):
-        matrix = np.array([v for _, v, _ in part], "<f8")
-        return pd.DataFrame({"shard": [part[0][2]], "ids": [np.array([i for i, _, _ in part], "<i8").tobytes()], "matrix": [matrix.tobytes()], "width": [matrix.shape[1]]})
+        matrix = np.array([v for _, _, v in part], "<f8").reshape(len(part), -1)
+        return pd.DataFrame({by: [part[0][0]], "ids": [np.array([i for _, i, _ in part], "<i8").tobytes()], "matrix": [matrix.tobytes()], "width": [matrix.shape[1]]})
 
-    usable = rows.where("id IS NOT NULL AND vec IS NOT NULL").select("id", "vec", F.spark_partition_id().alias("shard"))
-    return usable.mapInPandas(pack, "shard int, ids binary, matrix binary, width int")
+    named = rows.select(F.col(key).cast("int").alias(key) if key else F.lit(0).alias(by), "id", "vec")
+    out = named.mapInPandas(pack, f"{by} int, ids binary, matrix binary, width int")
+    return out if key else out.drop(by)
 
 
-def _packed_queries(queries: DataFrame) -> DataFrame:
-    return _blocks(queries, QUERY_BLOCK).drop("shard").withColumnsRenamed({"ids": "q_ids", "matrix": "q_matrix", "width": "q_width"})
+def asked_blocks(queries: DataFrame, key: str | None = None) -> DataFrame:
+    return numbered_blocks(packed(queries, QUERY_BLOCK, key), "q_block").withColumnsRenamed({"ids": "q_ids", "matrix": "q_matrix", "width": "q_width"})
 
 
-def _searched(queries: DataFrame, data: DataFrame, search: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple]) -> DataFrame:
-    """qid, id, dist that ``search(vectors, ids, query vectors, query ids)`` finds in each pair of blocks."""
-    # Shards are counted in the blocks as kept: another job over the data may have other partitions.
-    shards, asked = kept(_blocks(data, BLOCK)), kept(_packed_queries(queries))
+def held_block(x: dict) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(x["matrix"]).reshape(-1, x["width"]), np.frombuffer(x["ids"], "<i8")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for x in batch.itertuples(index=False):
-                v, ids = np.frombuffer(x.matrix).reshape(-1, x.width), np.frombuffer(x.ids, "<i8")
-                q, own = np.frombuffer(x.q_matrix).reshape(-1, x.q_width), np.frombuffer(x.q_ids, "<i8")
-                row, found, dist = search(v, ids, q, own)
-                yield pd.DataFrame({"qid": own[row], "id": found, "dist": dist})
 
-    return met(shards, asked).mapInPandas(run, "qid long, id long, dist double")
+def searcher(search: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple]) -> Callable[[], tuple[Callable, Callable]]:
+    """For ``meet``: rows of FOUND that ``search(vectors, ids, query vectors, query ids)`` finds; a distance that isn't finite is null."""
+
+    def step(held: tuple[np.ndarray, np.ndarray], x: dict) -> pa.RecordBatch:
+        own = np.frombuffer(x["q_ids"], "<i8")
+        row, found, dist = search(*held, np.frombuffer(x["q_matrix"]).reshape(-1, x["q_width"]), own)
+        return pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(found), pa.array(dist, mask=~np.isfinite(dist))], ["qid", "id", "dist"])
+
+    return lambda: (held_block, step)
+
+
+def _searched(queries: DataFrame, data: DataFrame, search: Callable) -> DataFrame:
+    queries, data = alike(queries, data)
+    blocks, asked = numbered_blocks(packed(data, BLOCK)), asked_blocks(queries)
+    return meet(blocks, asked, every_pair(asked, blocks), searcher(search), FOUND)
 
 
 def nearest(found: DataFrame, k: int) -> DataFrame:
-    """qid, rank, id, dist of each query's k nearest, ties to the smaller id."""
-    w = W.partitionBy("qid").orderBy("dist", "id")
+    """qid, rank, id, dist of each query's k nearest, ties to the smaller id, those without a distance last."""
+    w = W.partitionBy("qid").orderBy(F.asc_nulls_last("dist"), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "id", "dist")
 
 
-def knn_exact(queries: DataFrame, data: DataFrame, k: int, metric: str = "l2", with_self: bool = True) -> DataFrame:
-    """The k nearest rows of each query; without self, rows with the query's id are left out."""
+def block_nearest(k: int, metric: str, with_self: bool = True) -> Callable:
+    """The search of one block: the k nearest rows of each query, ties to the smaller id, those without a distance last."""
 
     def search(v, ids, q, own):
-        rows, found, dist = [], [], []
-        for at in range(0, len(q), 32):
-            d = distances(q[at : at + 32], v, metric)
-            if not with_self:
-                d[own[at : at + 32, None] == ids[None, :]] = np.inf
-            # The k-th distance keeps its ties; the window settles them.
-            cut = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-            r, c = np.nonzero((d <= cut[:, None]) & (d < np.inf))
-            rows.append(r + at)
-            found.append(ids[c])
-            dist.append(d[r, c])
+        rows, found, dist = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        for at in range(0, len(q), AT_ONCE):
+            d = np.round(distances(q[at : at + AT_ONCE], v, metric), DIGITS)
+            d[np.isnan(d)] = np.inf  # no distance is farther than any
+            wanted = np.ones(d.shape, bool) if with_self else own[at : at + AT_ONCE, None] != ids[None, :]
+            last = min(k, d.shape[1]) - 1
+            cut = np.partition(np.where(wanted, d, np.inf), last, axis=1)[:, last]
+            r, c = np.nonzero((d <= cut[:, None]) & wanted)
+            order = np.lexsort((ids[c], d[r, c], r))
+            r, c = r[order], c[order]
+            keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+            rows.append(r[keep] + at)
+            found.append(ids[c[keep]])
+            dist.append(d[r[keep], c[keep]])
         return np.concatenate(rows), np.concatenate(found), np.concatenate(dist)
 
-    return nearest(_searched(queries, data, search), k)
+    return search
+
+
+def knn_exact(queries: DataFrame, data: DataFrame, k: int, metric: str = "l2", with_self: bool = True) -> DataFrame:
+    """qid, rank, id, dist: the k nearest rows of each query, ties to the smaller id; all rows, if there are fewer.
+
+    Without self, rows with the query's id are left out. Rows of ``data`` that repeat
+    an id are rows each. Which rows take part is said above; empty tables give no
+    rows. Other columns are not read.
+    """
+    return nearest(_searched(queries, data, block_nearest(k, metric, with_self)), k)
 
 
 def _pivot_search(queries: DataFrame, data: DataFrame, k: int, n_pivots: int) -> DataFrame:
     """qid, id, dist, and for each query and block a row with dist -1 whose id is the number of distances worked out."""
-    pivots = np.array([r["vec"] for r in data.orderBy(draw_int("id"), "id").limit(n_pivots).select("vec").collect()], float)
+    pivots = np.array([r["vec"] for r in comparable(data).orderBy(draw_int("id"), "id").limit(n_pivots).select("vec").collect()], float)
 
     def search(v, ids, q, own):
-        if not len(pivots):
-            return np.empty(0, int), np.empty(0, np.int64), np.empty(0)
         to_v, to_q = distances(v, pivots, "l2"), distances(q, pivots, "l2")
         rows, found, dist = [], [], []
         for i, x in enumerate(q):
             # No row is nearer than the largest difference of distances to a pivot.
             least = np.abs(to_v - to_q[i]).max(axis=1)
             first = np.argpartition(least, min(4 * k, len(v)) - 1)[: 4 * k]
-            near = distances(x[None], v[first], "l2")[0]
+            near = np.round(distances(x[None], v[first], "l2")[0], DIGITS)
             kth = np.partition(near, min(k, len(near)) - 1)[min(k, len(near)) - 1]
             rest = least <= kth + 1e-9
             rest[first] = False
             rest = np.flatnonzero(rest)
-            which, near = np.append(first, rest), np.append(near, distances(x[None], v[rest], "l2")[0])
+            which, near = np.append(first, rest), np.append(near, np.round(distances(x[None], v[rest], "l2")[0], DIGITS))
             best = np.flatnonzero(near <= np.partition(near, min(k, len(near)) - 1)[min(k, len(near)) - 1])
             rows.append(np.full(len(best) + 1, i))
             found.append(np.append(ids[which[best]], len(which)))
@@ -136,7 +185,8 @@ def knn_pivot_pruned(queries: DataFrame, data: DataFrame, k: int, n_pivots: int
     """The k nearest rows by L2, exactly, with the triangle inequality in each block.
 
     Distances to a few pivots bound every other distance from below; only rows whose
-    bound is within the k-th best distance so far are compared.
+    bound is within the k-th best distance so far are compared. Rows, nulls, ties
+    and empty tables as in ``knn_exact``.
     """
     return nearest(_pivot_search(queries, data, k, n_pivots).where("dist >= 0"), k)
 
@@ -146,113 +196,68 @@ def pivot_costs(queries: DataFrame, data: DataFrame, k: int, n_pivots: int = 8)
     return _pivot_search(queries, data, k, n_pivots).where("dist < 0").groupBy("qid").agg(F.sum("id").alias("compared"))
 
 
-class Graph:
-    """A small-world graph over one block: diverse neighbours, a top layer of entry points, beam search."""
-
-    def __init__(self, vectors: np.ndarray, links: np.ndarray, sizes: np.ndarray, entries: np.ndarray) -> None:
-        self.v, self.entries = vectors, entries
-        self.links = np.split(links, np.cumsum(sizes)[:-1]) if len(sizes) else []
-
-    @staticmethod
-    def built(vectors: np.ndarray, params: IndexParams, metric: str, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Links of all rows, one after another, their numbers, and entry points."""
-        n, m = len(vectors), params.m
-        width = min(n - 1, max(params.ef_construction, m))
-        links: list[dict[int, float]] = [{} for _ in range(n)]
-        for at in range(0, n, 64):
-            d = distances(vectors[at : at + 64], vectors, metric)
-            for i, row in enumerate(d, at):
-                row[i] = np.inf
-                near = np.argpartition(row, width - 1)[:width] if width else np.empty(0, int)
-                for j in diverse(vectors, near[np.argsort(row[near], kind="stable")], row, m, metric):
-                    links[i][j] = links[j][i] = float(row[j])
-        best = [sorted(x, key=x.get)[: 2 * m] for x in links]
-        # Levels fall geometrically by m; the nodes above the ground are where searches begin.
-        level = np.minimum(-np.log(1 - np.random.default_rng(seed).random(n)) / np.log(max(2, m)), params.max_level)
-        entries = np.flatnonzero(level >= 1)
-        return np.array([j for x in best for j in x], int), np.array([*map(len, best)], int), entries if len(entries) else np.arange(min(1, n))
-
-    def search(self, q: np.ndarray, k: int, ef: int, metric: str) -> list[tuple[float, int]]:
-        ef = max(ef, k)
-        d = distances(q[None], self.v[self.entries], metric)[0]
-        start = np.argsort(d, kind="stable")[:ef]
-        seen = {int(self.entries[j]) for j in start}
-        open_ = [(float(d[j]), int(self.entries[j])) for j in start]
-        heapq.heapify(open_)
-        best = [(-a, b) for a, b in open_]
-        heapq.heapify(best)
-        while open_:
-            far, i = heapq.heappop(open_)
-            if len(best) >= ef and far > -best[0][0]:
-                break
-            new = [int(j) for j in self.links[i] if int(j) not in seen]
-            if not new:
-                continue
-            seen.update(new)
-            for a, j in zip(distances(q[None], self.v[new], metric)[0], new, strict=True):
-                if len(best) < ef or a < -best[0][0]:
-                    heapq.heappush(open_, (float(a), j))
-                    heapq.heappush(best, (-float(a), j))
-                    if len(best) > ef:
-                        heapq.heappop(best)
-        return sorted((-a, j) for a, j in best)[:k]
-
-
-def diverse(vectors: np.ndarray, near: np.ndarray, row: np.ndarray, m: int, metric: str) -> list[int]:
-    """Nearest first, those that are nearer to the point than to any chosen before."""
-    if len(near) <= m:
-        return [int(j) for j in near]
-    chosen: list[int] = []
-    for j in near:
-        if len(chosen) == m:
-            break
-        if not chosen or (distances(vectors[j : j + 1], vectors[chosen], metric)[0] >= row[j]).all():
-            chosen.append(int(j))
-    return chosen
-
-
-def build_index(data: DataFrame, path: str, params: IndexParams = IndexParams(ef=60), metric: str = "l2", entry: Callable[[np.ndarray], np.ndarray] | None = None) -> None:
-    """Write a graph for each block of the vectors (id, vec), once, as a Parquet table.
-
-    ``metric`` is the one of construction; searches may use another. ``entry`` may
-    pick entry points from a block's ids (a boolean mask).
-    """
+def extremes(data: DataFrame, n_pivots: int = 8) -> DataFrame:
+    """One row: pairs (compared), min_dist, max_dist and equal_pairs over all pairs of different rows (id, vec), by L2.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for x in batch.itertuples(index=False):
-                links, sizes, entries = Graph.built(np.frombuffer(x.matrix).reshape(-1, x.width), params, metric)
-                own = np.flatnonzero(entry(np.frombuffer(x.ids, "<i8"))) if entry else entries
-                entries = own if len(own) else entries
-                made = {k: [v.astype("<i4").tobytes()] for k, v in (("links", links), ("sizes", sizes), ("entries", entries))}
-                yield pd.DataFrame({"shard": [x.shard], "ids": [x.ids], "matrix": [x.matrix], "width": [x.width], **made})
-
-    _blocks(data, BLOCK).mapInPandas(run, "shard int, ids binary, matrix binary, width int, links binary, sizes binary, entries binary").write.mode("overwrite").parquet(path)
-
-
-def search_index(queries: DataFrame, index: DataFrame, k: int, ef: int = 60, metric: str = "l2") -> DataFrame:
-    """About the k nearest rows of each query from an index read from its table: all blocks are searched, then merged."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: tuple[bytes, Graph] | None = None
-        for batch in batches:
-            for x in batch.itertuples(index=False):
-                if held is None or held[0] != x.ids:
-                    links, sizes, entries = (np.frombuffer(c, "<i4") for c in (x.links, x.sizes, x.entries))
-                    held = x.ids, Graph(np.frombuffer(x.matrix).reshape(-1, x.width), links, sizes, entries)
-                ids, own = np.frombuffer(x.ids, "<i8"), np.frombuffer(x.q_ids, "<i8")
-                hits = [(own[i], ids[j], d) for i, v in enumerate(np.frombuffer(x.q_matrix).reshape(-1, x.q_width)) for d, j in held[1].search(v, k, ef, metric)]
-                yield pd.DataFrame(hits, columns=["qid", "id", "dist"])
-
-    found = met(index, kept(_packed_queries(queries))).mapInPandas(run, "qid long, id long, dist double")
-    return nearest(found, k)
-
-
-def knn_approx(queries: DataFrame, data: DataFrame, k: int, params: IndexParams = IndexParams(ef=60), metric: str = "l2", entry: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """About the k nearest rows: an index in the shared folder, built once and then searched."""
-    path = scratch(data.sparkSession, "index")
-    build_index(data, path, params, metric, entry)
-    return search_index(queries, data.sparkSession.read.parquet(path), k, params.ef, metric)
+    Blocks of vectors near one another meet in an upper triangle. Distances to a few
+    pivots bound those of a pair of blocks from below and above, and blocks are left
+    out that can be neither nearer than a pair already seen nor farther; equal
+    vectors are at distance 0, so blocks that may hold some always meet. Rows that
+    take part as said above. With fewer than two of them distances are null.
+    """
+    some = comparable(data).select(F.size("vec").alias("d")).first()
+    rows = check_dimensions(comparable(data), some["d"] if some else 0)
+    pivots = np.array([r["vec"] for r in rows.orderBy(draw_int("id"), "id").limit(n_pivots).select("vec").collect()], float)
+    if not len(pivots):
+        return data.sparkSession.createDataFrame([(0, None, None, 0)], "pairs long, min_dist double, max_dist double, equal_pairs long")
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                d = distances(np.array([*b["vec"]], float), pivots, "l2")
+                yield b.assign(pivot=d.argmin(axis=1), near=d.min(axis=1))
+
+    # Rows by their nearest pivot and the distance to it lie near one another; equal rows lie side by side.
+    near = rows.mapInPandas(placed, "id long, vec array<double>, pivot int, near double").repartitionByRange("pivot", "near", "vec").sortWithinPartitions("pivot", "near", "vec")
+    blocks = numbered_blocks(packed(near, EXTREME_BLOCK))
+
+    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for x in b.itertuples(index=False):
+                d = distances(np.frombuffer(x.matrix).reshape(-1, x.width), pivots, "l2")
+                yield pd.DataFrame({"block": [x.block], "low": [d.min(axis=0)], "high": [d.max(axis=0)]})
+
+    reached = kept(blocks.select("block", "matrix", "width").mapInPandas(reach, "block long, low array<double>, high array<double>"))
+
+    def seen(v: np.ndarray, w: np.ndarray, same: bool) -> tuple[int, float, float, int]:
+        low, high, equal, n = np.inf, -np.inf, 0, 0
+        for at in range(0, len(v), AT_ONCE):
+            d = distances(v[at : at + AT_ONCE], w, "l2")
+            if same:
+                d = d[np.arange(at, at + len(d))[:, None] < np.arange(len(w))[None, :]]
+            if d.size:
+                low, high, equal, n = min(low, d.min()), max(high, d.max()), equal + int((d == 0).sum()), n + d.size
+        return n, low, high, equal
+
+    def row(n, low, high, equal) -> pa.RecordBatch:
+        fine = np.isfinite([low])
+        return pa.RecordBatch.from_arrays([pa.array([n]), pa.array([low], mask=~fine), pa.array([high], mask=~fine), pa.array([equal])], ["pairs", "low", "high", "equal"])
+
+    step = lambda held, x: row(*seen(held[0], np.frombuffer(x["q_matrix"]).reshape(-1, x["q_width"]), held[2] == x["q_at"]))
+    begin = lambda x: (*held_block(x), x["at"])
+    held = blocks.withColumn("at", F.col("block"))
+    asked = blocks.select(F.col("block").alias("q_block"), F.col("block").alias("q_at"), F.col("matrix").alias("q_matrix"), F.col("width").alias("q_width"))
+    schema = "pairs long, low double, high double, equal long"
+    within = kept(meet(held, asked, blocks.select("block", F.col("block").alias("q_block")), lambda: (begin, step), schema))
+    first = within.agg(F.min("low").alias("low"), F.max("high").alias("high")).first()
+    low, high = first["low"] if first["low"] is not None else float("inf"), first["high"] if first["high"] is not None else -float("inf")
+    a, b = (reached.select(*(F.col(c).alias(f"{c}_{s}") for c in ("block", "low", "high"))) for s in "ab")
+    both = a.join(b, F.col("block_a") < F.col("block_b"))
+    gaps = F.zip_with(F.zip_with("low_a", "high_b", lambda x, y: x - y), F.zip_with("low_b", "high_a", lambda x, y: x - y), lambda x, y: F.greatest(x, y))
+    least, most = F.greatest(F.array_max(gaps), F.lit(0.0)), F.array_min(F.zip_with("high_a", "high_b", lambda x, y: x + y))
+    open_ = both.where((least < low + SLACK) | (most > high - SLACK)).select(F.col("block_a").alias("block"), F.col("block_b").alias("q_block"))
+    every = within.unionByName(meet(held, asked, kept(open_), lambda: (begin, step), schema))
+    return every.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.min("low").alias("min_dist"), F.max("high").alias("max_dist"), F.coalesce(F.sum("equal"), F.lit(0)).alias("equal_pairs"))
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:

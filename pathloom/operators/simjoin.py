@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import geo
 from pathloom.functions.keywords import jaccard
-from pathloom.operators.trajectory import boxes, postings, summary
+from pathloom.operators.trajectory import boxes, placed, postings, summary
 from pathloom.plans.storage import kept
 
 #: Cells of a similarity matrix that is held at once.
@@ -52,8 +52,8 @@ def candidates(queries: DataFrame, data: DataFrame) -> DataFrame:
 
 
 def _packed(points: DataFrame, prefix: str) -> DataFrame:
-    """tid and flat arrays of its points: x, y, number of distinct keywords, hashes of keywords."""
-    terms = F.array_distinct("terms")
+    """tid and flat arrays of its points that have a place: x, y, number of distinct keywords, hashes of keywords."""
+    points, terms = placed(points), F.array_distinct("terms")
     point = F.struct("pid", "x", "y", F.size(terms).alias("n"), F.transform(terms, lambda t: F.xxhash64(t)).alias("h"))
     rows = points.groupBy("tid").agg(F.array_sort(F.collect_list(point)).alias("p"))
     return rows.select("tid", F.col("p.x").alias(f"{prefix}x"), F.col("p.y").alias(f"{prefix}y"), F.col("p.n").alias(f"{prefix}n"), F.flatten(F.col("p.h")).alias(f"{prefix}h"))
@@ -90,7 +90,10 @@ def _similarities(q: dict, d: dict, sizes: np.ndarray, alpha: float, gamma: floa
 
 
 def verify(pairs: DataFrame, queries: DataFrame, data: DataFrame, alpha: float, gamma: float) -> DataFrame:
-    """qid, tid, sim of the given pairs. Keywords are compared by 64-bit hashes."""
+    """qid, tid, sim of the given pairs. Keywords are compared by 64-bit hashes.
+
+    Points as in ``simsearch.topk``; pairs of which one has no point that counts give no row.
+    """
     both = pairs.select("qid", "tid").join(_packed(data, "d"), "tid").join(_packed(queries, "q").withColumnRenamed("tid", "qid"), "qid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,11 @@ from pathloom.functions import geo
 from pathloom.functions.draws import RANGE, draw_int
 
 
+def placed(points: DataFrame) -> DataFrame:
+    """The points that have a place: x and y that are neither null nor NaN nor infinite. Null keywords count as none."""
+    return points.where(geo.finite(F.col("x")) & geo.finite(F.col("y"))).withColumn("terms", F.array_compact(F.coalesce("terms", F.array().cast("array<string>"))))
+
+
 def assemble(points: DataFrame) -> DataFrame:
     """tid, pts: the points of each trajectory as structs in order of pid."""
     fields = ["pid", *(c for c in ("ts", "x", "y", "terms") if c in points.columns)]

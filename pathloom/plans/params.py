@@ -10,11 +10,13 @@ from pathloom.sources.readers import extent
 
 
 @dataclass(frozen=True)
-class IndexParams:
-    m: int = 10
-    ef: int = 10
-    ef_construction: int = 200
-    max_level: int = 1 << 30
+class CellParams:
+    """An index by cells: how many, how many a query asks, and the rows that centres are fitted on."""
+
+    cells: int = 64
+    probes: int = 8
+    sample: int = 16_384
+    rounds: int = 12
 
 
 @dataclass(frozen=True)

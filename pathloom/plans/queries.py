@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from pathloom.functions import geo, keywords, tokens
 from pathloom.functions.draws import RANGE, draw_int, draw_sql
-from pathloom.operators import embed, evaluate, knn, measure_search, perturb, segment, simjoin, simsearch, trajectory
+from pathloom.operators import cells, embed, evaluate, knn, measure_search, perturb, segment, simjoin, simsearch, trajectory
 from pathloom.plans import params
-from pathloom.plans.storage import kept
+from pathloom.plans.storage import kept, scratch
 from pathloom.plans.tables import EVENT_POINTS, LINE_POINTS, ORDER_POINTS, VECTORS, asked, event_points, line_points, order_points, vectors
 from pathloom.sources.readers import extent
 
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 ALPHA, GAMMA, GRID, K = 0.5, 0.01, 25.0, 10
+CELLS = params.CellParams(cells=32, probes=20)
 
 
 def query(sql: str | None = None):
@@ -241,11 +242,25 @@ def semantic_topk_lines(spark, sf_dir):
 
 @query()
 def verified_pairs(spark, sf_dir):
+    """Counts that come with the search itself; how many pairs bounds spare depends on the blocks: a twentieth of the candidates at least."""
+    p = line_points(spark, sf_dir)
+    _, few = simsearch.searched(asked(p), p, K, 0.9, 0.0002, 2000.0)
+    every = simjoin.candidates(asked(p), p).groupBy("qid").agg(F.count("*").alias("candidates"))
+    both = few.join(every, "qid").agg(F.sum("verified").alias("verified"), F.sum("candidates").alias("candidates"))
+    return both.select("verified", "candidates", (F.col("verified") <= 0.95 * F.col("candidates")).alias("spared"))
+
+
+#: Points of events of which some have no place (no y, or a y that isn't a number) or no keywords.
+GAPPED = f"SELECT tid, pid, ts, x, y, CASE WHEN pid % 13 = 0 THEN [] ELSE terms END AS terms FROM ({EVENT_POINTS}) WHERE pid % 7 <> 0 AND pid % 11 <> 0"
+
+
+@query(sims_sql(GAPPED, 0.9, 0.5).replace("len(list_intersect(a.terms, b.terms)) /", "CASE WHEN len(a.terms) + len(b.terms) = 0 THEN 1.0 ELSE len(list_intersect(a.terms, b.terms)) /", 1).replace("- len(list_intersect(a.terms, b.terms))) AS s", "- len(list_intersect(a.terms, b.terms))) END AS s", 1) + f"SELECT qid, rank, tid, round(sim, 6) AS sim FROM r WHERE rank <= {K}")
+def semantic_topk_gaps(spark, sf_dir):
+    """The search over points of which some lack a place or keywords."""
     p = event_points(spark, sf_dir)
-    few = simsearch.verified_pairs(asked(p), p, K, 0.9, 0.5, GRID)
-    every = simsearch.verified_pairs(asked(p), p, K, 0.9, 0.5, GRID, prune=False)
-    # How many depends on the blocks; that pruning never adds any doesn't.
-    return few.join(every.withColumnRenamed("verified", "candidates"), "qid").select("qid", "candidates", (F.col("verified") <= F.col("candidates")).alias("no_more"))
+    y = F.when(F.col("pid") % 7 == 0, F.lit(None)).when(F.col("pid") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("y"))
+    p = p.withColumns({"y": y, "terms": F.when(F.col("pid") % 13 == 0, F.lit(None)).otherwise(F.col("terms"))})
+    return _top(simjoin.semantic_topk_pruned(asked(p), p, K, 0.9, 0.5, GRID))
 
 
 @query(sims_sql(ORDER_POINTS) + f"SELECT qid, rank, tid, round(sim, 6) AS sim FROM r WHERE rank <= {K}")
@@ -470,16 +485,60 @@ def knn_of_means(spark, sf_dir):
 
 @query()
 def pivot_costs(spark, sf_dir):
+    """Distances worked out; how many depends on the blocks, never as many as there are pairs."""
     v = vectors(spark, sf_dir)
-    # How many distances are worked out depends on the blocks; that none is worked out twice doesn't.
-    return knn.pivot_costs(asked(v, "id"), v, 10).select("qid", (F.col("compared") <= v.count()).alias("no_more"))
+    return knn.pivot_costs(asked(v, "id"), v, 10).agg(F.sum("compared").alias("compared"), F.count("*").alias("queries"))
+
+
+def _gapped_vectors(spark, sf_dir) -> DataFrame:
+    v = vectors(spark, sf_dir).select("id", "vec")
+    spoilt = lambda x, i: F.when((F.col("id") % 7 == 0) & (i == 3), F.lit(float("nan"))).when((F.col("id") % 11 == 0) & (i == 5), F.lit(None)).when(F.col("id") % 13 == 0, 0.0).otherwise(x)
+    return v.select("id", F.when(F.col("id") % 17 == 0, F.lit(None)).otherwise(F.transform("vec", spoilt)).alias("vec"))
+
+
+GAPPED_VECTORS = f"SELECT id, CASE WHEN id % 13 = 0 THEN list_transform(vec, lambda x: 0.0::FLOAT) ELSE vec END AS vec FROM ({VECTORS}) WHERE id % 7 <> 0 AND id % 11 <> 0 AND id % 17 <> 0"
+
+
+@query(knn_sql("l2").replace(VECTORS, GAPPED_VECTORS))
+def knn_l2_gaps(spark, sf_dir):
+    """Neighbours among vectors of which some are null, zero, or hold NaN or null."""
+    v = _gapped_vectors(spark, sf_dir)
+    return _near(knn.knn_exact(asked(v, "id"), v, 10))
+
+
+@query(knn_sql("cosine").replace(VECTORS, GAPPED_VECTORS).replace("1 - dot / sqrt(na.n * nb.n)", "1 - dot / nullif(sqrt(na.n * nb.n), 0)").replace("ORDER BY round(cosine, 9), id", "ORDER BY round(cosine, 9) NULLS LAST, id"))
+def knn_cosine_gaps(spark, sf_dir):
+    v = _gapped_vectors(spark, sf_dir)
+    return knn.knn_exact(asked(v, "id"), v, 10, "cosine").withColumn("dist", F.abs(F.round("dist", 6)))
+
+
+@query(
+    f"WITH v AS ({VECTORS}), e AS (SELECT id, generate_subscripts(vec, 1) AS i, unnest(vec)::DOUBLE AS x FROM v), d AS (SELECT a.id, b.id AS other, sqrt(sum((a.x - b.x) ** 2)) AS d FROM e a JOIN e b ON a.i = b.i AND a.id < b.id GROUP BY ALL)"
+    " SELECT round(min(d), 6) AS min_dist, round(max(d), 6) AS max_dist, count(*) FILTER (d = 0) AS equal_pairs FROM d"
+)
+def vec_extremes(spark, sf_dir):
+    """The least and the greatest distance of two vectors, and pairs of equal ones."""
+    return knn.extremes(vectors(spark, sf_dir)).select(r6("min_dist").alias("min_dist"), r6("max_dist").alias("max_dist"), "equal_pairs")
 
 
 @query()
 def knn_approx_recall(spark, sf_dir):
+    """Recall of the index by cells against exact search, and the share of rows that a query is compared with."""
+    v = vectors(spark, sf_dir)
+    path = scratch(spark, "cells")
+    cells.build(v, path, CELLS)
+    found = knn.recall(cells.search(asked(v, "id"), path, 10, CELLS.probes), knn.knn_exact(asked(v, "id"), v, 10))
+    share = cells.shares_read(asked(v, "id"), path, CELLS.probes).agg(F.avg("share").alias("share"))
+    return found.join(share, F.lit(True)).select("n", F.round("recall", 6).alias("recall"), F.round("share", 6).alias("share_compared"))  # one row each
+
+
+@query(knn_sql("l2"))
+def knn_all_cells(spark, sf_dir):
+    """The index asked for all its cells gives the exact neighbours."""
     v = vectors(spark, sf_dir)
-    found = knn.recall(knn.knn_approx(asked(v, "id"), v, 10), knn.knn_exact(asked(v, "id"), v, 10))
-    return found.select("n", (F.col("recall") >= 0.9).alias("recalled"))
+    path = scratch(spark, "cells")
+    cells.build(v, path, CELLS)
+    return _near(cells.search(asked(v, "id"), path, 10, CELLS.cells))
 
 
 def _versions(spark, sf_dir):

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.operators import evaluate, knn, perturb, segment, simjoin, trajectory
+from pathloom.operators import cells, evaluate, knn, perturb, segment, simjoin, trajectory
 from pathloom.plans import params
 from pathloom.plans.tables import asked, event_points, line_points, order_points, vectors
 from pathloom.sources import readers, writers
@@ -93,24 +93,71 @@ def test_knn_known_values(spark):
     assert [r["id"] for r in got] == [3, 2]
 
 
-def test_knn_approx(spark):
-    v = vectors(spark, SF)
-    found = knn.recall(knn.knn_approx(asked(v, "id"), v, 10), knn.knn_exact(asked(v, "id"), v, 10)).first()
-    assert found["recall"] >= 0.9
-    picked = knn.knn_approx(asked(v, "id"), v, 3, entry=lambda ids: ids % 50 == 0)
-    assert picked.count() == 3 * asked(v, "id").count()
-
-
-def test_index_is_written_once_and_read_again(spark, tmp_path):
-    v = vectors(spark, SF)
-    path = str(tmp_path / "index")
-    knn.build_index(v, path, params.IndexParams(ef=60), metric="cosine")
-    again = spark.read.parquet(path)
-    found = knn.search_index(asked(v, "id"), again, 10, 60, "l2")
-    assert knn.recall(found, knn.knn_exact(asked(v, "id"), v, 10)).first()["recall"] >= 0.9
-    assert found.collect() == knn.search_index(asked(v, "id"), spark.read.parquet(path), 10, 60, "l2").collect()
-    knn.build_index(v.where("false"), path)
-    assert knn.search_index(asked(v, "id"), spark.read.parquet(path), 10).count() == 0
+def test_cells(spark, tmp_path):
+    """Recall and the share read on clustered vectors; all cells give exact search; partitions are pruned; a hot cell is many blocks."""
+    rng = np.random.default_rng(1)
+    middles = rng.normal(0, 10, (20, 8))
+    points = np.concatenate([middles[rng.integers(0, 20, 2000)], np.tile(middles[:1], (1000, 1))]) + rng.normal(0, 1, (3000, 8))
+    v = spark.createDataFrame([(i, p.tolist(), 1) for i, p in enumerate(points)] + [(None, [0.0] * 8, 1), (9001, None, 1), (9002, [float("nan")] * 8, 1)], "id long, vec array<double>, cell int")
+    q, how = asked(v, "id"), params.CellParams(cells=20, probes=3, sample=500)
+    for metric in ("l2", "cosine"):
+        path = str(tmp_path / metric)
+        cells.build(v, path, how, metric)
+        truth = knn.knn_exact(q, v, 10, metric)
+        found = cells.search(q, path, 10, 3, metric)
+        assert knn.recall(found, truth).first()["recall"] > 0.95
+        shares = cells.shares_read(q, path, 3, metric).agg(F.avg("share"), F.count("*")).first()
+        assert 0 < shares[0] < 0.5 and shares[1] == 150
+        key = lambda df: sorted((r["qid"], r["rank"], r["id"], round(r["dist"], 9)) for r in df.collect())
+        assert key(cells.search(q, path, 10, 20, metric)) == key(truth)
+        assert key(cells.search(q, path, 3, 20, metric, with_self=False)) == key(knn.knn_exact(q, v, 3, metric, with_self=False))
+    one = q.where("id = 40")
+    assert cells.search(one, path, 10, 1).count() == 10
+    assert cells.search(q.where("false"), path, 10).count() == 0
+    cells.build(v.where("false"), path)
+    assert cells.search(q, path, 10).count() == 0
+    assert cells.knn_approx(q, v, 10, how).count() == 10 * 150
+
+
+def test_vectors_that_cannot_be_compared(spark):
+    """Null, NaN, infinite and zero vectors beside healthy ones, by brute force, with ties and repeated ids."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.integers(0, 3, 3).astype(float).tolist()) for i in range(60)] + [(7, [1.0, 1.0, 1.0]), (100, [0.0, 0.0, 0.0]), (120, [0.0, 0.0, 0.0])]
+    bad = [(200, None), (220, [float("nan"), 1.0, 1.0]), (201, [None, 1.0, 1.0]), (202, [float("inf"), 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (240, [-float("inf")] * 3)]
+    v = spark.createDataFrame(rows + bad, "id long, vec array<double>").repartition(3)
+    for metric in ("l2", "cosine"):
+        for k, with_self in ((5, True), (70, True), (4, False)):
+            want = []
+            for q, x in rows:
+                if q % 20 == 0:
+                    d = knn.distances(np.array([x]), np.array([y for _, y in rows]), metric)[0]
+                    each = sorted((np.inf if np.isnan(e) else round(float(e), 9), i) for e, (i, _) in zip(d, rows, strict=True) if with_self or i != q)[:k]
+                    want += [(q, r, i, None if e == np.inf else e + 0.0) for r, (e, i) in enumerate(each, 1)]
+            got = [(r["qid"], r["rank"], r["id"], None if r["dist"] is None else round(r["dist"], 9) + 0.0) for r in knn.knn_exact(asked(v, "id"), v, k, metric, with_self).collect()]
+            assert sorted(map(str, got)) == sorted(map(str, want))
+    near = lambda df: sorted((r["qid"], r["rank"], r["id"]) for r in df.collect())
+    assert near(knn.knn_pivot_pruned(asked(v, "id"), v, 5)) == near(knn.knn_exact(asked(v, "id"), v, 5))
+    assert knn.knn_exact(v.where("id = 200"), v, 5).count() == 0
+    ragged = v.union(spark.createDataFrame([(300, [1.0])], "id long, vec array<double>"))
+    with pytest.raises(Exception, match="vector of other length"):
+        knn.knn_exact(asked(v, "id"), ragged, 5).collect()
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_extremes(spark, block, monkeypatch):
+    monkeypatch.setattr(knn, "EXTREME_BLOCK", block)
+    rng = np.random.default_rng(9)
+    points = np.concatenate([rng.normal(c, 0.1, (40, 3)) for c in (0, 50, 51, 900)] + [np.ones((3, 3)) * 7])
+    rows = [(i, p.tolist()) for i, p in enumerate(points)] + [(None, [0.0] * 3), (500, None), (501, [float("nan")] * 3)]
+    v = spark.createDataFrame(rows, "id long, vec array<double>").repartition(4)
+    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))[np.triu_indices(len(points), 1)]
+    got = knn.extremes(v, 3).first()
+    assert (got["min_dist"], got["max_dist"], got["equal_pairs"]) == (0.0, pytest.approx(d.max()), 3)
+    assert got["pairs"] == len(d) if block > 1000 else got["pairs"] < 0.5 * len(d)
+    apart = knn.extremes(v.where("id < 160")).first()
+    assert apart["min_dist"] == pytest.approx(d[d > 0].min()) and apart["equal_pairs"] == 0
+    for few in (v.where("false"), v.where("id = 3"), v.where("id > 400")):
+        assert tuple(knn.extremes(few).first()) == (0, None, None, 0)
 
 
 def test_pivots_prune(spark):
@@ -148,6 +195,38 @@ def test_search_with_odd_keywords(spark):
         assert got == [(1, 1, 1), (1, 2, 2), (1, 3, 3)]
 
 
+def test_search_with_gaps(spark):
+    """Points without a place, null keywords and rows without an id: both forms find what brute force over the other points finds."""
+    from pathloom.operators import simsearch
+
+    rng = np.random.default_rng(12)
+    rows = []
+    for tid in range(60):
+        for pid in range(5):
+            y = [float(rng.integers(0, 40)), None, float("nan"), float("inf")][int(rng.choice(4, p=[0.8, 0.1, 0.05, 0.05]))]
+            terms = [["a"], ["a", "b"], [], None, ["b", None]][int(rng.integers(0, 5))]
+            rows.append((tid, pid, 0, float(rng.integers(0, 40)), y, terms))
+    rows += [(100, 0, 0, None, None, ["a"]), (None, 0, 0, 1.0, 1.0, ["a"]), (101, 0, 0, 1.0, 1.0, None)]
+    p = spark.createDataFrame(rows, POINTS).repartition(3)
+    fine = {}
+    for tid, _, _, x, y, terms in rows:
+        if tid is not None and x is not None and y is not None and np.isfinite(y):
+            fine.setdefault(tid, []).append((x, y, {t for t in terms or [] if t}))
+
+    def one_way(a, b):
+        return np.mean([max(0.5 * (2 - 2 / (1 + np.exp(-0.1 * np.hypot(x - u, y - v)))) + 0.5 * (len(s & t) / len(s | t) if s | t else 1) for u, v, t in b) for x, y, s in a])
+
+    want = []
+    for q in (t for t in fine if t % 20 == 0):
+        words = set().union(*(s for *_, s in fine[q]))
+        each = sorted((-round(one_way(fine[q], d) + one_way(d, fine[q]), 9), t) for t, d in fine.items() if words & set().union(*(s for *_, s in d)))[:5]
+        want += [(q, r, t, -s) for r, (s, t) in enumerate(each, 1)]
+    for prune in (True, False):
+        got = [(r["qid"], r["rank"], r["tid"], round(r["sim"], 9)) for r in simsearch.topk(asked(p), p, 5, 0.5, 0.1, 10.0, prune).collect()]
+        assert [x[:3] for x in sorted(got)] == [x[:3] for x in sorted(want)]
+        assert [x[3] for x in sorted(got)] == pytest.approx([x[3] for x in sorted(want)], abs=1e-8)
+
+
 def test_knn_over_shuffled_rows(spark):
     """Data from a shuffle whose partitions are coalesced in one job and not in another: no row is lost."""
     small = {"advisoryPartitionSizeInBytes": "48k", "coalescePartitions.parallelismFirst": "false", "coalescePartitions.minPartitionSize": "1k"}
@@ -159,7 +238,7 @@ def test_knn_over_shuffled_rows(spark):
         data = knn.upsert(rows, rows.limit(0))
         found = knn.knn_exact(rows.where("id % 500 = 0"), data, 10).collect()
         every = knn.knn_exact(rows.where("id = 0"), data, 2000).count()
-        near = knn.knn_approx(rows.where("id = 0"), data, 10).count()
+        near = cells.knn_approx(rows.where("id = 0"), data, 10).count()
     finally:
         for name in small:
             spark.conf.unset(f"spark.sql.adaptive.{name}")
