@@ -1,10 +1,11 @@
 """URL filters as a sort-merge range join, in DataFrame operations alone.
 
-A URL's key is its host with the labels reversed, each ended by a comma, then a
-parenthesis and the path: ``org,example,www,)/en/12``. A host with everything
-under it is the interval of keys that begin with ``org,example,``, and a rule's
-path below its host the interval of those with ``org,example,)/en/``. Intervals of
-prefixes nest or are disjoint.
+A URL's key is its host with the labels reversed, each ended by a border, then a
+mark and the path; with , for the border and ) for the mark, ``org,example,www,)/en/12``.
+Border and mark are control characters, which are escaped where a host has them, so
+no host can forge them. A host with everything under it is the interval of keys that
+begin with ``org,example,``, and a rule's path below its host the interval of those
+with ``org,example,)/en/``. Intervals of prefixes nest or are disjoint.
 
 A sweep sorts keys together with the starts and ends of intervals. Each start
 carries the stack of intervals that are open from there on, itself innermost, and
@@ -29,6 +30,9 @@ from pathloom.llm.common import written
 
 #: Keys of a sweep, at least.
 SWEEP_KEYS = 4096
+#: Ends a label; begins what stands for a border (a) or itself (b) in a host; is between host and path.
+BORDER, ESCAPE = "\x01", "\x02"
+MARK = f"{ESCAPE}c"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,7 +46,8 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 def host_prefix(host: Column) -> Column:
     """What the keys of a host and of all hosts under it begin with."""
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(","))
+    plain = F.replace(F.replace(host, F.lit(ESCAPE), F.lit(f"{ESCAPE}b")), F.lit(BORDER), F.lit(f"{ESCAPE}a"))
+    return F.concat(F.array_join(F.reverse(F.split(plain, r"\.")), BORDER), F.lit(BORDER))
 
 
 def stacks(intervals: DataFrame) -> DataFrame:
@@ -83,15 +88,16 @@ def judge(df: DataFrame, rules: DataFrame, default: str = "allow", url_col: str
     """The rows of ``df`` with host, path, rule (null if none fits) and verdict.
 
     ``rules``: host, path, verdict; those with a null or empty host or a null path
-    fit nothing. The rule with most host labels wins, then the one with the
-    longest path; of equal rules a block wins over an allow. Columns of ``df`` that
+    fit nothing. The longest rule wins, by the characters of host and path together, of
+    equally long ones that with the longer host; of equal rules a block wins over an
+    allow. Columns of ``df`` that
     have one of the four names give way. Rows with null, empty or repeated URLs
     are judged like all others, and all rows stay. Without rules, or for an empty
     table, no rule fits any row.
     """
     named = rules.where("host != '' AND path IS NOT NULL").groupBy(F.translate("host", UPPER, LOWER).alias("host"), "path").agg(F.max("verdict").alias("verdict"))
-    labels = F.size(F.split("host", r"\."))
-    below = named.select(host_prefix(F.col("host")).alias("host_key"), "path", F.struct(labels.alias("labels"), F.length("path").alias("n"), F.concat("host", "path").alias("rule"), "verdict").alias("entry"))
+    of_host = F.length("host")
+    below = named.select(host_prefix(F.col("host")).alias("host_key"), "path", F.struct((of_host + F.length("path")).alias("n"), of_host.alias("of_host"), F.concat("host", "path").alias("rule"), "verdict").alias("entry"))
     below = written(below, "rules")
 
     host, path = url_parts(df[url_col])
@@ -100,12 +106,12 @@ def judge(df: DataFrame, rules: DataFrame, default: str = "allow", url_col: str
     named_rows = rows.where("host != ''")
 
     # Each distinct URL is judged once.
-    urls = named_rows.select("host", "path").distinct().select(F.concat(host_prefix(F.col("host")), F.lit(")"), F.col("path")).alias("key"), "host", "path")
+    urls = named_rows.select("host", "path").distinct().select(F.concat(host_prefix(F.col("host")), F.lit(MARK), F.col("path")).alias("key"), "host", "path")
     under = swept(urls, below.select(F.col("host_key").alias("prefix"), F.col("host_key").alias("entry")).distinct())
-    paths = under.select("host", "path", F.explode("stack").alias("host_key")).select(F.concat("host_key", F.lit(")"), F.col("path")).alias("key"), "host", "path")
-    fitting = swept(paths, below.select(F.concat("host_key", F.lit(")"), F.col("path")).alias("prefix"), "entry"))
+    paths = under.select("host", "path", F.explode("stack").alias("host_key")).select(F.concat("host_key", F.lit(MARK), F.col("path")).alias("key"), "host", "path")
+    fitting = swept(paths, below.select(F.concat("host_key", F.lit(MARK), F.col("path")).alias("prefix"), "entry"))
     top = fitting.select("host", "path", F.col("stack")[0].alias("top"))  # the longest path of each host that the URL is under
-    found = top.groupBy("host", "path").agg(F.max_by("top", F.struct("top.labels", "top.n")).alias("best")).select("host", "path", "best.rule", "best.verdict")
+    found = top.groupBy("host", "path").agg(F.max_by("top", F.struct("top.n", "top.of_host")).alias("best")).select("host", "path", "best.rule", "best.verdict")
 
     judged = named_rows.join(found, ["host", "path"], "left").select(*rows.columns, "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
     # URLs without a host share one key, so they stay out of the join.

@@ -1,5 +1,8 @@
 """Every operator and stage on odd rows: nulls, empty and very long texts, ties, repeats, empty tables, clashing names."""
 
+import re
+
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -321,3 +324,26 @@ def test_recall_of_buckets_by_size(spark, low, high, size):
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: n + 4 - gone]))]
     found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
     assert found.where("kept").count() == size
+
+
+def test_url_rules_by_brute_force(spark):
+    """Hosts with commas, brackets, dots and the control characters of keys: a rule fits its host and what is under it, and the longest wins."""
+    rng = np.random.default_rng(21)
+    labels = ["org", "example", "example,evil", "org,example", "com,x", "", ")", ")x", "x", "a\x01b", "a\x02b", "\x02c", "\x01", "com", "ORG"]
+    host = lambda n: ".".join(rng.choice(labels, n))
+    rules = {("org", "/"): "allow", ("example.org", "/a"): "block", ("org", "/aaaaaaaaaaaa"): "allow", ("example.org", "/aaaa"): "allow", ("example.org", "x"): "block", ("com", ""): "block"}
+    for _ in range(40):
+        rules.setdefault((host(int(rng.integers(1, 3))).lower(), str(rng.choice(["", "/", "/a", "/aa", "/b,)", "x"]))), str(rng.choice(["allow", "block"])))
+    urls = [f"{rng.choice(['http', 'x'])}://{host(int(rng.integers(1, 5)))}{rng.choice(['', '/', '/a', '/aaaaaaaaaaaaa', '/b,)c', '?q', '#/a'])}" for _ in range(600)]
+    urls += ["http://example,evil.org/es/1", "http://org,example/es/1", "http://com,x/fr/1", "http://example.org./a", "http://.example.org/a", "http://)x.example.org", "http://example.org/a"]
+    want = []
+    for u in urls:
+        rest = u.split("://", 1)[1]
+        h = re.match("[^/?#]*", rest)[0]
+        path = re.match("[^?#]*", rest[len(h) :])[0]
+        h = "".join(c.lower() if "A" <= c <= "Z" else c for c in h)
+        fits = [(len(rh + rp), len(rh), rh + rp, v) for (rh, rp), v in rules.items() if rh and (h == rh or h.endswith("." + rh)) and path.startswith(rp)]
+        want.append((u, *(max(fits)[2:] if fits else (None, "allow"))))
+    listed = spark.createDataFrame([(*k, v) for k, v in rules.items()], "host string, path string, verdict string")
+    found = url_rules.judge(spark.createDataFrame([(u,) for u in urls], "url string"), listed)
+    assert sorted(map(str, ((r["url"], r["rule"], r["verdict"]) for r in found.collect()))) == sorted(map(str, want))
