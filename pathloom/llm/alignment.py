@@ -8,7 +8,8 @@ such a span say how many tokens of A and of B form the group. Tokens that overla
 are linked, within a group alone.
 
 A text is cut at single spaces between letters, which no token of either tokenizer
-crosses, so a word with its space is aligned once and its alignment is kept.
+crosses, so a word with its space is aligned once and its alignment is kept. The
+words of a text that are new are read together.
 
 For each pair of ids a table counts the documents that hold it linked. Scores of
 documents look pairs up there: the most frequent ``HOT`` pairs travel to all tasks,
@@ -20,7 +21,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +30,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import Kept, per_batch, written
+from pathloom.llm.common import per_batch, written
 
 #: Pairs of ids whose counts travel to all tasks.
 HOT = 1 << 16
-#: Words whose alignments a task keeps, and the bytes of the longest of them.
+#: Words whose alignments a task keeps, and the letters of the longest of them.
 WORDS, LONGEST = 100_000, 64
 SPAN = re.compile("[nab]*x")
 #: Single spaces that neither tokenizer's words cross: marks and letters up to U+024F on both sides.
 CUT = re.compile("(?<=[!-~À-ɏ])(?= [!-~À-ɏ])")
 SPACE = "▁"
-ROW = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
+ROW = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
 
 
 def byte_of() -> dict[str, int]:
@@ -64,53 +66,99 @@ class Aligner:
         self.b_bytes = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(map(self.b.id_to_piece, range(n)))]
         #: Pieces end at spaces, so words may be taken one by one.
         self.by_words = not any(SPACE in self.b.id_to_piece(i).lstrip(SPACE) for i in range(n))
-        self.kept = Kept(self.unit, WORDS, LONGEST)
-
-    def ids(self, text: str) -> tuple[list[int], list[int]]:
-        return self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
-
-    def unit(self, text: str) -> tuple[int, int, int, str, list[int], list[int]] | None:
-        """Of a text with its space in front: numbers of tokens and groups, groups as text, linked pairs and how often; None if tokens spell something else."""
-        a, b = self.ids(text[1:])
-        a_ends, b_ends = (np.cumsum([len(spelled[i]) for i in ids]) for spelled, ids in ((self.a_bytes, a), (self.b_bytes, b)))
+        self.names = [*map(str, range(max(n, len(self.a_bytes))))]
+        #: Alignments of words; when ``kept`` is full, those not asked for lately go.
+        self.kept: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
+
+    def fresh(self, units: list[str]) -> list[tuple] | None:
+        """What ``known`` keeps of each unit, read in one go as the text that they make together; None if tokens spell something else."""
+        text = "".join(units)
         own = text.encode()
-        if b"".join(map(self.a_bytes.__getitem__, a)) != own or b"".join(map(self.b_bytes.__getitem__, b)) != own:
+        a, b = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:])
+        spelled = [[*map(table.__getitem__, ids)] for table, ids in ((self.a_bytes, a), (self.b_bytes, b))]
+        if b"".join(spelled[0]) != own or b"".join(spelled[1]) != own:
             return None
+        a_size, b_size = ([*map(len, x)] for x in spelled)
+        a_ends, b_ends = np.cumsum(a_size) - 1, np.cumsum(b_size) - 1
         labels = np.full(len(own), ord("n"), np.uint8)
-        labels[a_ends - 1] = ord("a")
-        labels[b_ends - 1] = np.where(labels[b_ends - 1] == ord("a"), ord("x"), ord("b"))
-        groups, i, j = [], 0, 0
+        labels[a_ends] = ord("a")
+        labels[b_ends] = np.where(labels[b_ends] == ord("a"), ord("x"), ord("b"))
+        out = []
+        sizes = iter(map(len, units) if text.isascii() else (len(u.encode()) for u in units))
+        i = j = at = first_a = first_b = 0
+        end = next(sizes)
+        groups, links = [], []
+        name = self.names
         for span in SPAN.findall(labels.tobytes().decode()):
-            both = span.count("x")
-            i2, j2 = i + span.count("a") + both, j + span.count("b") + both
-            groups.append(f"{','.join(map(str, a[i:i2]))}|{','.join(map(str, b[j:j2]))}")
+            i2, j2 = i + span.count("a") + 1, j + span.count("b") + 1  # x ends one of both
+            if i2 - i == 1 or j2 - j == 1:
+                groups.append(f"{name[a[i]]}|{name[b[j]]}" if i2 - i == j2 - j else f"{','.join([name[x] for x in a[i:i2]])}|{','.join([name[y] for y in b[j:j2]])}")
+                links += [(x << 32) | y for x in a[i:i2] for y in b[j:j2]]
+            else:
+                groups.append(f"{','.join([name[x] for x in a[i:i2]])}|{','.join([name[y] for y in b[j:j2]])}")
+                # Two orders of the same bytes: the token that ends first makes way for the next of its own.
+                x, y, of_a, of_b = i, j, a_size[i], b_size[j]
+                while True:
+                    links.append((a[x] << 32) | b[y])
+                    if x == i2 - 1 and y == j2 - 1:
+                        break
+                    if of_a < of_b:
+                        x += 1
+                        of_a += a_size[x]
+                    else:
+                        y += 1
+                        of_b += b_size[y]
             i, j = i2, j2
-        # Two orders of the same bytes: each token overlaps those from the one at its first byte to the one at its last.
-        first = np.searchsorted(b_ends, np.append(0, a_ends[:-1]), "right")
-        many = np.searchsorted(b_ends, a_ends) - first + 1
-        which = np.repeat(np.arange(len(a)), many)
-        other = np.repeat(first - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-        pairs, times = np.unique((np.array(a, np.int64)[which] << 32) | np.array(b, np.int64)[other], return_counts=True)
-        return len(a), len(b), len(groups), ";".join(groups), pairs.tolist(), times.tolist()
+            at += len(span)
+            if at == end:  # units end where both end
+                out.append((i - first_a, j - first_b, len(groups), ";".join(groups), links))
+                first_a, first_b = i, j
+                end += next(sizes, 0)
+                groups, links = [], []
+        return out
+
+    def known(self, units: Iterable[str]) -> dict[str, tuple] | None:
+        """n_a, n_b, n_groups, groups as text and linked pairs of each unit, in the order of a text; those of short units are kept."""
+        found, missing = {}, []
+        for u in units:
+            x = self.kept.get(u) or self.older.get(u)
+            if x is None:
+                missing.append(u)
+            else:
+                found[u] = x
+        if missing:
+            fresh = self.fresh(missing)
+            if fresh is None:
+                return None
+            if len(self.kept) >= WORDS:
+                self.kept, self.older = {}, self.kept
+            for u, x in zip(missing, fresh, strict=True):
+                found[u] = x
+                if len(u) <= LONGEST:
+                    self.kept[u] = x
+        return found
 
     def document(self, text: str | None) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
         """n_a, n_b, n_groups, n_links, SHA-256 of the groups ('' without tokens), distinct linked pairs (A's id in the high 32 bits) and how often."""
-        none = 0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int32)
+        none = 0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64)
         if not text:
             return none
         units = CUT.split(" " + text) if self.by_words else [" " + text]
         often = Counter(units)
-        made = {u: self.kept[u] for u in often}
-        if None in made.values():
+        made = self.known(often)
+        if made is None:
             return none
-        digest, seen = hashlib.sha256(), Counter()
+        digest = hashlib.sha256()
         for k in range(0, len(units), 4096):
             digest.update((";" * bool(k) + ";".join([made[u][3] for u in units[k : k + 4096]])).encode())
-        n_a, n_b, n_groups = (sum(n * made[u][c] for u, n in often.items()) for c in range(3))
-        for u, n in often.items():
-            for p, t in zip(*made[u][4:], strict=True):
-                seen[p] += n * t
-        pairs, times = np.fromiter(seen, np.int64, len(seen)), np.fromiter(seen.values(), np.int32, len(seen))
+        each = [(made[u], n) for u, n in often.items()]
+        n_a, n_b, n_groups = (sum([n * x[c] for x, n in each]) for c in range(3))
+        sizes = [len(x[4]) for x, _ in each]
+        flat = np.fromiter(chain.from_iterable([x[4] for x, _ in each]), np.int64, sum(sizes))
+        pairs, place = np.unique(flat, return_inverse=True)
+        times = np.zeros(len(pairs), np.int64)
+        np.add.at(times, place, np.repeat([n for _, n in each], sizes))
         return n_a, n_b, n_groups, int(times.sum()), digest.hexdigest(), pairs, times
 
 
@@ -122,7 +170,7 @@ def aligned(rows: DataFrame, definition: str, model: bytes) -> DataFrame:
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [aligner.document(x.as_py()) for x in batch.column("text")]
-            kinds = (pa.int64(),) * 4 + (pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            kinds = (pa.int64(),) * 4 + (pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             made = [pa.array(c, k) for c, k in zip(zip(*found, strict=True) if found else ((),) * 7, kinds, strict=True)]
             return pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *made], [c.split()[0] for c in ROW.split(", ")])
 
@@ -147,7 +195,7 @@ def scored(found: DataFrame, counts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs, times = batch.column("pairs"), batch.column("times").flatten().to_numpy().astype(np.int64)
+            pairs, times = batch.column("pairs"), batch.column("times").flatten().to_numpy()
             ends, flat = np.append(0, np.cumsum(pairs.value_lengths().to_numpy())), pairs.flatten().to_numpy()
             at = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
             hit = known[at] == flat if len(known) else np.zeros(len(flat), bool)
