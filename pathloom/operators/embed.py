@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.functions import geo
@@ -18,15 +19,36 @@ from pathloom.operators.knn import knn_exact
 from pathloom.operators.perturb import numbered
 from pathloom.plans.storage import kept
 
+#: Sentences that one task trains on.
+SENTENCES_A_PART = 5_000
+#: Numbers that an encoder holds of the points of a batch.
+ENCODED = 8_000_000
 
-def token_vectors(sentences: DataFrame, size: int = 100, window: int = 5, min_count: int = 1, rounds: int = 10, seed: int = 1, parts: int = 1) -> DataFrame:
+
+def token_vectors(sentences: DataFrame, size: int = 100, window: int = 5, min_count: int = 1, rounds: int = 10, seed: int = 1, parts: int | None = None, most: float = 0.0) -> DataFrame:
     """word, vec: skip-gram vectors of the words of ``sentences`` (words: array of string).
 
-    ``parts`` tasks train side by side and their vectors are averaged after each
-    round, so more parts want more rounds.
+    ``parts`` tasks train side by side on their share of sentences, and their vectors
+    are averaged after each round; by default there is one for every
+    SENTENCES_A_PART sentences. Sentences are dealt by a hash, so reruns agree.
+    With ``most`` above 0, longer vectors are brought to that length. Null or empty
+    sentences teach nothing; without sentences there are no vectors.
     """
-    model = Word2Vec(numPartitions=parts, vectorSize=size, windowSize=window, minCount=min_count, maxIter=rounds, seed=seed, inputCol="words", outputCol="_").fit(sentences.select("words"))
-    return model.getVectors().select("word", vector_to_array("vector").alias("vec"))
+    rows = sentences.where(F.size("words") > 0).select("words")
+    n = rows.count()
+    if not n:
+        return sentences.sparkSession.createDataFrame([], "word string, vec array<double>")
+    parts = parts or -(-n // SENTENCES_A_PART)
+    dealt = kept(rows.repartition(parts, F.xxhash64("words")).sortWithinPartitions("words"))
+    model = Word2Vec(numPartitions=parts, vectorSize=size, windowSize=window, minCount=min_count, maxIter=rounds, seed=seed, inputCol="words", outputCol="_").fit(dealt)
+    vectors = model.getVectors().select("word", vector_to_array("vector").alias("vec"))
+    return vectors.withColumn("vec", shortened(F.col("vec"), most)) if most > 0 else vectors
+
+
+def shortened(v: Column, most: float) -> Column:
+    """The vector, brought to length ``most`` if it is longer."""
+    n = F.sqrt(geo.dot(v, v))
+    return F.when(n > most, F.transform(v, lambda x: x * F.lit(float(most)) / n)).otherwise(v)
 
 
 def neighbour_sentences(neighbours: DataFrame) -> DataFrame:
@@ -114,32 +136,106 @@ def attention(score: np.ndarray, t: int) -> np.ndarray:
 
 
 def encode(points: np.ndarray, w: EncoderWeights) -> np.ndarray:
-    """The last state of the encoder for one trajectory's (n, d) features.
+    """The last states (b, h) of the encoder for b trajectories of the same length, (b, n, d) features.
 
     At step t all points are weighed by the state, and point t goes in by its weight.
     """
-    h = np.zeros(len(w.wh))
-    c = np.zeros(len(w.wh))
+    h = np.zeros((len(points), len(w.wh)))
+    c = np.zeros_like(h)
     keys = points @ w.w2
     sigmoid = lambda x: 1 / (1 + np.exp(-x))
-    for t in range(len(points)):
-        weight = attention(np.tanh(np.concatenate([h, c]) @ w.w1 + keys) @ w.v, t)
-        x = weight[t] * points[t]
-        i, f, g, o = np.split(x @ w.wx + h @ w.wh + w.b, 4)
+    for t in range(points.shape[1]):
+        weight = attention(np.tanh((np.concatenate([h, c], axis=1) @ w.w1)[:, None, :] + keys) @ w.v, t)
+        x = weight[:, t, None] * points[:, t]
+        i, f, g, o = np.split(x @ w.wx + h @ w.wh + w.b, 4, axis=1)
         c = sigmoid(f) * c + sigmoid(i) * np.tanh(g)
         h = sigmoid(o) * np.tanh(c)
     return h
 
 
 def encode_trajectories(features: DataFrame, weights: EncoderWeights) -> DataFrame:
-    """tid, vec: encoder state of each trajectory (tid, pid, feature), over Arrow batches of trajectories."""
-    nested = features.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("pid", "feature"))).alias("p")).select("tid", F.col("p.feature").alias("f"))
+    """tid, vec: encoder state of each trajectory (tid, pid, feature), trajectories of one length together.
+
+    Points without a feature are left out, and trajectories without points have no
+    row. At most ENCODED numbers of attention keys are held at a time.
+    """
+    nested = features.where("feature IS NOT NULL").groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("pid", "feature"))).alias("p")).select("tid", F.col("p.feature").alias("f"))
+    # Like lengths lie side by side.
+    sorted_ = nested.withColumn("n", F.size("f")).repartitionByRange("n", "tid").sortWithinPartitions("n", "tid")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"tid": batch["tid"], "vec": [encode(np.array([*map(np.asarray, f)], float), weights) for f in batch["f"]]})
+            for n, group in batch.groupby("n"):
+                step = max(1, ENCODED // (int(n) * (weights.w2.shape[0] + weights.w2.shape[1])))
+                for at in range(0, len(group), step):
+                    part = group.iloc[at : at + step]
+                    points = np.array([[*f] for f in part["f"]], float)
+                    yield pd.DataFrame({"tid": part["tid"], "vec": [*encode(points, weights)]})
+
+    return sorted_.mapInPandas(run, "tid long, vec array<double>")
+
+
+def save_weights(spark: SparkSession, weights: EncoderWeights, path: str, version: int) -> None:
+    """Write the weights as rows of a Parquet table (name, shape, numbers), in the folder of their version, which must be new."""
+    rows = [(n, list(v.shape), v.ravel().tolist()) for n, v in vars(weights).items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, numbers array<double>").write.parquet(f"{path}/version={version}")
+
+
+def load_weights(spark: SparkSession, path: str, version: int | None = None) -> EncoderWeights:
+    """The weights of a version, or of the highest one."""
+    table = spark.read.parquet(path)
+    if version is None:
+        version = table.agg(F.max("version")).first()[0]
+    return EncoderWeights(**{r["name"]: np.array(r["numbers"]).reshape(r["shape"]) for r in table.where(F.col("version") == version).collect()})
 
-    return nested.mapInPandas(run, "tid long, vec array<double>")
+
+def save_vectors(vectors: DataFrame, path: str, version: int) -> None:
+    """Write token vectors (word, vec) in the folder of their version, which must be new."""
+    vectors.select("word", "vec").write.parquet(f"{path}/version={version}")
+
+
+def load_vectors(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """word, vec of a version, or of the highest one."""
+    table = spark.read.parquet(path)
+    if version is None:
+        version = table.agg(F.max("version")).first()[0]
+    return table.where(F.col("version") == version).select("word", "vec")
+
+
+def neighbour_loss(truth: DataFrame, labels: DataFrame, logits: DataFrame, vectors: DataFrame, scale: float, by: str = "distance", mean_of: bool = False) -> DataFrame:
+    """tid, pid, loss: cross entropies of a point's labels, weighed by how near their vectors are to the true one.
+
+    ``truth``: tid, pid, vec; ``labels``: tid, pid, label (the true one and its
+    neighbours); ``logits``: tid, pid, label, logit, of all labels of the vocabulary
+    that the model gives; ``vectors``: word, vec. Weights are the softmax over a
+    point's labels of minus the distance over ``scale``, or by ``cosine`` of the
+    similarity over it (by ``-cosine`` of minus that). Losses are summed over labels,
+    or averaged with ``mean_of``. Labels without a vector or a logit don't count, and
+    points without labels that do have no row.
+    """
+    total = logits.groupBy("tid", "pid").agg(F.max("logit").alias("top"))
+    total = logits.join(total, ["tid", "pid"]).groupBy("tid", "pid").agg((F.first("top") + F.log(F.sum(F.exp(F.col("logit") - F.col("top"))))).alias("all"))
+    each = labels.join(vectors.select(F.col("word").alias("label"), F.col("vec").alias("near")), "label").join(truth.select("tid", "pid", "vec"), ["tid", "pid"]).join(logits, ["tid", "pid", "label"])
+    closeness = {"distance": -geo.l2(F.col("near"), F.col("vec")), "cosine": 1 - geo.cosine_distance(F.col("near"), F.col("vec")), "-cosine": geo.cosine_distance(F.col("near"), F.col("vec")) - 1}[by]
+    drawn = F.exp(F.coalesce(closeness, F.lit(0.0)) / F.lit(float(scale)) - F.max(F.coalesce(closeness, F.lit(0.0)) / F.lit(float(scale))).over(W.partitionBy("tid", "pid")))
+    parts = each.join(total, ["tid", "pid"]).select("tid", "pid", drawn.alias("w"), (F.col("all") - F.col("logit")).alias("ce"))
+    loss = F.sum(F.col("w") * F.col("ce")) / F.sum("w")
+    return parts.groupBy("tid", "pid").agg((loss / F.count("*") if mean_of else loss).alias("loss"))
+
+
+def sta_loss(truth: DataFrame, labels: dict[str, DataFrame], logits: dict[str, DataFrame], vectors: dict[str, DataFrame], alpha: float, beta: float, gamma: float, strict_reference: bool = False) -> DataFrame:
+    """tid, loss: the losses of space, time and words (the keys of the dicts), summed over a trajectory's points.
+
+    ``truth``: tid, pid and the true vectors space, time and words. Space and time go
+    by distance (scales alpha, beta), words by cosine (gamma), each a weighted sum.
+    ``strict_reference`` gives what published code computes instead: the space vector
+    stands for all three, time goes by alpha, less similar words weigh more, and space
+    and time are means over labels.
+    """
+    s = strict_reference
+    how = {"space": (alpha, "distance", s), "time": (alpha if s else beta, "distance", s), "words": (gamma, "-cosine" if s else "cosine", False)}
+    losses = [neighbour_loss(truth.select("tid", "pid", F.col("space" if s else part).alias("vec")), labels[part], logits[part], vectors[part], scale, by, mean_of) for part, (scale, by, mean_of) in how.items()]
+    return losses[0].unionByName(losses[1]).unionByName(losses[2]).groupBy("tid").agg(F.sum("loss").alias("loss"))
 
 
 def nearest_keywords(sets: DataFrame, words: DataFrame, k: int, size: int) -> DataFrame:

@@ -194,24 +194,15 @@ def batch_summaries(members: DataFrame, points: DataFrame, keys: tuple[str, ...]
     return held.join(words, list(keys))
 
 
-def greedy_batches(points: DataFrame, diag_theta: float, stretch: float = 16.0) -> DataFrame:
-    """Batches as a fold makes them: kw, bx, by, batch, tid.
-
-    In order of tid, a trajectory joins the batch whose enlarged box has the
-    smallest diagonal, or opens one if that is over ``diag_theta``. The fold runs
-    within stretches, squares of ``stretch`` times diag_theta by the centre of the
-    box, whatever the length of a keyword's list: only trajectories that are near
-    one another can share a batch.
-    """
-    side = stretch * diag_theta
-    centre = {n: geo.cell((F.col(f"min_{c}") + F.col(f"max_{c}")) / 2, side) for n, c in (("bx", "x"), ("by", "y"))}
-    listed = postings(points).join(boxes(points).drop("n_points").withColumns(centre), "tid")
+def _folded(boxes_: DataFrame, diag_theta: float, side: float, shift: tuple[float, float]) -> DataFrame:
+    """kw, batch, into of (kw, batch, box) rows: a greedy fold within squares of the plane, in order of batch."""
+    square = {n: F.floor(((F.col(f"min_{c}") + F.col(f"max_{c}")) / 2 + d) / side) for n, c, d in (("bx", "x", shift[0]), ("by", "y", shift[1]))}
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("tid")
+        group = group.sort_values("batch")
         held = np.empty((0, 4))
-        place = []
-        for x in group[["min_x", "min_y", "max_x", "max_y"]].to_numpy():
+        into, first = [], []
+        for batch, x in zip(group["batch"], group[[*geo.BOX]].to_numpy(), strict=True):
             grown = np.hstack([np.minimum(held[:, :2], x[:2]), np.maximum(held[:, 2:], x[2:])])
             diagonal = np.hypot(grown[:, 2] - grown[:, 0], grown[:, 3] - grown[:, 1])
             if len(held) and diagonal.min() <= diag_theta:
@@ -219,7 +210,80 @@ def greedy_batches(points: DataFrame, diag_theta: float, stretch: float = 16.0)
                 held[at] = grown[at]
             else:
                 at, held = len(held), np.vstack([held, x])
-            place.append(at)
-        return group[["kw", "bx", "by", "tid"]].assign(batch=place)[["kw", "bx", "by", "batch", "tid"]]
+                first.append(batch)
+            into.append(first[at])
+        return group[["kw", "batch"]].assign(into=into)
+
+    return boxes_.withColumns(square).groupBy("kw", "bx", "by").applyInPandas(fold, "kw string, batch long, into long")
+
 
-    return listed.groupBy("kw", "bx", "by").applyInPandas(fold, "kw string, bx int, by int, batch long, tid long")
+def greedy_batches(points: DataFrame, diag_theta: float, stretch: float = 16.0) -> DataFrame:
+    """Batches as a fold makes them: kw, batch (the smallest tid in it), tid.
+
+    In order of tid, a trajectory joins the batch whose enlarged box has the
+    smallest diagonal, or opens one if that is over ``diag_theta``. The fold runs
+    within squares of ``stretch`` (4 at least) times diag_theta by the centre of the
+    box, whatever the length of a keyword's list. Batches are then folded in the
+    same way over squares that are moved by half a side, until none changes: no two
+    batches of a keyword that fit diag_theta together stay apart, on whichever side
+    of a border they lie. A keyword whose trajectories lie in one square has the
+    batches of the single fold. Trajectories without a box have none.
+    """
+    side = max(stretch, 4.0) * diag_theta
+    listed = postings(points).join(boxes(points).drop("n_points").where("min_x IS NOT NULL AND min_y IS NOT NULL"), "tid").where("kw IS NOT NULL")
+    members = listed.select("kw", F.col("tid").alias("batch"), "tid", *geo.BOX)
+    shifts = [(0.0, 0.0), (side / 2, 0.0), (0.0, side / 2), (side / 2, side / 2)]
+    still = 0
+    members = kept(members)
+    while still < len(shifts):
+        shift = shifts[0]
+        shifts = [*shifts[1:], shift]
+        whole = members.groupBy("kw", "batch").agg(*(F.min(c).alias(c) if c.startswith("min") else F.max(c).alias(c) for c in geo.BOX))
+        moved = kept(_folded(whole, diag_theta, side, shift).where("into != batch"))
+        if moved.isEmpty():
+            still += 1
+            continue
+        still = 1
+        members = kept(members.join(moved, ["kw", "batch"], "left").select("kw", F.coalesce("into", "batch").alias("batch"), "tid", *geo.BOX))
+    return members.select("kw", "batch", "tid")
+
+
+def closest_cells(queries: DataFrame, data: DataFrame, k: int, reach: float = 1.0) -> DataFrame:
+    """qid, rank, tid, distance (in cells) of the k trajectories whose cells come nearest to a query's, ties to the smaller tid.
+
+    ``queries`` and ``data``: tid, cx, cy, each cell of a trajectory once. Cells are
+    joined by squares of the plane, each query cell with its own and the eight around
+    it, so pairs farther than the square's side never meet. Queries that find k within
+    the side are done; for the others the side doubles, until it spans all cells.
+    A shared cell is at distance 0. Cells and ids that are null take no part.
+    """
+    here = kept(data.where("tid IS NOT NULL AND cx IS NOT NULL AND cy IS NOT NULL").select("tid", "cx", "cy"))
+    open_ = kept(queries.where("tid IS NOT NULL AND cx IS NOT NULL AND cy IS NOT NULL").select(F.col("tid").alias("qid"), F.col("cx").alias("qx"), F.col("cy").alias("qy")))
+    ends = here.select("cx", "cy").union(open_.select("qx", "qy")).agg(*(f(c) for c in ("cx", "cy") for f in (F.min, F.max))).first()
+    if here.isEmpty() or open_.isEmpty():
+        return open_.select("qid", F.lit(0).alias("rank"), F.col("qid").alias("tid"), F.lit(0.0).alias("distance")).where("false")
+    span = max(ends[1] - ends[0], ends[3] - ends[2]) + 1
+    order = W.partitionBy("qid").orderBy("distance", "tid")
+    done: DataFrame | None = None
+    side = max(1, int(reach))
+    while True:
+        size = min(side, span)
+        square = lambda x, y: [F.floor(F.col(x) / size).cast("long").alias("sx"), F.floor(F.col(y) / size).cast("long").alias("sy")]
+        near = F.sequence(F.lit(-1), F.lit(1))
+        asked = open_.select("qid", "qx", "qy", *square("qx", "qy")).withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near))
+        asked = asked.select("qid", "qx", "qy", (F.col("sx") + F.col("dx")).alias("sx"), (F.col("sy") + F.col("dy")).alias("sy"))
+        met = asked.join(here.select("tid", "cx", "cy", *square("cx", "cy")), ["sx", "sy"])
+        apart = geo.cell_distance(F.col("qx"), F.col("qy"), F.col("cx"), F.col("cy"))
+        # Cells whose squares don't touch are at least a square's side apart, which is size cells in between.
+        pairs = met.groupBy("qid", "tid").agg(F.min(apart).alias("distance"))
+        pairs = pairs if size == span else pairs.where(F.col("distance") < size)
+        top = kept(pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+        full = top.where(F.col("rank") == k).select("qid") if size < span else top.select("qid").distinct()
+        part = top.join(full, "qid", "left_semi").select("qid", "rank", "tid", "distance")
+        done = part if done is None else done.unionByName(part)
+        if size == span:
+            return done
+        open_ = kept(open_.join(full, "qid", "left_anti"))
+        if open_.isEmpty():
+            return done
+        side *= 2

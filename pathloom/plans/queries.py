@@ -179,6 +179,17 @@ def cell_pair_distance(spark, sf_dir):
     return q.join(c, F.lit(True)).select("qid", "tid", r6(simjoin.min_cell_distance(F.col("q_cells"), F.col("cells"))).alias("distance"))
 
 
+@query(
+    f"WITH p AS ({ORDER_POINTS}), c AS (SELECT DISTINCT tid, floor(x / 25)::INTEGER AS cx, floor(y / 25)::INTEGER AS cy FROM p),"
+    " d AS (SELECT q.tid AS qid, d.tid, min(sqrt(greatest(0, abs(q.cx - d.cx) - 1) ** 2 + greatest(0, abs(q.cy - d.cy) - 1) ** 2)) AS d FROM c q, c d WHERE q.tid % 20 = 0 GROUP BY 1, 2),"
+    " r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY d, tid)::INTEGER AS rank, tid, round(d, 6) AS distance FROM d) SELECT * FROM r WHERE rank <= 10"
+)
+def closest_cells(spark, sf_dir):
+    """The trajectories whose cells come nearest to a query's, by a grid that grows."""
+    c = trajectory.cells(order_points(spark, sf_dir), GRID)
+    return simjoin.closest_cells(asked(c), c, 10).withColumn("distance", r6("distance"))
+
+
 @query(
     f"WITH p AS ({ORDER_POINTS}), t AS (SELECT tid, list(DISTINCT t) AS s FROM (SELECT tid, unnest(terms) AS t FROM p) GROUP BY tid)"
     " SELECT q.tid AS qid, d.tid, round(len(list_intersect(q.s, d.s)) / (len(q.s) + len(d.s) - len(list_intersect(q.s, d.s))), 6) AS jaccard FROM t q, t d WHERE q.tid % 20 = 0"
@@ -655,23 +666,55 @@ def pooled_embedding(spark, sf_dir):
     return v.select("tid", *(r6(F.col("vec")[i]).alias(n) for i, n in enumerate(("s1", "s2", "t1", "t2", "w1", "w2"))))
 
 
-def _learned(spark, sf_dir, size: int = 16) -> DataFrame:
+def _space_sentences(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    t, _ = _tokens(spark, sf_dir)
+    near = tokens.space_neighbours(t.select(F.col("space_token").alias("token")).distinct(), 20, 20, 21)
+    return embed.neighbour_sentences(near), near
+
+
+def _learned(spark, sf_dir, size: int = 100) -> DataFrame:
     """Point features from vectors that are trained on the tokens' neighbours and on keywords."""
     t, c = _tokens(spark, sf_dir)
-    space = embed.neighbour_sentences(tokens.space_neighbours(t.select(F.col("space_token").alias("token")).distinct(), 20, 20, 21))
     slots = t.select(F.col("time_token").alias("token")).distinct()
     near = tokens.time_neighbours(F.col("token"), 8, F.lit((c.max_ts - c.min_ts) // c.ts_gap + 1))
     time = embed.neighbour_sentences(slots.select("token", F.posexplode(near).alias("rank", "neighbour")))
-    learned = [embed.token_vectors(x, size, rounds=1) for x in (space, time, embed.keyword_sentences(t))]
+    learned = [embed.token_vectors(x, size, rounds=1, most=1.0) for x in (_space_sentences(spark, sf_dir)[0], time, embed.keyword_sentences(t))]
     return embed.point_features(t, *learned, size)
 
 
 @query()
 def encoder_states(spark, sf_dir):
-    v = embed.encode_trajectories(_learned(spark, sf_dir), embed.EncoderWeights.seeded(48, 32, 16))
+    """States of the encoder at its usual sizes, with seeded weights."""
+    v = embed.encode_trajectories(_learned(spark, sf_dir), embed.EncoderWeights.seeded())
     return v.select("tid", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
 
+@query()
+def token_neighbour_share(spark, sf_dir):
+    """How many of a space token's neighbours are near it as vectors too, trained in one part and in eight side by side."""
+    sentences, near = _space_sentences(spark, sf_dir)
+    shares = [embed.neighbour_share(embed.token_vectors(sentences, 32, rounds=6, parts=n), near, 20).select(F.lit(n).alias("parts"), F.round("share", 6).alias("share")) for n in (1, 8)]
+    return shares[0].unionByName(shares[1])
+
+
+@query(
+    TOKENS
+    + ", g AS (SELECT *, (x1 - x0) / 20 AS gx, (y1 - y0) / 20 AS gy FROM e), t AS (SELECT tid, pid, (floor((y - y0) / gy) * ceil((x1 - x0) / gx) + floor((x - x0) / gx))::BIGINT AS s FROM p, g),"
+    " v AS (SELECT s, (s * 7 % 11)::DOUBLE AS a, (s * 5 % 13)::DOUBLE AS b FROM (SELECT DISTINCT s FROM t)),"
+    " l AS (SELECT tid, pid, t.s, v.s AS label, sqrt((v.a - o.a) ** 2 + (v.b - o.b) ** 2) AS d, (t.s * 31 + v.s * 17) % 7 / 2.0 AS logit FROM t JOIN v o ON o.s = t.s JOIN v ON v.s BETWEEN t.s - 2 AND t.s + 2),"
+    " w AS (SELECT *, exp(-d / 0.5) AS w, ln(sum(exp(logit)) OVER (PARTITION BY tid, pid)) - logit AS ce FROM l) SELECT tid, pid, round(sum(w * ce) / sum(w), 6) AS loss FROM w GROUP BY tid, pid"
+)
+def neighbour_loss(spark, sf_dir):
+    """The weighed cross entropy of space tokens, with vectors and logits that arithmetic gives, so that SQL can make them too."""
+    t = _tokens(spark, sf_dir)[0].select("tid", "pid", F.col("space_token").alias("s"))
+    n = F.col("word").cast("long")
+    v = t.select(F.col("s").cast("string").alias("word")).distinct().select("word", F.array(((n * 7) % 11).cast("double"), ((n * 5) % 13).cast("double")).alias("vec"))
+    truth = t.join(v, F.col("s").cast("string") == F.col("word")).select("tid", "pid", "vec")
+    labels = t.select("tid", "pid", "s", F.explode(F.sequence(F.col("s") - 2, F.col("s") + 2)).alias("n")).select("tid", "pid", "s", F.col("n").cast("string").alias("label"), "n")
+    logits = labels.join(v.select(F.col("word").alias("label")), "label").select("tid", "pid", "label", ((F.col("s") * 31 + F.col("n") * 17) % 7 / 2.0).alias("logit"))
+    return embed.neighbour_loss(truth, labels.select("tid", "pid", "label"), logits, v, 0.5).withColumn("loss", r6("loss"))
+
+
 @query()
 def keyword_vectors(spark, sf_dir):
     p = order_points(spark, sf_dir)

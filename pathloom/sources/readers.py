@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pathloom.functions.keywords import split_terms
@@ -10,18 +11,50 @@ from pathloom.functions.keywords import split_terms
 POINT = "tid long, pid long, ts long, x double, y double, terms array<string>"
 
 
+def line_numbers(rows: DataFrame, name: str = "line", each_file: bool = False) -> DataFrame:
+    """The rows of a file source with their number: from 0, dense, in the order of paths and of lines in them.
+
+    ``rows`` come straight from ``spark.read``. Rows of each part of a file are
+    counted, the counts are summed up over parts (in order of path and offset), and a
+    row's number is the sum ahead of its part plus its place in it. So files are read
+    twice, but no rows are shuffled or sorted. With ``each_file`` numbers begin anew
+    in each file.
+    """
+    at = rows.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    parts = at.groupBy("_path", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = (W.partitionBy("_path").orderBy("_start") if each_file else W.orderBy("_path", "_start")).rowsBetween(W.unboundedPreceding, -1)  # one row a part
+    ahead = parts.withColumn("_ahead", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return at.join(ahead, ["_path", "_start"]).select(*rows.columns, (F.col("_ahead") + F.col("_id") - F.col("_first")).alias(name))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line (from 0 over all files, dense), value: the lines of text files; empty lines count."""
+    return line_numbers(spark.read.text(path)).select("line", "value")
+
+
 def read_points_tsv(spark: SparkSession, path: str, has_timestamp: bool = True) -> DataFrame:
     """Tab-separated points: tid, ts (epoch ms), x, y, keywords; ts may be absent from the file.
 
-    ``pid`` orders the points of a trajectory as they stand in the file: it is the
-    place of the line in its file part, which grows along the file.
+    ``pid`` is the number of the line among all lines that aren't empty, so it
+    orders the points of a trajectory as they stand in the files. A field that can't
+    be read is null.
     """
     ts = "ts long, " if has_timestamp else ""
-    rows = spark.read.csv(path, sep="\t", schema=f"tid long, {ts}x double, y double, kws string", quote="")
+    rows = line_numbers(spark.read.csv(path, sep="\t", schema=f"tid long, {ts}x double, y double, kws string", quote=""), "pid")
     if not has_timestamp:
         rows = rows.withColumn("ts", F.lit(None).cast("long"))
-    # Parts of a file are numbered in their order, so the id grows along each file.
-    return rows.select("tid", F.monotonically_increasing_id().alias("pid"), "ts", "x", "y", split_terms(F.col("kws")).alias("terms"))
+    return rows.select("tid", "pid", "ts", "x", "y", split_terms(F.col("kws")).alias("terms"))
+
+
+def by_position(points: DataFrame, length: int) -> DataFrame:
+    """tid, pts: every ``length`` points that follow one another by pid (dense, from 0) as a trajectory, with the tid of its first.
+
+    For files in which trajectories have one length and follow one another, whatever
+    their ids; the last one may be shorter.
+    """
+    fields = ["pid", *(c for c in ("ts", "x", "y", "terms") if c in points.columns)]
+    place = F.floor(F.col("pid") / length).alias("_place")
+    return points.groupBy(place).agg(F.min_by("tid", "pid").alias("tid"), F.array_sort(F.collect_list(F.struct(*fields))).alias("pts")).select("tid", "pts")
 
 
 def read_gps_folder(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,9 +62,9 @@ def read_gps_folder(spark: SparkSession, folder: str) -> DataFrame:
 
     A date that can't be read is null, and the fix takes no part in segmentation.
     """
-    rows = spark.read.option("recursiveFileLookup", True).csv(folder, schema="obj_id long, time string, x double, y double")
-    return rows.select(
-        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), "obj_id", F.try_to_timestamp("time", F.lit("yyyy-MM-dd HH:mm:ss")).alias("ts"), "x", "y"
+    rows = spark.read.option("recursiveFileLookup", True).csv(folder, schema="obj_id long, time string, x double, y double").withColumn("file", F.col("_metadata.file_path"))
+    return line_numbers(rows, each_file=True).select(
+        "file", "line", "obj_id", F.try_to_timestamp("time", F.lit("yyyy-MM-dd HH:mm:ss")).alias("ts"), "x", "y"
     )
 
 

@@ -1,8 +1,8 @@
-"""Writers: trajectories, query files, result lines, metrics and vector tables."""
+"""Writers: trajectories, query files, result lines, metrics and vector tables, with point lookups in these."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,9 +24,29 @@ def result_lines(results: DataFrame) -> DataFrame:
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
-    metrics.coalesce(1).write.mode("append").json(path)
+    """Adds rows of metrics to JSON lines at ``path``, in as many files as there are tasks."""
+    metrics.write.mode("append").json(path)
 
 
 def write_table(vectors: DataFrame, path: str, keys: int = 0) -> None:
-    """A vector table (or edges of a graph) as Parquet; ``keys`` buckets by id, for joins on it."""
-    (vectors.repartition(keys, "id") if keys else vectors).write.mode("overwrite").parquet(path)
+    """A vector table as Parquet; with ``keys``, in so many folders by id (``bucket``), sorted, for ``get`` and ``contains``.
+
+    Rows without an id lie in a folder of their own. Each folder is one file, whose
+    row groups hold ranges of ids.
+    """
+    if not keys:
+        vectors.write.mode("overwrite").parquet(path)
+        return
+    dealt = vectors.withColumn("bucket", F.pmod(F.col("id"), F.lit(keys)).cast("int")).repartition(keys, "bucket").sortWithinPartitions("bucket", "id")
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def get(spark: SparkSession, path: str, ids: list[int], keys: int) -> DataFrame:
+    """The rows with these ids of a table that ``write_table`` wrote with ``keys``: only their folders are opened, and in them only row groups that may hold them."""
+    wanted = sorted({i % keys for i in ids})
+    return spark.read.parquet(path).where(F.col("bucket").isin(wanted) & F.col("id").isin(ids)).drop("bucket")
+
+
+def contains(spark: SparkSession, path: str, id_: int, keys: int) -> bool:
+    """Whether a table that ``write_table`` wrote with ``keys`` has the id."""
+    return not get(spark, path, [id_], keys).select("id").isEmpty()

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.operators import cells, evaluate, knn, perturb, segment, simjoin, trajectory
+from pathloom.functions import tokens
+from pathloom.operators import cells, embed, evaluate, knn, perturb, segment, simjoin, trajectory
 from pathloom.plans import params
 from pathloom.plans.tables import asked, event_points, line_points, order_points, vectors
 from pathloom.sources import readers, writers
@@ -52,29 +53,65 @@ def test_greedy_batches_stay_small(spark):
     p = order_points(spark, SF)
     batches = simjoin.greedy_batches(p, 400.0)
     assert batches.count() == trajectory.postings(p).count()
-    boxed = simjoin.batch_summaries(batches, p, ("kw", "bx", "by", "batch"))
+    boxed = simjoin.batch_summaries(batches, p, ("kw", "batch"))
     alone = boxed.where("members > 1 AND sqrt(pow(max_x - min_x, 2) + pow(max_y - min_y, 2)) > 400")
     assert alone.count() == 0
 
 
 def test_greedy_batches_against_fold(spark):
+    """Where all boxes lie in one square, the batches of the single fold."""
     p = order_points(spark, SF).where("tid < 60")
-    held = {}
-    rows = trajectory.postings(p).join(trajectory.boxes(p), "tid").orderBy("kw", "tid").collect()
-    want = {}
-    side = 16 * 400.0
-    for r in rows:
-        group = held.setdefault((r["kw"], (r["min_x"] + r["max_x"]) / 2 // side, (r["min_y"] + r["max_y"]) / 2 // side), [])
-        grown = [(min(b[0], r["min_x"]), min(b[1], r["min_y"]), max(b[2], r["max_x"]), max(b[3], r["max_y"])) for b in group]
+    held, want = {}, {}
+    for r in trajectory.postings(p).join(trajectory.boxes(p), "tid").orderBy("kw", "tid").collect():
+        group = held.setdefault(r["kw"], [])
+        grown = [(min(b[0], r["min_x"]), min(b[1], r["min_y"]), max(b[2], r["max_x"]), max(b[3], r["max_y"]), b[4]) for b in group]
         diagonals = [((g[2] - g[0]) ** 2 + (g[3] - g[1]) ** 2) ** 0.5 for g in grown]
         at = min(range(len(group)), key=diagonals.__getitem__, default=-1)
         if at >= 0 and diagonals[at] <= 400:
             group[at] = grown[at]
         else:
             at = len(group)
-            group.append((r["min_x"], r["min_y"], r["max_x"], r["max_y"]))
-        want[r["kw"], r["tid"]] = at
-    assert {(r["kw"], r["tid"]): r["batch"] for r in simjoin.greedy_batches(p, 400.0).collect()} == want
+            group.append((r["min_x"], r["min_y"], r["max_x"], r["max_y"], r["tid"]))
+        want[r["kw"], r["tid"]] = group[at][4]
+    assert {(r["kw"], r["tid"]): r["batch"] for r in simjoin.greedy_batches(p, 400.0, 1e6).collect()} == want
+
+
+def test_batches_over_borders(spark):
+    """No two batches of a keyword that fit together stay apart, wherever borders lie; ties and odd rows."""
+    rng = np.random.default_rng(14)
+    rows = [(i, 0, 0, float(x), float(y), ["a"] if i % 3 else ["a", "b"]) for i, (x, y) in enumerate(rng.integers(-40, 40, (300, 2)))] + [(900, 0, 0, None, None, ["a"]), (901, 0, 0, 1.0, 1.0, None), (902, 0, 0, 1.0, 1.0, [])]
+    p = spark.createDataFrame(rows, POINTS)
+    batches = simjoin.greedy_batches(p, 6.0, 4.0).collect()
+    assert len(batches) == 300 + 100
+    boxes = {}
+    for r in batches:
+        x, y = rows[r["tid"]][3:5]
+        b = boxes.get((r["kw"], r["batch"]), (x, y, x, y))
+        boxes[r["kw"], r["batch"]] = (min(b[0], x), min(b[1], y), max(b[2], x), max(b[3], y))
+    assert all(np.hypot(b[2] - b[0], b[3] - b[1]) <= 6 for b in boxes.values())
+    for (k, i), a in boxes.items():
+        for (m, j), b in boxes.items():
+            if k == m and i < j:
+                assert np.hypot(max(a[2], b[2]) - min(a[0], b[0]), max(a[3], b[3]) - min(a[1], b[1])) > 6
+    assert simjoin.greedy_batches(p.where("false"), 6.0).count() == 0
+
+
+@pytest.mark.parametrize("spread", [3, 400])
+def test_closest_cells(spark, spread):
+    rng = np.random.default_rng(spread)
+    cells_ = sorted({(int(t), int(x), int(y)) for t, x, y in zip(rng.integers(0, 60, 200), rng.integers(-spread, spread, 200), rng.integers(-spread, spread, 200), strict=True)} | {(70, 5000, -5000)})
+    df = spark.createDataFrame([*cells_, (None, 1, 1), (20, None, 1)], "tid long, cx int, cy int")
+    want = []
+    of = {}
+    for t, x, y in cells_:
+        of.setdefault(t, []).append((x, y))
+    for q in (t for t in of if t % 10 == 0):
+        each = sorted((round(min(np.hypot(max(0, abs(a - c) - 1), max(0, abs(b - d) - 1)) for a, b in of[q] for c, d in of[t]), 9), t) for t in of)[:7]
+        want += [(q, r, t, float(d)) for r, (d, t) in enumerate(each, 1)]
+    got = simjoin.closest_cells(df.where("tid % 10 = 0"), df, 7).collect()
+    assert sorted((r["qid"], r["rank"], r["tid"], round(r["distance"], 9)) for r in got) == sorted(want)
+    assert simjoin.closest_cells(df.where("false"), df, 3).count() == 0 and simjoin.closest_cells(df, df.where("false"), 3).count() == 0
+    assert simjoin.closest_cells(df.where("tid = 70"), df, 100).count() == len(of)
 
 
 ITEMS = [(1, [0.0110, 0.2341]), (2, [0.2300, 0.3891]), (3, [0.4300, 0.9891]), (4, [0.9999, 0.9999])]
@@ -363,6 +400,92 @@ def test_readers_and_writers(spark, tmp_path):
     assert (e["min_ts"], e["max_x"]) == (1000, 2.5)
 
 
+def test_line_numbers(spark, tmp_path):
+    """Dense, from 0, in the order of files and lines, however files are cut; chunks by position."""
+    (tmp_path / "t").mkdir()
+    lines = {f"{c}.txt": [f"{c}{k}" + "x" * (k % 50) if k % 9 else "" for k in range(n)] for c, n in (("a", 400), ("b", 3), ("c", 900), ("d", 0))}
+    for name, own in lines.items():
+        (tmp_path / "t" / name).write_text("".join(f"{x}\n" for x in own))
+    every = [x for own in lines.values() for x in own]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        found = readers.read_lines(spark, str(tmp_path / "t"))
+        assert [(r["line"], r["value"]) for r in found.orderBy("line").collect()] == list(enumerate(every))
+        (tmp_path / "p.tsv").write_text("".join(f"{k // 7}\t{k}\t{k}.5\t1.0\ta,b\n" for k in range(1000)))
+        p = readers.read_points_tsv(spark, str(tmp_path / "p.tsv"))
+        assert p.rdd.getNumPartitions() > 1
+        assert [(r["pid"], r["ts"]) for r in p.orderBy("pid").collect()] == [(k, k) for k in range(1000)]
+        t = readers.by_position(p, 30).orderBy("pts").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r["tid"], [x["pid"] for x in r["pts"]]) for r in t] == [(k // 7, list(range(k, min(k + 30, 1000)))) for k in range(0, 1000, 30)]
+
+
+def test_point_lookup(spark, tmp_path):
+    path = str(tmp_path / "v")
+    v = spark.createDataFrame([(k, [float(k)]) for k in range(-5, 95)] + [(None, [0.0]), (3, [9.0])], "id long, vec array<double>")
+    writers.write_table(v, path, 8)
+    assert sorted((r["id"], r["vec"]) for r in writers.get(spark, path, [3, -5, 1000], 8).collect()) == [(-5, [-5.0]), (3, [3.0]), (3, [9.0])]
+    assert writers.contains(spark, path, 94, 8) and not writers.contains(spark, path, 95, 8)
+    plan = writers.get(spark, path, [3], 8)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(id), EqualTo(id,3)]" in plan
+
+
+def test_models_are_saved(spark, tmp_path):
+    w = embed.EncoderWeights.seeded(6, 5, 4)
+    embed.save_weights(spark, embed.EncoderWeights.seeded(6, 5, 4, seed=1), str(tmp_path / "w"), 1)
+    embed.save_weights(spark, w, str(tmp_path / "w"), 2)
+    rows = spark.createDataFrame([(t, p, np.random.default_rng(10 * t + p).random(6).tolist()) for t in range(4) for p in range(2 + t % 2)] + [(9, 0, None)], "tid long, pid long, feature array<double>")
+    made = lambda x: {r["tid"]: r["vec"] for r in embed.encode_trajectories(rows, x).collect()}
+    assert made(embed.load_weights(spark, str(tmp_path / "w"))) == made(w) != made(embed.load_weights(spark, str(tmp_path / "w"), 1))
+    assert set(made(w)) == {0, 1, 2, 3}
+    v = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "word string, vec array<double>")
+    embed.save_vectors(v, str(tmp_path / "v"), 10)
+    embed.save_vectors(v.limit(0), str(tmp_path / "v"), 9)
+    assert sorted(embed.load_vectors(spark, str(tmp_path / "v")).collect()) == sorted(v.collect())
+
+
+def test_training_in_parts(spark):
+    """One part by itself, parts by the number of sentences, a bound on lengths, and nothing to train on."""
+    near = tokens.space_neighbours(spark.range(144).select(F.col("id").alias("token")), 8, 12, 12)
+    sentences = embed.neighbour_sentences(near)
+    for parts, least in ((1, 0.5), (4, 0.5)):
+        v = embed.token_vectors(sentences, 16, rounds=12, parts=parts, most=1.0)
+        assert embed.neighbour_share(v, near, 8).first()["share"] > least
+        assert max(np.linalg.norm(r["vec"]) for r in v.collect()) <= 1 + 1e-9
+    empty = spark.createDataFrame([(None,), ([],)], "words array<string>")
+    assert embed.token_vectors(empty).count() == 0
+    assert embed.token_vectors(sentences.union(empty), 4, rounds=1).count() == 144
+
+
+def test_losses_by_hand(spark):
+    """Two points; labels without a vector or a logit don't count; the strict form differs as it is said to."""
+    rng = np.random.default_rng(3)
+    names = ["space", "time", "words"]
+    vec = {n: {str(k): rng.random(3) for k in range(4)} for n in names}
+    true = {(1, p): {n: rng.random(3) for n in names} for p in (0, 1)}
+    logit = {(n, p, k): float(rng.normal()) for n in names for p in (0, 1) for k in vec[n]}
+    truth = spark.createDataFrame([(t, p, *(x[n].tolist() for n in names)) for (t, p), x in true.items()], "tid long, pid long, space array<double>, time array<double>, words array<double>")
+    labels = {n: spark.createDataFrame([(1, p, k) for p in (0, 1) for k in ("0", "2", "3", "none")], "tid long, pid long, label string") for n in names}
+    logits = {n: spark.createDataFrame([(1, p, k, x) for (m, p, k), x in logit.items() if m == n], "tid long, pid long, label string, logit double") for n in names}
+    vectors_ = {n: spark.createDataFrame([(k, x.tolist()) for k, x in vec[n].items()], "word string, vec array<double>") for n in names}
+    for strict in (False, True):
+        want = 0.0
+        for n in names:
+            for p in (0, 1):
+                t = true[1, p]["space" if strict else n]
+                x = np.array([vec[n][k] for k in ("0", "2", "3")])
+                if n == "words":
+                    s = x @ t / np.linalg.norm(x, axis=1) / np.linalg.norm(t) * (-1 if strict else 1) / 0.7
+                else:
+                    s = -np.linalg.norm(x - t, axis=1) / (0.3 if strict or n == "space" else 0.5)
+                w = np.exp(s) / np.exp(s).sum()
+                ce = np.log(sum(np.exp(logit[n, p, k]) for k in vec[n])) - np.array([logit[n, p, k] for k in ("0", "2", "3")])
+                want += (w * ce).sum() / (3 if strict and n != "words" else 1)
+        assert embed.sta_loss(truth, labels, logits, vectors_, 0.3, 0.5, 0.7, strict).first()["loss"] == pytest.approx(want)
+
+
 def test_more_readers_and_writers(spark, tmp_path):
     (tmp_path / "v.csv").write_text("1,2.5\n3,4\n")
     assert [r["vec"] for r in readers.read_vectors(spark, str(tmp_path / "v.csv")).orderBy("id").collect()] == [[1.0, 2.5], [3.0, 4.0]]
