@@ -7,9 +7,9 @@ both do. A regular expression cuts the label string behind each ``x``; the label
 such a span say how many tokens of A and of B form the group. Tokens that overlap
 are linked, within a group alone.
 
-A text is cut at single spaces between letters, which no token of either tokenizer
-crosses, so a word with its space is aligned once and its alignment is kept. The
-words of a text that are new are read together.
+A text is cut at single spaces and line ends between letters, which no token of
+either tokenizer crosses, so a word with the space before it is aligned once and its
+alignment is kept. The words of a text that are new are read together.
 
 For each pair of ids a table counts the documents that hold it linked. Scores of
 documents look pairs up there: the most frequent ``HOT`` pairs travel to all tasks,
@@ -35,10 +35,10 @@ from pathloom.llm.common import per_batch, written
 #: Pairs of ids whose counts travel to all tasks.
 HOT = 1 << 16
 #: Words whose alignments a task keeps, and the letters of the longest of them.
-WORDS, LONGEST = 100_000, 64
+WORDS, LONGEST = 300_000, 32
 SPAN = re.compile("[nab]*x")
-#: Single spaces that neither tokenizer's words cross: marks and letters up to U+024F on both sides.
-CUT = re.compile("(?<=[!-~À-ɏ])(?= [!-~À-ɏ])")
+#: Single spaces and line ends that neither tokenizer's words cross: marks and letters up to U+024F on both sides.
+CUT = re.compile("(?<=[!-~À-ɏ])(?=[ \\n][!-~À-ɏ])")
 SPACE = "▁"
 ROW = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
 
@@ -64,8 +64,8 @@ class Aligner:
         n = self.b.get_piece_size()
         self.a_bytes = [bytes(letters[c] for c in t) if t and all(c in letters for c in t) else (t or "").encode() for t in map(self.a.id_to_token, range(self.a.get_vocab_size()))]
         self.b_bytes = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(map(self.b.id_to_piece, range(n)))]
-        #: Pieces end at spaces, so words may be taken one by one.
-        self.by_words = not any(SPACE in self.b.id_to_piece(i).lstrip(SPACE) for i in range(n))
+        #: Pieces end at spaces and lines, so words may be taken one by one.
+        self.by_words = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in map(self.b.id_to_piece, range(n)))
         self.names = [*map(str, range(max(n, len(self.a_bytes))))]
         #: Alignments of words; when ``kept`` is full, those not asked for lately go.
         self.kept: dict[str, tuple] = {}
@@ -73,6 +73,9 @@ class Aligner:
 
     def fresh(self, units: list[str]) -> list[tuple] | None:
         """What ``known`` keeps of each unit, read in one go as the text that they make together; None if tokens spell something else."""
+        if not units[0].startswith(" "):  # a text begins with a space
+            more = self.fresh([" -", *units])
+            return more and more[1:]
         text = "".join(units)
         own = text.encode()
         a, b = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:])
@@ -92,9 +95,12 @@ class Aligner:
         name = self.names
         for span in SPAN.findall(labels.tobytes().decode()):
             i2, j2 = i + span.count("a") + 1, j + span.count("b") + 1  # x ends one of both
-            if i2 - i == 1 or j2 - j == 1:
-                groups.append(f"{name[a[i]]}|{name[b[j]]}" if i2 - i == j2 - j else f"{','.join([name[x] for x in a[i:i2]])}|{','.join([name[y] for y in b[j:j2]])}")
-                links += [(x << 32) | y for x in a[i:i2] for y in b[j:j2]]
+            if i2 - i == 1 == j2 - j:
+                groups.append(f"{name[a[i]]}|{name[b[j]]}")
+                links.append(a[i] << 32 | b[j])
+            elif i2 - i == 1 or j2 - j == 1:
+                groups.append(f"{','.join([name[x] for x in a[i:i2]])}|{','.join([name[y] for y in b[j:j2]])}")
+                links += [x << 32 | y for x in a[i:i2] for y in b[j:j2]]
             else:
                 groups.append(f"{','.join([name[x] for x in a[i:i2]])}|{','.join([name[y] for y in b[j:j2]])}")
                 # Two orders of the same bytes: the token that ends first makes way for the next of its own.
@@ -162,14 +168,26 @@ class Aligner:
         return n_a, n_b, n_groups, int(times.sum()), digest.hexdigest(), pairs, times
 
 
+#: The aligner of this process, by its definition and model: tasks that follow one another in a process share what is kept.
+_own: dict[tuple[int, int], Aligner] = {}
+
+
+def aligner(definition: str, model: bytes) -> Aligner:
+    key = hash(definition), hash(model)
+    if key not in _own:
+        _own.clear()
+        _own[key] = Aligner(definition, model)
+    return _own[key]
+
+
 def aligned(rows: DataFrame, definition: str, model: bytes) -> DataFrame:
     """row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, and pairs and times of distinct linked pairs, of (row, doc_id, text) rows."""
 
     def make():
-        aligner = Aligner(definition, model)
+        own = aligner(definition, model)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [aligner.document(x.as_py()) for x in batch.column("text")]
+            found = [own.document(x.as_py()) for x in batch.column("text")]
             kinds = (pa.int64(),) * 4 + (pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             made = [pa.array(c, k) for c, k in zip(zip(*found, strict=True) if found else ((),) * 7, kinds, strict=True)]
             return pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *made], [c.split()[0] for c in ROW.split(", ")])
