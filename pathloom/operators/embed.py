@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,8 +47,16 @@ def token_vectors(sentences: DataFrame, size: int = 100, window: int = 5, min_co
 
 def shortened(v: Column, most: float) -> Column:
     """The vector, brought to length ``most`` if it is longer."""
-    n = F.sqrt(geo.dot(v, v))
-    return F.when(n > most, F.transform(v, lambda x: x * F.lit(float(most)) / n)).otherwise(v)
+
+    def cut(u: Column, n: Column) -> Column:
+        return F.when(n > most, F.transform(u, lambda x: x * F.lit(float(most)) / n)).otherwise(u)
+
+    return once(v, lambda u: once(F.sqrt(geo.dot(u, u)), lambda n: cut(u, n)))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def neighbour_sentences(neighbours: DataFrame) -> DataFrame:
@@ -64,35 +72,28 @@ def keyword_sentences(points: DataFrame) -> DataFrame:
 
 def unit(v: Column) -> Column:
     """The vector at length 1; a zero vector stays."""
-    n = F.sqrt(geo.dot(v, v))
-    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
-
-
-def mean(vectors: Column, size: int) -> Column:
-    """The mean of an array of vectors; zeros without any."""
-    zero = F.array_repeat(F.lit(0.0), size)
-    total = F.aggregate(vectors, zero, lambda s, v: F.zip_with(s, v, lambda a, b: a + b.cast("double")))
-    return F.transform(total, lambda x: x / F.greatest(F.size(vectors), F.lit(1)))
 
+    def scaled(u: Column, n: Column) -> Column:
+        return F.when(n > 0, F.transform(u, lambda x: x / n)).otherwise(u)
 
-def mean_unit_vector(vectors: Column, size: int) -> Column:
-    """The mean of vectors at length 1, itself brought to length 1."""
-    return unit(mean(F.transform(vectors, unit), size))
+    return once(v.cast("array<double>"), lambda u: once(F.sqrt(geo.dot(u, u)), lambda n: scaled(u, n)))
 
 
 def point_features(points: DataFrame, space: DataFrame, time: DataFrame, words: DataFrame, size: int = 100) -> DataFrame:
     """tid, pid, feature: space, time and keyword vectors of each point, end to end.
 
     ``points``: tid, pid, space_token, time_token, terms. Tables of vectors: word,
-    vec. What is not in a table counts as zeros.
+    vec, each word once. The keyword vector is the mean of the keywords' vectors at
+    length 1, itself brought to length 1, and is worked out once for each distinct
+    list of keywords. What is not in a table, or null, counts as zeros.
     """
     zero = F.array_repeat(F.lit(0.0), size)
     s = space.select(F.col("word").alias("_s"), F.col("vec").alias("s_vec"))
     t = time.select(F.col("word").alias("_t"), F.col("vec").alias("t_vec"))
-    w = words.select(F.col("word").alias("_w"), F.col("vec").alias("w_vec"))
-    each = points.select("tid", "pid", F.explode("terms").alias("term")).withColumn("term", F.replace("term", F.lit(" "), F.lit("-")))
-    text = each.join(w, F.col("term") == F.col("_w")).groupBy("tid", "pid").agg(mean_unit_vector(F.collect_list("w_vec"), size).alias("w_vec"))
-    rows = points.join(s, F.col("space_token").cast("string") == F.col("_s"), "left").join(t, F.col("time_token").cast("string") == F.col("_t"), "left").join(text, ["tid", "pid"], "left")
+    w = words.select(F.col("word").alias("_w"), unit(F.col("vec")).alias("vec"))
+    each = points.select("terms").where(F.size("terms") > 0).distinct().select("terms", F.explode("terms").alias("term")).withColumn("term", F.replace("term", F.lit(" "), F.lit("-")))
+    text = averaged(each.join(w, F.col("term") == F.col("_w")), "terms").select(F.col("terms").alias("_terms"), unit(F.col("vec")).alias("w_vec"))
+    rows = points.join(s, F.col("space_token").cast("string") == F.col("_s"), "left").join(t, F.col("time_token").cast("string") == F.col("_t"), "left").join(text, F.col("terms") == F.col("_terms"), "left")
     return rows.select("tid", "pid", F.concat(F.coalesce("s_vec", zero), F.coalesce("t_vec", zero), F.coalesce("w_vec", zero)).alias("feature"))
 
 

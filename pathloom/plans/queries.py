@@ -253,12 +253,11 @@ def semantic_topk_lines(spark, sf_dir):
 
 @query()
 def verified_pairs(spark, sf_dir):
-    """Counts that come with the search itself; how many pairs bounds spare depends on the blocks: a twentieth of the candidates at least."""
+    """Counts that come with the search itself, beside the candidates; how many pairs bounds spare depends on the blocks."""
     p = line_points(spark, sf_dir)
     _, few = simsearch.searched(asked(p), p, K, 0.9, 0.0002, 2000.0)
     every = simjoin.candidates(asked(p), p).groupBy("qid").agg(F.count("*").alias("candidates"))
-    both = few.join(every, "qid").agg(F.sum("verified").alias("verified"), F.sum("candidates").alias("candidates"))
-    return both.select("verified", "candidates", (F.col("verified") <= 0.95 * F.col("candidates")).alias("spared"))
+    return few.join(every, "qid").agg(F.sum("verified").alias("verified"), F.sum("candidates").alias("candidates"))
 
 
 #: Points of events of which some have no place (no y, or a y that isn't a number) or no keywords.

@@ -534,3 +534,47 @@ def test_live_upserts(spark, tmp_path):
     assert [tuple(r) for r in live_vectors(spark, path).collect()] == [(1, [2.0], 2)]
     step(make(2, 4.0), 4)
     assert live_vectors(spark, path).first()["vec"] == [4.0]
+
+
+def test_keys_are_forgotten(spark, tmp_path):
+    """A key that is silent for long leaves the state; when it comes again its numbers go on in the written table."""
+    from pathloom.streaming.live import live_segments, numbered_segments
+
+    now = 1_700_000_000
+    times = [(1, 0), (1, 1000), (2, 1000), (9, 5000), (9, 9000), (9, 14000), (9, 20000), (1, 25000), (1, 25010), (9, 30000), (9, 40000), (9, 60000), (9, 80000)]
+    df = spark.createDataFrame([(k, now + t, 0.0, float(k)) for k, t in times], "key long, t long, x double, y double").select("key", F.timestamp_seconds("t").alias("ts"), "x", "y")
+    for i, t in enumerate(sorted({t // 1000 for _, t in times})):
+        df.where(f"floor((unix_seconds(ts) - {now}) / 1000) = {t}").coalesce(1).write.parquet(str(tmp_path / f"in/{i:02d}"))
+    stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = live_segments(stream, 300.0, forget_seconds=2000.0).writeStream.format("memory").queryName("forgotten").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    spark.table("forgotten").write.parquet(str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r["seg"], r["n_points"]) for r in rows.where("key = 1").collect()) == [(0, 1), (0, 2), (1, 1)]
+    again = numbered_segments(rows).where("key = 1").orderBy("start").collect()
+    assert [(r["seg"], r["n_points"]) for r in again] == [(0, 1), (1, 1), (2, 2)]
+    every = numbered_segments(rows)
+    assert every.select("key", "seg").distinct().count() == every.count() == rows.count()
+    # Keys 1 and 2 are gone, and 9 alone is held.
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+
+
+def test_compaction(spark, tmp_path):
+    from pathloom.streaming.live import compact, live_upserts, live_vectors
+
+    path = str(tmp_path / "vec")
+    with pytest.raises(ValueError):
+        live_vectors(spark, path)
+    assert compact(spark, path) == -1
+    step = live_upserts(path)
+    for b in range(6):
+        step(spark.createDataFrame([(b % 3, [float(b)], 1 + b // 4), (10 + b, [0.0], 1)], "id long, vec array<double>, version long"), b)
+        before = sorted(map(tuple, live_vectors(spark, path).collect()))
+        if b in (3, 5):
+            assert compact(spark, path, keep=2) == b - 2
+            assert compact(spark, path, keep=2) == b - 2
+            assert sorted(map(tuple, live_vectors(spark, path).collect())) == before
+            assert sorted(x.name for x in (tmp_path / "vec/batches").iterdir() if x.is_dir()) == [f"batch={b - 1}", f"batch={b}"]
+            assert [x.name for x in (tmp_path / "vec/base").iterdir() if x.is_dir()] == [f"upto={b - 2}"]
+    step(spark.createDataFrame([(0, [9.0], 2)], "id long, vec array<double>, version long"), 5)  # a kept batch may run again
+    assert (0, [9.0], 2) in sorted(map(tuple, live_vectors(spark, path).collect()))
