@@ -20,6 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule failures and measures of every whole text of ``documents``; a null or empty text has no words and fails the base rules; rows that repeat are rows each; an empty table gives no rows."""
     book = rules.ledger(table(spark, sf_dir, "documents"))
     failed = ~rules.passes(rules.BASE)
     return book.select(
@@ -62,12 +63,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 
 
 def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text of ``documents``, learnt from labelled rows that aren't held out; null and empty texts have the score of a text without lines; a model without labelled rows as in ``line_quality.train``; rows that repeat are scored each."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = line_quality.train(docs, labels.where(crc_mod3(F.col("doc_id")) != 1))
     return line_quality.score(docs, model).select("doc_id", (crc_mod3(F.col("doc_id")) == 1).alias("held_out"), "score", "predicted")
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near copies of all ``documents``, by sets of four words; null and empty texts, ids that are null or repeat, and empty tables as in ``near_dup.near_duplicates``."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
@@ -87,6 +90,7 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(c.m, s.doc_id) AS comp
 
 
 def op4_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best scores of each query among all ``embeddings``, ties to the smaller id; vectors that are null or hold null, NaN or infinite components take no part; repeats as in ``topk.top_k``."""
     rows = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding"))).select(F.col("vec_id").alias("id"), topk.quantised(F.col("embedding")).alias("vector"))
     return topk.top_k(rows, rows.where("id % 20 = 0"), 20)
 
@@ -104,6 +108,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``pages`` written as a record and read back through the index; null html is an empty payload; urls that are null, empty or repeat have keys of their own by page."""
     pages = table(spark, sf_dir, "pages")
     index = warc.build_index(warc.write_archives(pages))
     places = warc.lookup(index, pages.select(warc.url_key(F.col("url"), F.col("page_id")).alias("key")))
@@ -119,6 +124,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'r
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix takes of each row of ``documents``; null and empty texts have size 0 and are taken 0 times; a null source is a source, the last; rows without an id count."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -152,6 +158,7 @@ def piece_model() -> bytes:
 
 
 def op7_merge_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of ids and of the decoded text of every whole text of ``documents``; null texts are empty ones, which have no tokens; rows that repeat are encoded each."""
     return merge_tokens.digest_documents(table(spark, sf_dir, "documents"), piece_model())
 
 
@@ -160,6 +167,7 @@ URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.
 
 
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule that judges each url of ``pages``; urls that are null or have no host fit no rule; ties and repeated rules as in ``url_rules.judge``."""
     listed = spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("host", "path", "verdict"), r, strict=True))) for r in URL_RULES))))
     return url_rules.judge(table(spark, sf_dir, "pages"), listed).select("page_id", "host", "path", "rule", "verdict")
 
@@ -179,12 +187,14 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JO
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` written to token files and read back, in ascending order of ids, null ids first; null and empty texts hold the end id alone; rows of one id follow one another."""
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         definition = f.read()
     return token_files.read_token_files(token_files.write_token_files(table(spark, sf_dir, "documents"), definition, END_ID), with_ids=False)
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text of ``documents``, learnt from rows that aren't held out; null texts and texts without a letter are ``und`` with score 0; without rows to learn from as in ``langid.predict``."""
     docs = table(spark, sf_dir, "documents")
     held_out = crc_mod3(F.col("doc_id")) == 1
     model = langid.train(docs.where(~held_out))
