@@ -34,10 +34,12 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops rows whose text's language is rejected; null texts and texts without letters are. Ids may be null or repeat; an empty table stays empty."""
     return langid.keep_identified(docs, langid.train(docs.where(crc_mod3(F.col("doc_id")) != 1)))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops rows whose text is predicted to be bad, by a model learnt from the labelled rows at hand that aren't held out. A null id counts as held out; null texts, and models without labels, as in ``line_quality``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(crc_mod3(F.col("doc_id")) != 1)
     return line_quality.keep_good(docs, line_quality.train(docs, labels))
 
@@ -51,6 +53,7 @@ def unused(docs: DataFrame, name: str) -> str:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies, that of the smallest id; rows of one id with other texts are texts of their own, equal rows are one, and rows without an id stay, for they can't be named. Texts without words are alike to none."""
     # Texts are compared, not ids: rows of one id and one text are one document, another text of that id is another.
     # Numbers follow ids and then hashes of texts, so that reruns keep the same. A null id can't be compared and stays.
     row, text, own, hashed, kept_row = (unused(docs, x) for x in ("row_no", "text_hash", "own_id", "own_hash", "kept_row"))
@@ -65,6 +68,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows by the budgets of their sources, once for each epoch that takes them; those without words go. A null source is a source of its own; ids may be null or repeat."""
     row, own, times, epoch = (unused(docs, x) for x in ("row_no", "taken_row", "epochs", "epoch"))
     # Each row is taken by its own share of the budget: ids may be null or repeat, so rows are numbered.
     numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
@@ -75,6 +79,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of ids and decoded text, a row for each row of ``docs``; null texts count as empty ones."""
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
         return merge_tokens.digest_documents(docs, f.read())
 
