@@ -35,7 +35,7 @@ from pathloom.llm.common import per_batch, written
 #: Pairs of ids whose counts travel to all tasks.
 HOT = 1 << 16
 #: Words whose alignments a task keeps, and the letters of the longest of them.
-WORDS, LONGEST = 300_000, 32
+WORDS, LONGEST = 200_000, 32
 SPAN = re.compile("[nab]*x")
 #: Single spaces and line ends that neither tokenizer's words cross: marks and letters up to U+024F on both sides.
 CUT = re.compile("(?<=[!-~À-ɏ])(?=[ \\n][!-~À-ɏ])")
