@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -108,6 +109,34 @@ def test_ablations(spark):
         assert r["only_words"] == sum(x["n_words"] for x in rows if x["failures"] & whole == bit)
 
 
+def test_which_rows_stages_keep(spark, tmp_path):
+    """Near duplicates by brute force and the mix by its SQL, each on the rows that the stages before it kept."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    ids = {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        ids[name] = sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+    predicted = QUERIES["op10_language"](spark, SF)
+    assert ids["language"] == sorted(r["doc_id"] for r in predicted.where("NOT rejected").collect())
+    good = spark.read.parquet(str(tmp_path / "quality"))
+    rows = sorted((r["doc_id"], words(r["text"], 5)) for r in good.select("doc_id", "text").collect())
+    label = {k: k for k, _ in rows}
+    for k, (a, x) in enumerate(rows):
+        for b, y in rows[:k]:
+            common = len(x & y)
+            if x and 100 * common >= 80 * (len(x) + len(y) - common) and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = {i: low if v == high else v for i, v in label.items()}
+    assert ids["near_duplicates"] == sorted(k for k, v in label.items() if k == v)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/near_duplicates/*.parquet'")
+    taken = con.execute(f"SELECT doc_id, size, taken FROM ({ORACLE_SQL['op6_mixing']})").fetchall()
+    assert ids["mixing"] == sorted(d for d, size, n in taken if n for _ in range(-(-n // size)))
+
+
 def test_pipeline(spark):
     documents = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     library = sentencepiece.SentencePieceProcessor(model_proto=piece_model())
