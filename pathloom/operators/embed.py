@@ -30,7 +30,8 @@ def token_vectors(sentences: DataFrame, size: int = 100, window: int = 5, min_co
 
     ``parts`` tasks train side by side on their share of sentences, and their vectors
     are averaged after each round; by default there is one for every
-    SENTENCES_A_PART sentences. Sentences are dealt by a hash, so reruns agree.
+    SENTENCES_A_PART sentences. Sentences are dealt by a hash. One part gives the same
+    vectors in each run; several are added up in any order and differ a little.
     With ``most`` above 0, longer vectors are brought to that length. Null or empty
     sentences teach nothing; without sentences there are no vectors.
     """

@@ -107,7 +107,7 @@ def test_attention():
     assert attention(np.array([0.3, -1.0, 2.0]), 0).sum() == pytest.approx(1)
     assert attention(np.array([0.0, 0.0]), 1) == pytest.approx([1 / math.sqrt(2)] * 2)
     w = EncoderWeights.seeded(4, 6, 3)
-    assert encode(np.ones((5, 4)), w).shape == (6,)
+    assert encode(np.ones((3, 5, 4)), w).shape == (3, 6)
 
 
 def test_encoder_by_hand():
@@ -126,4 +126,5 @@ def test_encoder_by_hand():
         i, f, g, o = (a * x + b * h + d for a, b, d in zip((0.1, 0.2, 0.3, 0.4), (0.5, 0.6, 0.7, 0.8), (0.01, 0.02, 0.03, 0.04), strict=True))
         c = sigmoid(f) * c + sigmoid(i) * math.tanh(g)
         h = sigmoid(o) * math.tanh(c)
-    assert encode(np.array(points)[:, None], w) == pytest.approx([h])
+    other = np.array([[points], [[5.0, 0.5]]]).reshape(2, 2, 1)  # trajectories of a batch don't touch one another
+    assert encode(other, w)[0] == pytest.approx([h])
