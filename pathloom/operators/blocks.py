@@ -41,13 +41,15 @@ def meet(blocks: DataFrame, asked: DataFrame, pairs: DataFrame, make: Callable[[
     dealt by block and sorted, the block before the query blocks that it meets, so
     each block goes to one task once, and query blocks stream past it. Blocks that
     meet none aren't sent. Work is heavier than bytes here, so the number of tasks
-    is given and isn't merged by size.
+    is given and isn't merged by size, and blocks are dealt in turn, not by hash.
     """
     mine, theirs = ([c for c in df.columns if c != key] for df, key in ((blocks, "block"), (asked, "q_block")))
     none = lambda df, columns: [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in columns]
     held = blocks.join(pairs.select("block").distinct(), "block", "left_semi").select("block", F.lit(0).alias("turn"), *mine, *none(asked, theirs))
     sent = asked.join(pairs, "q_block").select("block", F.lit(1).alias("turn"), *none(blocks, mine), *theirs)
-    dealt = held.unionByName(sent).repartition(SHARDS_A_PART * parts(blocks), "block").sortWithinPartitions("block", "turn")
+    turn = F.shiftrightunsigned("block", 33) + F.col("block").bitwiseAND((1 << 33) - 1)  # partition and row where the block was numbered
+    tasks = SHARDS_A_PART * parts(blocks)
+    dealt = held.unionByName(sent).repartitionById(tasks, (turn % tasks).cast("int")).sortWithinPartitions("block", "turn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin, step = make()
