@@ -117,6 +117,16 @@ def test_closest_cells(spark, spread):
 ITEMS = [(1, [0.0110, 0.2341]), (2, [0.2300, 0.3891]), (3, [0.4300, 0.9891]), (4, [0.9999, 0.9999])]
 
 
+def test_closest_cells_of_a_crowd(spark):
+    """Of a crowded cell only k trajectories meet a query, and they are those that brute force finds."""
+    df = spark.range(400).select(F.col("id").alias("tid"), (F.col("id") % 3).cast("int").alias("cx"), F.lit(0).alias("cy"))
+    assert {r["n"] for r in simjoin.first_of_cells(df, 5).groupBy("cx").agg(F.count("*").alias("n")).collect()} == {5}
+    got = {}
+    for r in simjoin.closest_cells(df.where("tid % 20 = 0"), df, 5).orderBy("rank").collect():
+        got.setdefault(r["qid"], []).append((r["distance"], r["tid"]))
+    assert got == {q: sorted((float(max(0, abs(q % 3 - t % 3) - 1)), t) for t in range(400))[:5] for q in range(0, 400, 20)}
+
+
 def test_knn_known_values(spark):
     v = spark.createDataFrame(ITEMS, "id long, vec array<double>")
     got = knn.knn_exact(v.where("id = 2"), v, 10).orderBy("rank").collect()
