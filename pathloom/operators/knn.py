@@ -24,13 +24,15 @@ from pathloom.operators.blocks import every_pair, meet, numbered_blocks
 from pathloom.plans.storage import kept
 
 BLOCK, QUERY_BLOCK = 4096, 1024
-#: Queries whose distances to a block are worked out at a time.
-AT_ONCE = 32
+#: Queries whose distances to a block are worked out at a time, and pairs of which all differences are held.
+AT_ONCE, PAIRS = 32, 16_384
 #: Distances that agree to so many places are ties.
 DIGITS = 12
 FOUND = "qid long, id long, dist double"
 #: Rows of a block of ``extremes``, and what rounding may add to a bound.
 EXTREME_BLOCK, SLACK = 1024, 1e-9
+#: Rows of such a block that meet another block at a time.
+MANY = 512
 
 
 def usable(vec: Column) -> Column:
@@ -67,6 +69,19 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
 
 
+def squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared distances by the expanded square, a matrix product, and how far rounding may put them off; that isn't finite for huge numbers."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        x, y = (a * a).sum(axis=1), (b * b).sum(axis=1)
+        return x[:, None] + y[None, :] - 2 * (a @ b.T), float((x.max(initial=0) + y.max(initial=0)) * (a.shape[1] + 8) * 1e-15)
+
+
+def pair_distances(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``distances`` by L2 of single pairs of rows, with a bound on what is held."""
+    cuts = [(i[k : k + PAIRS], j[k : k + PAIRS]) for k in range(0, len(i), PAIRS)]
+    return np.concatenate([np.empty(0), *(np.sqrt(((a[x] - b[y]) ** 2).sum(axis=1)) for x, y in cuts)])
+
+
 def packed(rows: DataFrame, size: int, key: str | None = None) -> DataFrame:
     """(id, vec) rows as blocks of at most ``size``: ids, matrix, width; with ``key``, blocks of one key each, of rows sorted by it."""
     by = key or "none"
@@ -128,18 +143,30 @@ def block_nearest(k: int, metric: str, with_self: bool = True) -> Callable:
     def search(v, ids, q, own):
         rows, found, dist = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         for at in range(0, len(q), AT_ONCE):
-            d = np.round(distances(q[at : at + AT_ONCE], v, metric), DIGITS)
+            part = q[at : at + AT_ONCE]
+            off = np.inf
+            if metric == "l2":
+                d, off = squares(part, v)
+            if not np.isfinite(off):
+                d, off = np.round(distances(part, v, metric), DIGITS), 0.0
+                squared = False
+            else:
+                squared = True
             d[np.isnan(d)] = np.inf  # no distance is farther than any
             wanted = np.ones(d.shape, bool) if with_self else own[at : at + AT_ONCE, None] != ids[None, :]
             last = min(k, d.shape[1]) - 1
             cut = np.partition(np.where(wanted, d, np.inf), last, axis=1)[:, last]
+            if squared:  # rows that rounding, of squares or of distances, may put among the nearest
+                far = np.sqrt(np.maximum(cut, 0) + 2 * off) + 2 * 10.0**-DIGITS
+                cut = far * far + 2 * off
             r, c = np.nonzero((d <= cut[:, None]) & wanted)
-            order = np.lexsort((ids[c], d[r, c], r))
-            r, c = r[order], c[order]
+            exact = np.round(pair_distances(part, v, r, c), DIGITS) if squared else d[r, c]
+            order = np.lexsort((ids[c], exact, r))
+            r, c, exact = r[order], c[order], exact[order]
             keep = np.arange(len(r)) - np.searchsorted(r, r) < k
             rows.append(r[keep] + at)
             found.append(ids[c[keep]])
-            dist.append(d[r[keep], c[keep]])
+            dist.append(exact[keep])
         return np.concatenate(rows), np.concatenate(found), np.concatenate(dist)
 
     return search
@@ -231,12 +258,19 @@ def extremes(data: DataFrame, n_pivots: int = 8) -> DataFrame:
 
     def seen(v: np.ndarray, w: np.ndarray, same: bool) -> tuple[int, float, float, int]:
         low, high, equal, n = np.inf, -np.inf, 0, 0
-        for at in range(0, len(v), AT_ONCE):
-            d = distances(v[at : at + AT_ONCE], w, "l2")
-            if same:
-                d = d[np.arange(at, at + len(d))[:, None] < np.arange(len(w))[None, :]]
-            if d.size:
-                low, high, equal, n = min(low, d.min()), max(high, d.max()), equal + int((d == 0).sum()), n + d.size
+        for at in range(0, len(v), MANY):
+            d, off = squares(v[at : at + MANY], w)
+            wanted = np.arange(at, at + len(d))[:, None] < np.arange(len(w))[None, :] if same else np.ones(d.shape, bool)
+            if not wanted.any():
+                continue
+            # Pairs that may be equal, or the nearest or farthest so far, are measured by their differences.
+            least, most = np.where(wanted, d, np.inf).min(), np.where(wanted, d, -np.inf).max()
+            near = d <= max(off, min(least, low * low) + 2 * off) if np.isfinite(off) else wanted
+            r, c = np.nonzero((near | (d >= max(most, high * abs(high)) - 2 * off)) & wanted)
+            exact = pair_distances(v[at : at + MANY], w, r, c)
+            n += int(wanted.sum())
+            if len(exact):
+                low, high, equal = min(low, exact.min()), max(high, exact.max()), equal + int((exact == 0).sum())
         return n, low, high, equal
 
     def row(n, low, high, equal) -> pa.RecordBatch:
@@ -255,7 +289,11 @@ def extremes(data: DataFrame, n_pivots: int = 8) -> DataFrame:
     both = a.join(b, F.col("block_a") < F.col("block_b"))
     gaps = F.zip_with(F.zip_with("low_a", "high_b", lambda x, y: x - y), F.zip_with("low_b", "high_a", lambda x, y: x - y), lambda x, y: F.greatest(x, y))
     least, most = F.greatest(F.array_max(gaps), F.lit(0.0)), F.array_min(F.zip_with("high_a", "high_b", lambda x, y: x + y))
-    open_ = both.where((least < low + SLACK) | (most > high - SLACK)).select(F.col("block_a").alias("block"), F.col("block_b").alias("q_block"))
+    # Either block of a pair may be the one that is held: by turns, so that no task holds those with the most pairs.
+    low_, high_ = (F.col(c).bitwiseAND((1 << 33) - 1) + F.shiftrightunsigned(c, 33) for c in ("block_a", "block_b"))
+    turned = (low_ + high_) % 2 == 1
+    pick = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
+    open_ = both.where((least < low + SLACK) | (most > high - SLACK)).select(pick("block_a", "block_b").alias("block"), pick("block_b", "block_a").alias("q_block"))
     every = within.unionByName(meet(held, asked, kept(open_), lambda: (begin, step), schema))
     return every.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.min("low").alias("min_dist"), F.max("high").alias("max_dist"), F.coalesce(F.sum("equal"), F.lit(0)).alias("equal_pairs"))
 

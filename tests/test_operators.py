@@ -76,6 +76,27 @@ def test_greedy_batches_against_fold(spark):
     assert {(r["kw"], r["tid"]): r["batch"] for r in simjoin.greedy_batches(p, 400.0, 1e6).collect()} == want
 
 
+def test_long_boxes_are_not_folded(spark, monkeypatch):
+    """A box longer than the limit can join nothing, so no fold sees it."""
+    folded = []
+    fold = simjoin._folded
+    monkeypatch.setattr(simjoin, "_folded", lambda boxes, *how: folded.append(boxes.count()) or fold(boxes, *how))
+    rows = [(t, t * 2 + e, float(t % 7 + e * (50 if t % 4 else 1)), 0.0, ["a"]) for t in range(200) for e in (0, 1)]
+    p = spark.createDataFrame(rows, "tid long, pid long, x double, y double, terms array<string>")
+    got = {r["tid"]: r["batch"] for r in simjoin.greedy_batches(p, 20.0).collect()}
+    assert max(folded) == 50 and got == {t: t if t % 4 else 0 for t in range(200)}
+
+
+def test_candidates_are_counted_without_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simjoin, "SETS", 50)
+    rng = np.random.default_rng(4)
+    words = [None, *"abcdefghijkl"]
+    rows = [(t if t else None, t, 0.0, 0.0, [words[w] for w in rng.integers(0, 13, rng.integers(0, 4))] if t % 9 else None) for t in range(300) for _ in range(2)]
+    p = spark.createDataFrame(rows, "tid long, pid long, x double, y double, terms array<string>").repartition(5)
+    want = {r["qid"]: r["count"] for r in simjoin.candidates(p.where("tid % 5 = 0"), p).where("tid IS NOT NULL").groupBy("qid").count().collect()}
+    assert {r["qid"]: r["n"] for r in simjoin.candidate_counts(p.where("tid % 5 = 0"), p).collect()} == want
+
+
 def test_batches_over_borders(spark):
     """No two batches of a keyword that fit together stay apart, wherever borders lie; ties and odd rows."""
     rng = np.random.default_rng(14)
@@ -207,6 +228,32 @@ def test_extremes(spark, block, monkeypatch):
         assert tuple(knn.extremes(few).first()) == (0, None, None, 0)
 
 
+@pytest.mark.parametrize("shift", [0.0, 1e6, 1e200])
+def test_extremes_by_products(spark, shift):
+    """Matrix products only choose the pairs: far from the origin, and where squares overflow, extremes are exact all the same."""
+    rng = np.random.default_rng(5)
+    points = rng.normal(0, 1, (300, 8)) + shift
+    points[17] = points[130]
+    v = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, vec array<double>").repartition(4)
+    d = knn.distances(points, points, "l2")[np.triu_indices(300, 1)]
+    got = knn.extremes(v, 3).first()
+    assert (got["min_dist"], got["max_dist"], got["equal_pairs"]) == (d.min(), d.max(), int((d == 0).sum()))
+    near = sorted((r["qid"], r["rank"], r["id"]) for r in knn.knn_exact(v.where("id % 20 = 0"), v, 4).collect())
+    assert near == sorted((q, r, i) for q in range(0, 300, 20) for r, (_, i) in enumerate(sorted((round(float(e), 12), i) for i, e in enumerate(knn.distances(points[[q]], points, "l2")[0]))[:4], 1))
+
+
+def test_squares_hold_their_bound():
+    """The squares that choose pairs are off by no more than they say, and pairs are measured as all are."""
+    rng = np.random.default_rng(6)
+    for scale in (1e-3, 1.0, 1e5):
+        a, b = rng.normal(scale, scale, (50, 64)), rng.normal(scale, scale, (70, 64))
+        exact = knn.distances(a, b, "l2")
+        about, off = knn.squares(a, b)
+        assert np.abs(about - exact**2).max() <= off
+        i, j = np.nonzero(exact > 0)
+        assert (knn.pair_distances(a, b, i, j) == exact[i, j]).all()
+
+
 def test_pivots_prune(spark):
     rng = np.random.default_rng(8)
     points = rng.integers(0, 10, (3000, 3)) * 100 + rng.random((3000, 3))
