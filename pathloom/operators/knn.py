@@ -30,9 +30,9 @@ AT_ONCE, PAIRS = 32, 16_384
 DIGITS = 12
 FOUND = "qid long, id long, dist double"
 #: Rows of a block of ``extremes``, and what rounding may add to a bound.
-EXTREME_BLOCK, SLACK = 1024, 1e-9
+EXTREME_BLOCK, SLACK = 8192, 1e-9
 #: Rows of such a block that meet another block at a time.
-MANY = 512
+MANY = 128
 
 
 def usable(vec: Column) -> Column:
@@ -73,7 +73,10 @@ def squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
     """Squared distances by the expanded square, a matrix product, and how far rounding may put them off; that isn't finite for huge numbers."""
     with np.errstate(over="ignore", invalid="ignore"):
         x, y = (a * a).sum(axis=1), (b * b).sum(axis=1)
-        return x[:, None] + y[None, :] - 2 * (a @ b.T), float((x.max(initial=0) + y.max(initial=0)) * (a.shape[1] + 8) * 1e-15)
+        d = a @ (-2 * b.T)
+        d += x[:, None]
+        d += y
+        return d, float((x.max(initial=0) + y.max(initial=0)) * (a.shape[1] + 8) * 1e-15)
 
 
 def pair_distances(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -260,6 +263,9 @@ def extremes(data: DataFrame, n_pivots: int = 8) -> DataFrame:
         low, high, equal, n = np.inf, -np.inf, 0, 0
         for at in range(0, len(v), MANY):
             d, off = squares(v[at : at + MANY], w)
+            if not same and d.min() > max(off, low * low + 2 * off) and d.max() < high * abs(high) - 2 * off:
+                n += d.size  # nothing here that is equal, nearer or farther
+                continue
             wanted = np.arange(at, at + len(d))[:, None] < np.arange(len(w))[None, :] if same else np.ones(d.shape, bool)
             if not wanted.any():
                 continue
