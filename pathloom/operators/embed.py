@@ -177,6 +177,45 @@ def encode_trajectories(features: DataFrame, weights: EncoderWeights) -> DataFra
     return sorted_.mapInPandas(run, "tid long, vec array<double>")
 
 
+def encode_tokens(points: DataFrame, space: DataFrame, time: DataFrame, words: DataFrame, weights: EncoderWeights, size: int = 100) -> DataFrame:
+    """``encode_trajectories`` of ``point_features``, looked up where points are encoded: tokens are shuffled, features aren't.
+
+    ``points`` and the tables as for ``point_features``. The tables go to all tasks, as
+    vocabularies of trained vectors do in training; they grow with cells, time slots and
+    keywords, not with points.
+    """
+    def table(vectors: DataFrame) -> tuple[dict[str, int], np.ndarray]:
+        rows = vectors.select("word", "vec").collect()
+        return {r["word"]: i for i, r in enumerate(rows)}, np.array([*(r["vec"] for r in rows), [0.0] * size])  # the last row: no vector
+
+    (s_at, s_vec), (t_at, t_vec), (w_at, w_vec) = (table(x) for x in (space, time, words))
+    to_unit = lambda v: v / np.where((n := np.linalg.norm(v, axis=-1, keepdims=True)) > 0, n, 1)
+    w_unit = to_unit(w_vec)
+    point = F.struct("pid", F.col("space_token").cast("string").alias("s"), F.col("time_token").cast("string").alias("t"), F.array_join(F.transform("terms", lambda x: F.replace(x, F.lit(" "), F.lit("-"))), "\0").alias("w"))
+    nested = points.groupBy("tid").agg(F.array_sort(F.collect_list(point)).alias("p"))
+    # Like lengths lie side by side.
+    sorted_ = nested.select("tid", F.col("p.s").alias("s"), F.col("p.t").alias("t"), F.col("p.w").alias("w"), F.size("p").alias("n")).repartitionByRange("n", "tid").sortWithinPartitions("n", "tid")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        zero = np.zeros(size)
+
+        def text(listed: str | None) -> np.ndarray:
+            at = [i for x in (listed or "").split("\0") if (i := w_at.get(x)) is not None]
+            return to_unit(w_unit[at].mean(axis=0)) if at else zero
+
+        for batch in batches:
+            for n, group in batch.groupby("n"):
+                step = max(1, ENCODED // (int(n) * (weights.w2.shape[0] + weights.w2.shape[1])))
+                for at in range(0, len(group), step):
+                    part = group.iloc[at : at + step]
+                    lists = {x: text(x) for x in {y for z in part["w"] for y in z}}
+                    looked = [np.array([[have.get(x, -1) for x in row] for row in part[c]]) for c, have in (("s", s_at), ("t", t_at))]
+                    features = [s_vec[looked[0]], t_vec[looked[1]], np.array([[lists[x] for x in row] for row in part["w"]])]
+                    yield pd.DataFrame({"tid": part["tid"], "vec": [*encode(np.concatenate(features, axis=2), weights)]})
+
+    return sorted_.mapInPandas(run, "tid long, vec array<double>")
+
+
 def save_weights(spark: SparkSession, weights: EncoderWeights, path: str, version: int) -> None:
     """Write the weights as rows of a Parquet table (name, shape, numbers), in the folder of their version, which must be new."""
     rows = [(n, list(v.shape), v.ravel().tolist()) for n, v in vars(weights).items()]

@@ -516,6 +516,24 @@ def test_training_in_parts(spark):
     assert embed.token_vectors(sentences.union(empty), 4, rounds=1).count() == 144
 
 
+def test_encoder_looks_tokens_up(spark):
+    """States from tokens are those from point features, and no features are shuffled."""
+    rng = np.random.default_rng(3)
+    words = ["a b", "c", "d", "unknown"]
+    rows = [(t, p, int(rng.integers(0, 6)), None if p == 3 else int(rng.integers(0, 5)), None if p == 1 else [words[i] for i in rng.integers(0, 4, p % 4)]) for t in range(12) for p in range(1 + t % 5)]
+    points = spark.createDataFrame(rows, "tid long, pid long, space_token long, time_token long, terms array<string>").repartition(3)
+    table = lambda names: spark.createDataFrame([(str(n), rng.normal(0, 1, 4).tolist()) for n in names], "word string, vec array<double>")
+    tables = table(range(5)), table(range(4)), table(["a-b", "c", "d"])
+    weights = embed.EncoderWeights.seeded(12, 5, 3)
+    want = {r["tid"]: r["vec"] for r in embed.encode_trajectories(embed.point_features(points, *tables, 4), weights).collect()}
+    got = embed.encode_tokens(points, *tables, weights, 4)
+    assert "feature" not in got._jdf.queryExecution().executedPlan().toString()
+    got = {r["tid"]: r["vec"] for r in got.collect()}
+    assert set(got) == set(want) == set(range(12))
+    for tid, vec in want.items():
+        assert got[tid] == pytest.approx(vec, abs=1e-9)
+
+
 def test_losses_by_hand(spark):
     """Two points; labels without a vector or a logit don't count; the strict form differs as it is said to."""
     rng = np.random.default_rng(3)
