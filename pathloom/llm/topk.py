@@ -2,21 +2,19 @@
 
 A component of a query is a term; its product with a candidate's component is
 what the term adds. Candidates travel in shards. A shard holds for each term a
-posting list: its candidates in the order of their value, cut into blocks with
-the block's limits. For a query they give each term's bound in the shard, counted
-from the least that the term adds to any candidate there, so that bounds are
-never negative whatever the signs.
+posting list, all its candidates' values, with the list's limits. For a query they
+give each term's bound in the shard, counted from the least that the term adds to
+any candidate there, so that bounds are never negative whatever the signs.
 
 For each query the terms are split by these bounds against the k-th best score so
 far, the threshold: the terms with the smallest bounds are *non-essential* as far
-as their bounds together don't reach it. Essential postings are traversed, terms
-with large bounds first. A candidate that reaches the threshold has in some
-essential term at least this term's share of what is needed, so each list is read
-only down to the block whose limit falls below that share. Candidates met are
-summed term by term in the order of bounds, as long as what is left to probe
-keeps them competitive. Scores that enter raise the threshold, after each list
-the terms are split anew, and thresholds go on to the next shard that the task
-reads. Shards' results are merged by a ranked window.
+as their bounds together don't reach it. The queries of a block walk the essential
+lists together: their sums are one product of weights, 0 where a term is
+non-essential for a query, and lists. Candidates whose sum and the bounds of the
+non-essential terms reach the threshold are probed there, the largest bounds first,
+as long as what is left keeps them competitive. Scores that enter raise the
+threshold, which goes on to the next shard that the task reads. Shards' results are
+merged by a ranked window.
 """
 
 from __future__ import annotations
@@ -32,8 +30,8 @@ from pyspark.sql import functions as F
 from pathloom.llm.common import written
 
 VECTORS, QUERIES = 8192, 512
-#: Postings of a block.
-POSTINGS = 64
+#: Candidates whose scores give a query its first threshold, and postings of a list that queries walk at a time.
+FIRST, WALKED = 256, 2048
 #: Terms that are probed at a time.
 STEP = 8
 #: Query blocks whose thresholds a task remembers.
@@ -88,78 +86,65 @@ def unpacked(matrix: bytes, width: int, item: int) -> np.ndarray:
 
 
 class Postings:
-    """One shard: for each term its candidates by ascending value, with the limits of each block."""
+    """One shard: for each term its candidates' values, and their limits."""
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray) -> None:
-        self.vectors, self.ids = vectors, ids
-        n = len(ids)
+        self.ids = ids
+        self.lists = np.ascontiguousarray(vectors.T)  # term x candidate
+        self.low, self.high = (f(self.lists, axis=1) if len(ids) else np.zeros(len(self.lists), np.int64) for f in (np.min, np.max))
         self.largest = int(np.abs(vectors).max(initial=0))
-        self.rows: dict[type, np.ndarray] = {}
-        self.order = np.argsort(vectors, axis=0, kind="stable").T.astype(np.int32)  # term x place: candidate
-        values = np.take_along_axis(vectors.T, self.order, axis=1)
-        self.starts = np.append(np.arange(0, n, POSTINGS), n)
-        self.low, self.high = values[:, self.starts[:-1]], values[:, self.starts[1:] - 1]
+        self.kinds: dict[type, np.ndarray] = {}
 
     def search(self, q: np.ndarray, own: int, k: int, threshold: int | None) -> tuple[np.ndarray, np.ndarray, int | None]:
-        """Ids and scores of the k best candidates that reach the threshold (ties too), and the threshold then.
+        """``search_all`` of one query."""
+        return self.search_all(q[None], np.array([own]), k, [threshold])[0]
 
-        ``threshold``: no candidate below it is wanted; None before k scores are known.
+    def search_all(self, qs: np.ndarray, own: np.ndarray, k: int, thresholds: list[int | None]) -> list[tuple[np.ndarray, np.ndarray, int | None]]:
+        """For each query ids and scores of the k best candidates that reach its threshold (ties too), and the threshold then.
+
+        Thresholds: no candidate below them is wanted; None before k scores are known.
         """
-        adds = np.where((q > 0)[:, None], q[:, None] * self.high, q[:, None] * self.low)  # the most in each block
-        least = np.minimum(q * self.low[:, 0], q * self.high[:, -1])
-        bound = adds.max(axis=1) - least
-        falling = np.argsort(-bound, kind="stable")
-        left = np.append(np.cumsum(bound[falling][::-1])[::-1], 0)  # bounds of terms from each place on
-        floor = int(least.sum())
-        unseen = self.ids != own
-        ids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
-        spent = 0.0  # what a candidate that isn't met may have in the terms read so far
-        for at, term in enumerate(falling):
-            if threshold is not None and floor + spent + left[at] < threshold:
-                break  # the rest is non-essential
-            # Blocks lie in the order of what they add: the best are at the end, or at the start for a negative weight.
-            up = q[term] > 0
-            read, step = 0, 4 if threshold is None else len(self.starts)
-            blocks = len(self.starts) - 1
-            while read < blocks:
-                share = -1.0 if threshold is None else (threshold - floor - spent) * (bound[term] / max(1, left[at]))
-                wanted = int(np.count_nonzero(adds[term] - least[term] >= share))
-                if read >= wanted:
-                    break
-                more = min(wanted, read + step)
-                a, b = (blocks - more, blocks - read) if up else (read, more)
-                met = self.order[term, self.starts[a] : self.starts[b]]
-                met = met[unseen[met]]
-                unseen[met] = False
-                found, score = self._probe(met, q, falling, left, int(floor), threshold)
-                ids, scores, threshold = _cut(np.append(ids, self.ids[found]), np.append(scores, score), k, threshold)
-                read, step = more, step * 4
-            else:
-                share = float(bound[term])  # all of the list is read: each candidate has been met
-                break
-            spent += max(0.0, share)
-        return ids, scores, threshold
-
-    def _probe(self, met: np.ndarray, q: np.ndarray, falling: np.ndarray, left: np.ndarray, floor: int, threshold: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Candidates and scores of those that stay competitive to the last term, probed in the order of bounds."""
-        most = self.largest * int(np.abs(q).max(initial=0)) * len(q)
-        kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64  # all sums are exact
-        if kind not in self.rows:
-            self.rows[kind] = self.vectors.astype(kind)
-        rows, weights = self.rows[kind][met], q.astype(kind)
-        least = np.minimum(q * self.low[:, 0], q * self.high[:, -1])
-        score, behind = np.zeros(len(met), kind), floor
-        for at in range(0, len(falling), STEP):
-            part = falling[at : at + STEP]
-            score = score + rows[:, part] @ weights[part]
-            behind -= int(least[part].sum())
-            if threshold is not None:
-                keep = score >= threshold - behind - int(left[min(at + STEP, len(falling))])
-                if not keep.all():
-                    met, score, rows = met[keep], score[keep], rows[keep]
-                if not len(met):
-                    break
-        return met, score.astype(np.int64)
+        most_sum = self.largest * int(np.abs(qs).max(initial=0)) * max(1, qs.shape[1])
+        kind = np.float32 if most_sum < 1 << 24 else np.float64 if most_sum < 1 << 53 else np.int64  # all sums are exact
+        if kind not in self.kinds:
+            self.kinds[kind] = self.lists.astype(kind)
+        lists, weights = self.kinds[kind], qs.astype(kind)
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), t) for t in thresholds]
+        first = weights @ lists[:, :FIRST]
+        for i, (ids, scores, t) in enumerate(found):
+            if t is None:  # all that is met now is scored again below, where ties with the threshold stay
+                others = self.ids[:FIRST] != own[i]
+                found[i] = ids, scores, _cut(self.ids[:FIRST][others], first[i][others].astype(np.int64), k, None)[2]
+        for a in range(0, len(self.ids), WALKED):
+            self._walk(slice(a, a + WALKED), qs, weights, lists, own, k, found)
+        return found
+
+    def _walk(self, at: slice, qs: np.ndarray, weights: np.ndarray, lists: np.ndarray, own: np.ndarray, k: int, found: list) -> None:
+        """Queries meet a stretch of the essential lists, and what they find goes to ``found``."""
+        ids = self.ids[at]
+        most, least = np.maximum(qs * self.low, qs * self.high), np.minimum(qs * self.low, qs * self.high)
+        bound = most - least
+        rising = np.argsort(bound, axis=1, kind="stable")
+        reach = np.cumsum(np.take_along_axis(bound, rising, axis=1), axis=1) + least.sum(axis=1)[:, None]  # with the terms up to each place
+        thresholds = np.array([np.iinfo(np.int64).min if t is None else t for _, _, t in found])
+        spare = np.empty(bound.shape, bool)
+        np.put_along_axis(spare, rising, reach < thresholds[:, None], axis=1)  # non-essential: together they don't reach the threshold
+        sums = np.where(spare, weights.dtype.type(0), weights) @ lists[:, at]
+        left = np.where(spare, most, 0).sum(axis=1)
+        wanted = sums >= np.where(thresholds == np.iinfo(np.int64).min, thresholds, thresholds - left)[:, None]
+        wanted &= own[:, None] != ids[None, :]
+        for i in np.flatnonzero(wanted.any(axis=1)):
+            met = np.flatnonzero(wanted[i])
+            score, behind = sums[i, met].astype(np.int64), int(left[i])
+            terms = rising[i][spare[i][rising[i]]][::-1]
+            for s in range(0, len(terms), STEP):
+                part = terms[s : s + STEP]
+                score = score + (qs[i, part] @ self.lists[part][:, at][:, met])
+                behind -= int(most[i, part].sum())
+                keep = score + behind >= thresholds[i]
+                met, score = met[keep], score[keep]
+            was, scores, t = found[i]
+            found[i] = _cut(np.append(was, ids[met]), np.append(scores, score), k, t)
 
 
 def _cut(ids: np.ndarray, scores: np.ndarray, k: int, threshold: int | None) -> tuple[np.ndarray, np.ndarray, int | None]:
@@ -200,11 +185,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                 terms = np.zeros((len(q), x.width), np.int64)
                 terms[:, : x.q_width] = q[:, : x.width]
                 thresholds = known.pop(x.q_ids, None) or [None] * len(q)
-                out = []
-                for i, vector in enumerate(terms):
-                    found, score, thresholds[i] = held[1].search(vector, int(own[i]), k, thresholds[i])
-                    out.append(pd.DataFrame({"query_id": np.full(len(found), own[i]), "vec_id": found, "score": score}))
-                known[x.q_ids] = thresholds
+                found = held[1].search_all(terms, own, k, thresholds)
+                out = [pd.DataFrame({"query_id": np.full(len(ids), own[i]), "vec_id": ids, "score": score}) for i, (ids, score, _) in enumerate(found)]
+                known[x.q_ids] = [t for _, _, t in found]
                 if len(known) > REMEMBERED:
                     known.pop(next(iter(known)))
                 yield pd.concat(out)

@@ -193,3 +193,16 @@ def test_postings_by_brute_force():
                     found, score, _ = postings.search(vectors[i], int(ids[i]), 20, threshold)
                     got = sorted(zip(found.tolist(), score.tolist(), strict=True), key=lambda x: (-x[1], x[0]))[:20]
                     assert [x for x in got if threshold is None or x[1] >= threshold] == [x for x in want if threshold is None or x[1] >= threshold]
+
+
+@pytest.mark.parametrize("scale", [8, 5_000, 300_000_000])
+def test_queries_walk_postings_together(scale):
+    """A block of queries finds what brute force finds, over several stretches, with and without thresholds, in all kinds of numbers."""
+    rng = np.random.default_rng(scale)
+    vectors, ids = rng.integers(-scale, scale + 1, (5000, 12)), rng.permutation(5000)
+    postings = topk.Postings(vectors, ids)
+    exact = vectors[:40] @ vectors.T
+    for thresholds in ([None] * 40, [int(np.sort(np.delete(e, i))[-20]) if i % 2 else None for i, e in enumerate(exact)]):
+        for i, (found, score, t) in enumerate(postings.search_all(vectors[:40], ids[:40], 20, thresholds)):
+            want = sorted(((-int(s), int(j)) for s, j in zip(exact[i], ids, strict=True) if j != ids[i]))[:20]
+            assert sorted(zip((-score).tolist(), found.tolist(), strict=True)) == want and t == -want[-1][0]
