@@ -119,6 +119,12 @@ def test_batches_over_borders(spark):
     assert simjoin.greedy_batches(p.where("false"), 6.0).count() == 0
 
 
+def test_greedy_batches_folds_most_boxes(spark):
+    """The query's limit lets boxes of orders, which span years, join one another."""
+    batches = QUERIES["greedy_batches"](spark, SF)
+    assert batches.count() == trajectory.postings(order_points(spark, SF)).count() > 5 * batches.select("kw", "batch").distinct().count()
+
+
 @pytest.mark.parametrize("spread", [3, 400])
 def test_closest_cells(spark, spread):
     rng = np.random.default_rng(spread)
