@@ -99,6 +99,29 @@ def test_candidates_are_counted_without_pairs(spark, monkeypatch):
     assert {r["qid"]: r["n"] for r in simjoin.candidate_counts(p.where("tid % 5 = 0"), p).collect()} == want
 
 
+def test_lists_of_frequent_and_rare_words():
+    """Counts of unions of bits and places, at sizes that don't fill the last bits."""
+    rng = np.random.default_rng(5)
+    for many in (1, 63, 64, 65, 1000):
+        sets = [np.unique(np.append(rng.zipf(1.3, rng.integers(1, 6)), 7_000 + i // 5)) for i in range(many)]
+        words, at = np.unique(np.concatenate(sets), return_inverse=True)
+        lists = simjoin.Lists(np.array([len(x) for x in sets], "<i4"), words, at)
+        assert many < 1000 or lists.bits and lists.places
+        for q in [[], [-1], *(x.tolist() for x in sets[:20]), *(rng.choice(words, 3).tolist() for _ in range(20))]:
+            assert lists.count(q) == sum(bool(set(q) & set(x.tolist())) for x in sets)
+
+
+def test_queries_are_sent_to_few_blocks(spark, monkeypatch):
+    """Each block gets all queries, so however many sets and partitions there are, blocks are few and large."""
+    sent = []
+    monkeypatch.setattr(simjoin, "every_pair", lambda asked_, blocks_: sent.append(blocks_.count()) or blocks.every_pair(asked_, blocks_))
+    for name, n in (("SETS", 20), ("MOST_SETS", 100), ("FEW_BLOCKS", 2)):
+        monkeypatch.setattr(simjoin, name, n)
+    p = spark.createDataFrame([(t, t, 0, 0.0, 0.0, ["abc"[t % 3], "de"[t % 2]]) for t in range(300)], POINTS).repartition(9, "tid")
+    got = {r["qid"]: r["n"] for r in simjoin.candidate_counts(p.where("tid % 20 = 0"), p).collect()}
+    assert sent == [3] and got == {t: 200 for t in range(0, 300, 20)}
+
+
 def test_batches_over_borders(spark):
     """No two batches of a keyword that fit together stay apart, wherever borders lie; ties and odd rows."""
     rng = np.random.default_rng(14)
