@@ -352,6 +352,42 @@ def test_search_with_gaps(spark):
         assert [x[3] for x in sorted(got)] == pytest.approx([x[3] for x in sorted(want)], abs=1e-8)
 
 
+@pytest.mark.parametrize("words", [0, 1, 3])
+@pytest.mark.parametrize("prune", [True, False])
+def test_few_are_verified_exactly(monkeypatch, prune, words):
+    """Single precision picks those that may be among the k best: within its error of the exact values, ties too, and few are compared twice."""
+    from pathloom.operators import simsearch
+
+    rng = np.random.default_rng(21)
+    sizes = rng.integers(1, 40, 500).astype("<i4")
+    n = rng.integers(0, words + 1, sizes.sum()).astype("<i4")
+    h = np.concatenate([np.sort(rng.choice(5, k, replace=False)) for k in n]).astype("<i8")
+    flat = {"ids": np.arange(500, dtype="<i8"), "sizes": sizes, "x": rng.uniform(0, 500, len(n)), "y": np.floor(rng.uniform(0, 100, len(n))), "n": n, "h": h}
+    block = simsearch.Block({c: v.tobytes() for c, v in flat.items()})
+    monkeypatch.setattr(simsearch, "CELLS", 20_000)
+    for i in range(5):
+        query = simsearch.Query(block.one(i), block, 0.6, 0.05)
+        exact = query.verified(np.arange(500))
+        near, error = query.single(np.arange(500))
+        assert np.abs(near - exact).max() < error < 1e-3
+        seen = []
+        monkeypatch.setattr(query, "verified", lambda members, query=query: seen.append(len(members)) or simsearch.Query.verified(query, members))
+        members, sims, threshold, compared = simsearch.search(query, 10, -np.inf, prune)
+        shares = np.flatnonzero(query.shares)
+        best = np.sort(exact[shares])[::-1][:10]
+        assert sorted(sims)[::-1][:10] == pytest.approx(best) and (not len(best) or threshold == pytest.approx(best[-1]) or len(best) < 10)
+        assert compared == len(shares) and sum(seen) <= max(10, len(shares) // 5)
+
+
+def test_blocks_by_points(spark, monkeypatch):
+    from pathloom.operators import simsearch
+
+    monkeypatch.setattr(simsearch, "POINTS", 10)
+    rows = [(t, [1.0] * k, [1.0] * k, [0] * k, []) for t, k in enumerate([3, 4, 30, 1, 9, 1, 2])]
+    packed = simsearch.pack(spark.createDataFrame(rows, "tid long, x array<double>, y array<double>, n array<int>, h array<long>").coalesce(1), 4)
+    assert [np.frombuffer(r["ids"], "<i8").tolist() for r in packed.collect()] == [[0, 1], [2], [3, 4], [5, 6]]
+
+
 def test_knn_over_shuffled_rows(spark):
     """Data from a shuffle whose partitions are coalesced in one job and not in another: no row is lost."""
     small = {"advisoryPartitionSizeInBytes": "48k", "coalescePartitions.parallelismFirst": "false", "coalescePartitions.minPartitionSize": "1k"}
