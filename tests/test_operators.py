@@ -379,6 +379,30 @@ def test_few_are_verified_exactly(monkeypatch, prune, words):
         assert compared == len(shares) and sum(seen) <= max(10, len(shares) // 5)
 
 
+def test_short_trajectories_are_searched_together(monkeypatch):
+    """The joint search of a query block finds what each query finds alone; blocks of other points have none."""
+    from pathloom.operators import simsearch
+
+    rng = np.random.default_rng(22)
+
+    def block(many, words=1):
+        sizes = rng.integers(1, 6, many).astype("<i4")
+        n = np.full(sizes.sum(), words, "<i4")
+        flat = {"ids": np.arange(many, dtype="<i8"), "sizes": sizes, "x": rng.uniform(0, 1e5, len(n)), "y": rng.integers(1, 51, len(n)).astype("<f8"), "n": n, "h": rng.integers(0, 30, words * len(n)).astype("<i8")}
+        return simsearch.Block({c: v.tobytes() for c, v in flat.items()})
+
+    data, asking = block(400), block(20)
+    monkeypatch.setattr(simsearch, "CELLS", 1_000)
+    for prune, start in ((True, -np.inf), (True, 1.2), (False, -np.inf), (True, 5.0)):
+        thresholds = np.full(20, start)
+        members, sims, counts = simsearch.search_few(asking, data, 10, 0.9, 0.001, thresholds, prune)
+        for i in range(20):
+            alone, found, threshold, _ = simsearch.search(simsearch.Query(asking.one(i), data, 0.9, 0.001), 10, start, prune)
+            assert sorted(members[i]) == sorted(alone) and sorted(sims[i]) == pytest.approx(sorted(found), abs=1e-12) and thresholds[i] == pytest.approx(threshold, abs=1e-12)
+        assert prune or counts.tolist() == [int(simsearch.Query(asking.one(i), data, 0.9, 0.001).shares.sum()) for i in range(20)]
+    assert simsearch.search_few(asking, block(9, 2), 10, 0.9, 0.001, np.full(20, -np.inf), True) is None
+
+
 def test_blocks_by_points(spark, monkeypatch):
     from pathloom.operators import simsearch
 
